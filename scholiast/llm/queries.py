@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholiast.llm.decontaminate import contaminated
+from scholiast.llm.line_dedup import dedup_lines
+from scholiast.llm.mixing import mix_sources
 from scholiast.llm.near_dedup import near_duplicates
+from scholiast.llm.quality import score_quality, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +23,29 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_quality": op2_quality,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
