@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scholiast.llm.decontaminate import contaminated
 from scholiast.llm.line_dedup import dedup_lines
+from scholiast.llm.lm_score import lm_scores
 from scholiast.llm.mixing import mix_sources
 from scholiast.llm.near_dedup import near_duplicates
 from scholiast.llm.quality import score_quality, train
@@ -28,6 +29,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +48,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
+    "op3_lm_scores": op3_lm_scores,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
