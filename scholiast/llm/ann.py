@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from scholiast.llm.store import stored
 
-BOOKS, CODES, BEAM = 8, 256, 8
+BOOKS, CODES, BEAM = 16, 256, 4
 #: Rows from which codebooks are learned: those with the smallest hashed ids.
 SAMPLE = 8192
 #: Queries in one broadcast, and candidates that each task scores exactly for each query and neighbour asked for.
-QUERY_BLOCK, SHORTLIST = 2048, 20
+QUERY_BLOCK, SHORTLIST = 2048, 40
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -36,7 +36,7 @@ def _nearest_codes(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.argmin((book * book).sum(1) - 2 * x @ book.T, 1)
 
 
-def learn_codebooks(sample: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int = 12, seed: int = 3) -> np.ndarray:
+def learn_codebooks(sample: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """(books, codes, dimensions): each codebook by k-means on what the beam-free encoding by those before it leaves, then all of them together by least squares."""
     r = np.random.default_rng(seed)
     codes = max(1, min(codes, len(sample)))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholiast.llm.ann import nearest
 from scholiast.llm.decontaminate import contaminated
 from scholiast.llm.line_dedup import dedup_lines
 from scholiast.llm.lm_score import lm_scores
@@ -45,6 +46,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
+    "op8_nearest": op8_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
