@@ -15,6 +15,7 @@ from scholiast.llm.lm_score import lm_scores
 from scholiast.llm.mixing import mix_sources
 from scholiast.llm.near_dedup import near_duplicates
 from scholiast.llm.quality import score_quality, train
+from scholiast.llm.substring_dedup import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +57,10 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_nearest": op8_nearest,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_html_text": op10_html_text,
 }
 
