@@ -1,0 +1,126 @@
+"""Text queries over documents, pages, benchmark and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scholiast.functions import text as T
+from scholiast.functions.chunking import chunk_texts
+from scholiast.plans.registry import query, table
+
+CONTENT = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
+NEWLINE = "chr(10)"
+
+
+@query(f"SELECT doc_id, md5({CONTENT}) AS hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("hash"))
+
+
+@query("SELECT doc_id, left(md5(source || '::' || doc_id), 16) AS chunk_id, '[' || source || ' — ' || lang || ']' || chr(10) || left(text, 40) AS embedded FROM documents")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03, STR-04"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.chunk_id("source", "doc_id").alias("chunk_id"), T.embedded_text("source", "lang", F.substring("text", 1, 40)).alias("embedded"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS runs, len(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*')) AS words FROM documents""")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-24"""
+    return table(spark, sf_dir, "documents").select("doc_id", *T.word_counts("text")[:2])
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS plain FROM pages""")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-14"""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_tags("html")).alias("plain"))
+
+
+@query(r"""SELECT page_id, TRY_CAST(nullif(regexp_extract(url || ' 19' || (page_id % 70 + 20) || ' x', '\b((?:19|20)\d{2})\b', 1), '') AS INT) AS year FROM pages""")
+def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-10"""
+    said = F.concat("url", F.lit(" 19"), (F.col("page_id") % 70 + 20).cast("string"), F.lit(" x"))
+    return table(spark, sf_dir, "pages").select("page_id", T.first_year(said).alias("year"))
+
+
+@query("""SELECT page_id, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS journal_slug FROM pages""")
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-13"""
+    return table(spark, sf_dir, "pages").select("page_id", T.slug("url", 60, "-").alias("slug"), T.slug("url", 48, "_").alias("journal_slug"))
+
+
+@query(r"""SELECT doc_id, left(sha1(trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'))), 12) AS print FROM documents""")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-29"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint("text").alias("print"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS preview, trim(regexp_replace(lower(left(text, 120)), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS title_key FROM documents")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-06, STR-27"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview("text", 200).alias("preview"), T.title_key(F.left("text", F.lit(120))).alias("title_key"))
+
+
+_TAIL = "substr(text, {at} + 1, 3200)"
+_BREAK = """CASE WHEN {at} + 3200 >= length(text) THEN length(text)
+  WHEN strpos(reverse({w}), chr(10) || chr(10)) BETWEEN 1 AND 3198 THEN {at} + 3200 - strpos(reverse({w}), chr(10) || chr(10))
+  WHEN strpos(reverse({w}), ' .') BETWEEN 1 AND 3198 THEN {at} + 3200 - strpos(reverse({w}), ' .')
+  WHEN strpos(reverse({w}), chr(10)) BETWEEN 1 AND 3199 THEN {at} + 3200 - strpos(reverse({w}), chr(10)) + 1
+  ELSE {at} + 3200 END"""
+
+
+def _step(at: str) -> str:
+    """SQL of the next boundary of a chunk that begins at `at`."""
+    return _BREAK.format(at=at, w=_TAIL.format(at=at))
+
+
+_NEXT = "CASE WHEN stop - 600 > pos THEN stop - 600 ELSE stop END"
+
+
+@query(f"""WITH RECURSIVE r(doc_id, text, pos, stop) AS (
+  SELECT doc_id, text, 0::BIGINT, CASE WHEN e < length(text) AND substr(text, e + 1, 1) = chr(10) THEN e + 1 ELSE e END FROM (SELECT doc_id, text, {_step('0')} AS e FROM documents)
+  UNION ALL
+  SELECT doc_id, text, pos, CASE WHEN e < length(text) AND substr(text, e + 1, 1) = chr(10) THEN e + 1 ELSE e END FROM (SELECT doc_id, text, pos, {_step('pos')} AS e FROM (SELECT doc_id, text, {_NEXT} AS pos FROM r WHERE stop < length(text)))),
+k AS (SELECT doc_id, pos, trim(substr(text, pos + 1, stop - pos), ' ' || chr(9) || chr(10) || chr(13)) AS chunk FROM r)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS position, md5(chunk) AS chunk FROM k WHERE chunk <> ''""")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-01, STR-02"""
+    return chunk_texts(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "position", F.md5("chunk").alias("chunk"))
+
+
+@query()
+def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-25, STR-26, AGG-20: number, median and quartiles (exclusive method) of sentence lengths; look-behind has no DuckDB form"""
+    from scholiast.operators.style import exclusive_quantile
+
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.transform(T.sentences("text"), lambda s: F.regexp_count(s, F.lit(r"\S+")))).alias("sizes"))
+    cuts = [exclusive_quantile(F.col("sizes"), i, 4).alias(f"q{i}") for i in (1, 2, 3)]
+    return sizes.filter(F.size("sizes") > 0).select("doc_id", F.size("sizes").alias("n_sentences"), *cuts)
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '^\s*(\S+)', 1), ''), '') || lang AS key, round((length(text) - length(regexp_replace(text, '[\x{FFFD}\x{E000}-\x{F8FF}\x{2700}-\x{27BF}\x{2500}-\x{25FF}]', '', 'g'))) / greatest(1, len(regexp_extract_all(text, '[\p{L}\p{N}]'))), 6) AS bad FROM documents""")
+def garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-13: suspicious marks against letters and digits"""
+    marks = F.regexp_count("text", F.lit(r"[\x{FFFD}\x{E000}-\x{F8FF}\x{2700}-\x{27BF}\x{2500}-\x{25FF}]"))
+    key = F.concat(F.regexp_extract("text", r"^\s*(\S+)", 1), "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), F.round(marks / F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"[\p{L}\p{N}]"))), 6).alias("bad"))
+
+
+@query(r"""SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(text || ' See [1,3] and [2-4], [9]', '\d+'), lambda x: x::INT)) IS NOT NULL AS cited, '[' || (turn + 1) || '] ' || role || '. ' || left(text, 30) AS line FROM conversations""")
+def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-17, STR-18"""
+    cited = F.size(T.cited_numbers(F.concat("text", F.lit(" See [1,3] and [2-4], [9]")), F.lit(5))) == 4
+    line = T.reference_line(F.col("turn") + 1, F.col("role"), F.substring("text", 1, 30), F.lit(None).cast("int"), F.lit(None).cast("string"))
+    trimmed = F.format_string("[%d] %s. %s", F.col("turn") + 1, "role", F.substring("text", 1, 30))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cited.alias("cited"), F.when(line.isNotNull(), trimmed).alias("line"))
+
+
+@query(r"""WITH h AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages), s AS (SELECT *, CASE WHEN host LIKE '%.example.org' THEN 2 WHEN host LIKE '%.net' THEN 1 ELSE 0 END AS score FROM h WHERE host NOT LIKE 'm.%')
+SELECT page_id, host, score, row_number() OVER (ORDER BY score DESC, page_id) AS place FROM s QUALIFY place <= 100""")
+def web_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-17: blocked hosts go, preferred domains come first, then the order of arrival"""
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    score = F.when(F.col("host").endswith(".example.org"), 2).when(F.col("host").endswith(".net"), 1).otherwise(0)
+    best = table(spark, sf_dir, "pages").select("page_id", host.alias("host")).filter(~F.col("host").startswith("m.")).withColumn("score", score).orderBy(F.desc("score"), "page_id").limit(100)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "page_id")))
