@@ -75,7 +75,9 @@ def shingle_pairs(docs: DataFrame, key: str, text: str, k: int = 8, least: float
     order of rarity the first n - ceil(least * n) + 1 of a text, at least one of which two such texts share.
     """
     base = docs.select(key, T.content_key(text).alias("c")).groupBy("c").agg(F.min(key).alias("id"))
-    sets = cut_lineage(base.select("id", T.shingles(F.split("c", " "), k).alias("s"), F.char_length("c").alias("chars")))
+    # words are a column of their own: within the lambda an expression would be evaluated again for every shingle
+    words = base.select("id", F.split("c", " ").alias("w"), F.char_length("c").alias("chars"))
+    sets = cut_lineage(words.select("id", T.shingles(F.col("w"), k).alias("s"), "chars"))
     grams = sets.select("id", F.explode("s").alias("g"))
     df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = grams.join(df, "g", "left").select("id", "g", F.coalesce("df", F.lit(1)).alias("df"))
