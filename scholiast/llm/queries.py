@@ -78,4 +78,26 @@ QUERIES: dict[str, Query] = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+# Columns that SQL can give for all rows; the other operators have brute-force versions in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i : i + 4], chr(10)) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, t.b FROM reach r JOIN ways t ON r.b = t.a),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON a = doc_id""",
+    "op6_line_dedup": f"""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l AS (SELECT doc_id, i, line, {_WORDS.format("line")} AS w FROM raw),
+d AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, min(doc_id * 10000000 + i) AS place FROM l WHERE len(w) > 0 GROUP BY k),
+v AS (SELECT place, pos, array_to_string(list_concat(w[: pos - 1], w[pos + 1 :]), ' ') AS x FROM (SELECT place, w, unnest(range(1, len(w) + 1)) AS pos FROM d WHERE len(w) >= 10)),
+gone AS (SELECT b.place FROM v a JOIN v b ON a.x = b.x AND a.pos = b.pos AND a.place < b.place UNION SELECT greatest(d.place, v.place) FROM d JOIN v ON d.k = v.x WHERE len(d.w) >= 10),
+kept AS (SELECT place FROM d WHERE place NOT IN (SELECT place FROM gone)),
+m AS (SELECT l.*, len(w) > 0 AS full_line, place IS NOT NULL AS stays FROM l LEFT JOIN kept ON place = doc_id * 10000000 + i)
+SELECT doc_id, count(*) FILTER (full_line)::INT AS n_lines, count(*) FILTER (full_line AND stays)::INT AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT full_line OR stays), '') AS text FROM m GROUP BY doc_id""",
+}
