@@ -67,7 +67,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, steps: int = 60, precision: floa
     """
     histogram = stored(sizes.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     open_ = (F.col("source_size") > 0) & (F.col("target") < 2 * F.col("source_size"))
-    state = targets.filter(open_).select("source", "largest", "target", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(False).alias("done"))
+    state = targets.filter(open_).select("source", "source_size", "largest", "target", F.lit(0.0).alias("tilt"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(False).alias("done"))
     state = stored(state, "tilts")
     exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")
     for _ in range(steps):
@@ -80,10 +80,14 @@ def tilts(sizes: DataFrame, targets: DataFrame, steps: int = 60, precision: floa
         over = F.col("taken") > F.col("target")
         now = now.withColumn("done", F.abs(F.col("taken") - F.col("target")) <= precision * F.greatest(F.col("target"), F.lit(1.0)))
         now = now.withColumn("low", F.when(over, F.col("low")).otherwise(F.col("tilt"))).withColumn("high", F.when(over, F.col("tilt")).otherwise(F.col("high")))
-        newton = F.when(F.col("slope") > 0, F.col("tilt") + (F.col("target") - F.col("taken")) / F.col("slope"))
+        # Newton on the log odds of the share taken of all slots, which are nearly linear in the tilt
+        slots = 2.0 * F.col("source_size")
+        has, asks = F.col("taken") / slots, F.col("target") / slots
+        steep = F.try_divide(F.col("slope") / slots, has * (1 - has))
+        newton = F.when(steep > 0, F.col("tilt") + F.try_divide(F.log(asks / (1 - asks)) - F.log(F.try_divide(has, 1 - has)), steep))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         step = F.when(F.col("done"), F.col("tilt")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        state = stored(now.select("source", "largest", "target", step.alias("tilt"), "low", "high", "done"), "tilts")
+        state = stored(now.select("source", "source_size", "largest", "target", step.alias("tilt"), "low", "high", "done"), "tilts")
         if state.filter(~F.col("done")).isEmpty():
             break
     found = state.select(F.col("source").alias("s"), "tilt")
