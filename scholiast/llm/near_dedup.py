@@ -7,12 +7,15 @@ those that share the longest prefix. A region (equal prefix of four minima) that
 cut at a depth of eight, then twelve minima, and its members are also compared with the first
 members of every shallower region, so that a cut loses no connection and no task holds a whole hot
 region. Candidates that agree in far fewer minima than the threshold asks for are left out; all
-others are confirmed on the full sets before they link anything.
+others are confirmed on the full sets before they link anything. Neighbours and first members are only
+the quick part: regions that then still hold several components are searched as a whole, until every pair
+of sets that shares a region, agrees in enough minima and isn't linked has been compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ REGION = 512
 #: Neighbours before a set in sorted order, and first members of a cut region, that are its candidates.
 NEIGHBOURS = 3
 ANCHORS = 1
+#: Sets of a region that are compared with as many others in one piece of work.
+BLOCK = 512
+#: Best candidates of a set in each piece of work that the rounds of the whole search confirm; None stands for all.
+ROUNDS = (1, 16, None)
 #: Children that one task holds with their parent while links are confirmed.
 CELL = 64
 
@@ -120,9 +127,102 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
                 yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array((x == y).sum(1).astype(np.int32))], ["a", "b", "agree"])
 
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_signature", "b_signature")
-    # four standard deviations and a half below what a pair at the threshold agrees in
-    enough = MINIMA * similarity - 4.5 * (MINIMA * similarity * (1 - similarity)) ** 0.5
-    return joined.mapInArrow(agree, "a long, b long, agree int").filter(F.col("agree") >= enough)
+    return joined.mapInArrow(agree, "a long, b long, agree int").filter(F.col("agree") >= _enough(similarity))
+
+
+def _enough(similarity: float) -> float:
+    """Equal minima four standard deviations and a half below what a pair at the threshold agrees in."""
+    return MINIMA * similarity - 4.5 * (MINIMA * similarity * (1 - similarity)) ** 0.5
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal minima of each signature of x with each of y."""
+    if len(x) * len(y) <= 1 << 13:
+        return (x[:, None] == y[None]).sum(2)
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for j in range(MINIMA):
+        out += x[:, j, None] == y[None, :, j]
+    return out
+
+
+def _best(scores: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, whether the row has more) of the positive scores, of each row the `limit` best."""
+    many = (scores > 0).sum(1)
+    if limit is None or not (many > limit).any():
+        i, j = np.nonzero(scores > 0)
+        return i, j, np.zeros(len(i), bool)
+    best = np.argpartition(-scores.astype(np.int16), limit - 1, 1)[:, :limit]
+    i, k = np.nonzero(np.take_along_axis(scores, best, 1) > 0)
+    return i, best[i, k], many[i] > limit
+
+
+def unlinked(sets: DataFrame, numerator: int, limit: int | None) -> DataFrame:
+    """(a, b, more), a < b: pairs of `sets` (id, n, component, signature) in different components that share a region and agree in enough minima.
+
+    Of the candidates that a set has in one piece of work the `limit` best are given, and `more` says that there are others. A
+    region is a run of minima at a fixed place. One of at most BLOCK sets is one piece; in a larger one the members of its
+    largest component meet all others, and the others meet each other, in pieces of two blocks.
+    """
+    similarity = numerator / 100
+    depth = 4 if similarity >= 0.85 else 3
+    entries = sets.select("id", "component", "signature", F.explode(F.sequence(F.lit(0), F.lit(MINIMA // depth - 1))).alias("tree"))
+    entries = entries.select("id", "component", F.xxhash64("tree", F.expr(f"substring(signature, {2 * depth} * tree + 1, {2 * depth})")).alias("region"))
+    mixed = entries.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("region")
+    inside = stored(entries.join(broadcast_if_small(stored(mixed, "mixed")), "region"), "inside")
+    sizes = inside.groupBy("region", "component").count().groupBy("region").agg(F.sum("count").alias("all"), F.max(F.struct("count", "component")).alias("main"))
+    cells = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("region", F.col("main.component").alias("main"), (F.col("all") <= BLOCK).alias("small"), cells(F.col("main.count")).alias("mains"), cells(F.col("all") - F.col("main.count")).alias("others"))
+    placed = inside.join(broadcast_if_small(stored(sizes, "sizes")), "region").withColumn("is_main", F.col("component") == F.col("main"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    seat = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    block, zero, to = F.col("block"), F.lit(0), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.transform(to("others"), lambda j: seat(0, F.least(block, j), F.greatest(block, j), F.when(block == j, 0).when(block < j, 1).otherwise(2)))
+    across = F.transform(to("mains"), lambda j: seat(1, block, j, F.lit(1)))
+    of_main = F.transform(to("others"), lambda i: seat(1, i, block, F.lit(2)))
+    seats = F.when(F.col("small"), F.array(seat(0, zero, zero, zero))).when(F.col("is_main"), of_main).otherwise(F.concat(among, across))
+    key = ["region", "kind", "i", "j"]
+    dealt = placed.select("id", "component", "region", seats.alias("seats")).join(sets.select("id", "n", "signature"), "id")
+    dealt = dealt.select("id", "n", "component", "signature", "region", F.explode("seats").alias("s")).select("id", "n", "component", "signature", "region", "s.*")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    enough = _enough(similarity)
+
+    def pairs(ids: np.ndarray, n: np.ndarray, of: np.ndarray, side: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
+        x, y = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+        if not len(x) or not len(y):
+            return []
+        score = _agreement(least[x], least[y])
+        fit = (score >= enough) & (of[x, None] != of[None, y]) & (100 * np.minimum(n[x, None], n[None, y]) >= numerator * np.maximum(n[x, None], n[None, y]))
+        score = np.where(fit, score, 0)
+        found = [(x[i], y[j], more) for i, j, more in [_best(score, limit)]]
+        if side.any():
+            found += [(x[j], y[i], more) for i, j, more in [_best(score.T, limit)]]
+        return [np.stack([ids[p], ids[q], more.astype(np.int64)]) for p, q, more in found if len(p)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found = None, []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None or not len(held):
+                continue
+            keys = np.stack([held.column(c).to_numpy().astype(np.int64) for c in key])
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+            ends = np.append(cuts[1:], len(held) if batch is None else cuts[-1])[: len(cuts)]
+            if batch is not None:
+                cuts, ends = cuts[:-1], ends[:-1]
+            if len(cuts):
+                ids, n, of, side = (held.column(c).to_numpy()[: ends[-1]] for c in ("id", "n", "component", "side"))
+                least = np.frombuffer(b"".join(held.column("signature").slice(0, ends[-1]).to_pylist()), np.uint16).reshape(-1, MINIMA)
+                for a, b in zip(cuts, ends, strict=True):
+                    if b - a > 1:
+                        found += pairs(ids[a:b], n[a:b], of[a:b], side[a:b], least[a:b])
+                held = held.slice(ends[-1])
+            if found:
+                a, b, more = np.concatenate(found, 1)
+                found = []
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more.astype(bool))], ["a", "b", "more"])
+
+    return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, numerator: int) -> DataFrame:
@@ -174,7 +274,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
     classes = rows.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"))
     classes = stored(classes, "classes")
     sets = classes.groupBy("id").agg(F.max(F.struct("n_shingles", "signature")).alias("s")).select("id", F.col("s.n_shingles").alias("n"), "s.signature")
+    sets = stored(sets, "sets")
     open_pairs = stored(candidates(sets, numerator / 100), "pairs")
+    tried = open_pairs.select("a", "b")
     # documents with one id are one: their classes' smallest ids are linked
     key = ["key1", "key2", "n_shingles"]
     twice = rows.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x <> y").select("doc_id")
@@ -201,6 +303,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
         open_pairs = open_pairs.join(now, ["a", "b"], "left_anti")
         links = links.unionByName(proved)
         members = stored(components(links), "members")
+    # Then whole regions: the best candidates of each set first, so that most of the others turn out to be linked. The
+    # first round names every set that has a candidate left, and components only grow, so their texts move once.
+    left = None
+    for limit in ROUNDS:
+        seated = sets.join(members, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "signature")
+        found = stored(unlinked(seated if left is None else seated.join(left, "id", "left_semi"), numerator, limit), "found")
+        now = stored(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "asked")
+        if left is None:
+            left = stored(found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct(), "left")
+            fresh = stored(left.join(ends, "id", "left_anti").withColumnRenamed("id", "doc_id"), "fresh")
+            if not fresh.isEmpty():
+                texts = texts.unionByName(stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(fresh.hint("merge"), "doc_id", "left_semi"), "texts"))
+        if not now.isEmpty():
+            links = links.unionByName(stored(confirmed(texts, now, k, numerator), "proved"))
+            members = stored(components(links), "members")
+            tried = tried.unionByName(now)
+        if found.filter("more").isEmpty():
+            break
     of_class = classes.join(members, "id", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = shingled.select("doc_id", "n_shingles", "key1", "key2").join(of_class, ["key1", "key2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

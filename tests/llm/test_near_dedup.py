@@ -73,3 +73,31 @@ def test_repeated_rows_shared_ids_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert nd.near_duplicates(frame(spark, [])).count() == 0
+
+
+def star(copies=200):
+    r, base = random.Random(11), sample(400, 5, 10**6).split()
+    out = [(0, " ".join(base))]
+    for i in range(1, copies + 1):
+        w = list(base)
+        for at in r.sample(range(0, 400, 8), 5):
+            w[at + 3] = f"y{r.randrange(10**9)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_star_of_many_copies_is_one_component(spark):
+    data = star()
+    r = random.Random(12)
+    ids = r.sample(range(1000), len(data))
+    data = [(ids[i], t) for i, t in data]
+    got = {x.doc_id: x.component_id for x in nd.near_duplicates(frame(spark, data)).collect()}
+    assert set(got.values()) == {min(ids)} and len(got) == 201
+
+
+def test_star_in_a_region_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "REGION", 3)
+    monkeypatch.setattr(nd, "BLOCK", 7)
+    data = star(60) + [(i + 500, t) for i, t in rows()]
+    got = {x.doc_id: x.component_id for x in nd.near_duplicates(frame(spark, data)).collect()}
+    assert got == brute(data)
