@@ -76,3 +76,14 @@ def test_stages(spark, folder):
 def test_run_equals_its_stages(spark, folder):
     got = {(r.doc_id, r.copies) for r in corpus_pipeline.run(spark, folder).collect()}
     assert got == {(r.doc_id, r.copies) for r in corpus_pipeline.run(spark, folder).collect()} and got
+
+
+def test_near_dedup_stage_links_from_080_on(spark, folder):
+    base = sample(104, 4242, 10**6).split()
+    near, far = list(base), list(base)
+    for at in (10, 50):
+        near[at] = "other"
+    for at in (10, 30, 50):
+        far[at] = "another"
+    docs = spark.createDataFrame([(1, " ".join(base), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(far), "en", "s", 1)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()} == {1, 3}
