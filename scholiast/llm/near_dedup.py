@@ -7,15 +7,19 @@ those that share the longest prefix. A region (equal prefix of four minima) that
 cut at a depth of eight, then twelve minima, and its members are also compared with the first
 members of every shallower region, so that a cut loses no connection and no task holds a whole hot
 region. Candidates that agree in far fewer minima than the threshold asks for are left out; all
-others are confirmed on the full sets before they link anything. Neighbours and first members are only
-the quick part: regions that then still hold several components are searched as a whole, until every pair
-of sets that shares a region, agrees in enough minima and isn't linked has been compared.
+others are confirmed on the full sets before they link anything.
+
+Neighbours and first members are only the quick part. In a crowd, such as pages of one template that are almost
+similar enough, they see few of a set's region. So the depth adapts once more: in regions that still hold several
+components each set is compared with the one nearest to the region's commonest minima, which links edited copies
+of one original; then the region is split by the shingles that are rare among such sets, in which linked sets
+must meet (see `postings`). That last search is exact for all sets that share a region, and its
+work grows with the sets that meet, not with the crowd.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholiast.llm.graph import components
-from scholiast.llm.store import broadcast_if_small, stored
+from scholiast.llm.store import broadcast_if_small, stored, tidy
 from scholiast.llm.tokens import U64, blocks, grams, mix, sequence_hash, shingle_set, word_hashes
 
 MINIMA = 64
@@ -35,10 +39,8 @@ REGION = 512
 #: Neighbours before a set in sorted order, and first members of a cut region, that are its candidates.
 NEIGHBOURS = 3
 ANCHORS = 1
-#: Sets of a region that are compared with as many others in one piece of work.
-BLOCK = 512
-#: Best candidates of a set in each piece of work that the rounds of the whole search confirm; None stands for all.
-ROUNDS = (1, 16, None)
+#: Counters that say how common shingles are among sets of crowded regions.
+CELLS = 1 << 20
 #: Children that one task holds with their parent while links are confirmed.
 CELL = 64
 
@@ -118,6 +120,11 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
         pairs = pairs.unionByName(cut.select(region, "id", "n").join(anchors.select(region, "other", "m"), region).select("id", "n", "other", "m"))
     pairs = pairs.filter((F.col("other") != F.col("id")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")))
     pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return likely(pairs, sets, similarity)
+
+
+def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, agree): the pairs of ids of `sets` (id, signature) that agree in enough minima to be linked."""
     of = lambda end: sets.select(F.col("id").alias(end), F.col("signature").alias(f"{end}_signature"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,94 +142,140 @@ def _enough(similarity: float) -> float:
     return MINIMA * similarity - 4.5 * (MINIMA * similarity * (1 - similarity)) ** 0.5
 
 
-def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Equal minima of each signature of x with each of y."""
-    if len(x) * len(y) <= 1 << 13:
-        return (x[:, None] == y[None]).sum(2)
-    out = np.zeros((len(x), len(y)), np.uint8)
-    for j in range(MINIMA):
-        out += x[:, j, None] == y[None, :, j]
-    return out
+def consensus(regions: DataFrame, most: int = 64) -> DataFrame:
+    """(region, common): for each region of `regions` (id, signature, region) the commonest minima, place by place, among `most` members of smallest hash."""
+    few = Window.partitionBy("region").orderBy(F.xxhash64("id"), "id")
+    lists = regions.withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= most).groupBy("region").agg(F.collect_list("signature").alias("list"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for members in batch.column("list").to_pylist():
+                x = np.sort(np.frombuffer(b"".join(members), ">u2").reshape(-1, MINIMA), 0)
+                same = np.zeros(x.shape, np.int32)  # how often a value has occurred up to each place of the sorted column
+                for i in range(1, len(x)):
+                    same[i] = np.where(x[i] == x[i - 1], same[i - 1] + 1, 0)
+                out.append(x[same.argmax(0), np.arange(MINIMA)].astype(">u2").tobytes())
+            yield pa.record_batch([batch.column("region"), pa.array(out, pa.binary())], ["region", "common"])
 
-def _best(scores: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, whether the row has more) of the positive scores, of each row the `limit` best."""
-    many = (scores > 0).sum(1)
-    if limit is None or not (many > limit).any():
-        i, j = np.nonzero(scores > 0)
-        return i, j, np.zeros(len(i), bool)
-    best = np.argpartition(-scores.astype(np.int16), limit - 1, 1)[:, :limit]
-    i, k = np.nonzero(np.take_along_axis(scores, best, 1) > 0)
-    return i, best[i, k], many[i] > limit
+    return lists.mapInArrow(run, "region long, common binary")
 
 
-def unlinked(sets: DataFrame, numerator: int, limit: int | None) -> DataFrame:
-    """(a, b, more), a < b: pairs of `sets` (id, n, component, signature) in different components that share a region and agree in enough minima.
+def crowded(seated: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, component, signature, region): the members of regions in which sets of different components may not have been compared.
 
-    Of the candidates that a set has in one piece of work the `limit` best are given, and `more` says that there are others. A
-    region is a run of minima at a fixed place. One of at most BLOCK sets is one piece; in a larger one the members of its
-    largest component meet all others, and the others meet each other, in pieces of two blocks.
+    A region is a run of minima at a fixed place, as short as lets a pair at the threshold share one with near certainty.
+    Sets (id, n, component, signature) of one component, and small regions that neighbours cover, are left out.
     """
-    similarity = numerator / 100
-    depth = 4 if similarity >= 0.85 else 3
-    entries = sets.select("id", "component", "signature", F.explode(F.sequence(F.lit(0), F.lit(MINIMA // depth - 1))).alias("tree"))
+    depth = DEPTHS[0] if similarity >= 0.85 else DEPTHS[0] - 1
+    covered = NEIGHBOURS + 1 if depth == DEPTHS[0] else 1
+    entries = seated.select("id", "component", F.explode(F.sequence(F.lit(0), F.lit(MINIMA // depth - 1))).alias("tree"), "signature")
     entries = entries.select("id", "component", F.xxhash64("tree", F.expr(f"substring(signature, {2 * depth} * tree + 1, {2 * depth})")).alias("region"))
-    mixed = entries.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("region")
-    inside = stored(entries.join(broadcast_if_small(stored(mixed, "mixed")), "region"), "inside")
-    sizes = inside.groupBy("region", "component").count().groupBy("region").agg(F.sum("count").alias("all"), F.max(F.struct("count", "component")).alias("main"))
-    cells = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("region", F.col("main.component").alias("main"), (F.col("all") <= BLOCK).alias("small"), cells(F.col("main.count")).alias("mains"), cells(F.col("all") - F.col("main.count")).alias("others"))
-    placed = inside.join(broadcast_if_small(stored(sizes, "sizes")), "region").withColumn("is_main", F.col("component") == F.col("main"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
-    seat = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-    block, zero, to = F.col("block"), F.lit(0), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    among = F.transform(to("others"), lambda j: seat(0, F.least(block, j), F.greatest(block, j), F.when(block == j, 0).when(block < j, 1).otherwise(2)))
-    across = F.transform(to("mains"), lambda j: seat(1, block, j, F.lit(1)))
-    of_main = F.transform(to("others"), lambda i: seat(1, i, block, F.lit(2)))
-    seats = F.when(F.col("small"), F.array(seat(0, zero, zero, zero))).when(F.col("is_main"), of_main).otherwise(F.concat(among, across))
-    key = ["region", "kind", "i", "j"]
-    dealt = placed.select("id", "component", "region", seats.alias("seats")).join(sets.select("id", "n", "signature"), "id")
-    dealt = dealt.select("id", "n", "component", "signature", "region", F.explode("seats").alias("s")).select("id", "n", "component", "signature", "region", "s.*")
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
-    enough = _enough(similarity)
-
-    def pairs(ids: np.ndarray, n: np.ndarray, of: np.ndarray, side: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
-        x, y = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
-        if not len(x) or not len(y):
-            return []
-        score = _agreement(least[x], least[y])
-        fit = (score >= enough) & (of[x, None] != of[None, y]) & (100 * np.minimum(n[x, None], n[None, y]) >= numerator * np.maximum(n[x, None], n[None, y]))
-        score = np.where(fit, score, 0)
-        found = [(x[i], y[j], more) for i, j, more in [_best(score, limit)]]
-        if side.any():
-            found += [(x[j], y[i], more) for i, j, more in [_best(score.T, limit)]]
-        return [np.stack([ids[p], ids[q], more.astype(np.int64)]) for p, q, more in found if len(p)]
+    sizes = entries.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = stored(sizes.filter((F.col("size") > covered) & (F.col("low") != F.col("high"))).select("region"), "mixed")
+    inside = stored(entries.select("id", "region").join(broadcast_if_small(mixed), "region"), "inside")
+    return inside.join(seated, "id")
+
+
+def centres(inside: DataFrame, numerator: int) -> DataFrame:
+    """(a, b): each member of a region (id, n, component, signature, region) with the member nearest to the region's commonest minima.
+
+    A group of edited copies has its original, or a copy near it, as centre; one comparison links each copy.
+    """
+    common = stored(consensus(inside), "consensus")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found = None, []
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held is None or not len(held):
-                continue
-            keys = np.stack([held.column(c).to_numpy().astype(np.int64) for c in key])
-            cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
-            ends = np.append(cuts[1:], len(held) if batch is None else cuts[-1])[: len(cuts)]
-            if batch is not None:
-                cuts, ends = cuts[:-1], ends[:-1]
-            if len(cuts):
-                ids, n, of, side = (held.column(c).to_numpy()[: ends[-1]] for c in ("id", "n", "component", "side"))
-                least = np.frombuffer(b"".join(held.column("signature").slice(0, ends[-1]).to_pylist()), np.uint16).reshape(-1, MINIMA)
-                for a, b in zip(cuts, ends, strict=True):
-                    if b - a > 1:
-                        found += pairs(ids[a:b], n[a:b], of[a:b], side[a:b], least[a:b])
-                held = held.slice(ends[-1])
-            if found:
-                a, b, more = np.concatenate(found, 1)
-                found = []
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more.astype(bool))], ["a", "b", "more"])
-
-    return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, MINIMA) for c in ("signature", "common"))
+                yield pa.record_batch([*(batch.column(c) for c in ("region", "id", "n", "component")), pa.array((x == y).sum(1).astype(np.int32))], ["region", "id", "n", "component", "agree"])
+
+    near = inside.join(broadcast_if_small(common), "region").select("region", "id", "n", "component", "signature", "common").mapInArrow(run, "region long, id long, n long, component long, agree int")
+    near = stored(near, "near")
+    best = near.groupBy("region").agg(F.max(F.struct("agree", F.negate("id").alias("id"), "n", "component")).alias("x"))
+    best = best.select("region", F.negate("x.id").alias("other"), F.col("x.n").alias("m"), F.col("x.component").alias("theirs"))
+    met = near.join(best, "region").filter((F.col("component") != F.col("theirs")) & (100 * F.least("n", "m") >= numerator * F.greatest("n", "m")))
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def rarity(texts: DataFrame, k: int) -> np.ndarray:
+    """CELLS counters of shingles, each the number of `texts` (text) that have a shingle of that cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for first, end, raw, at in blocks(batch.column("text")):
+                words, word_at, _, _ = word_hashes(raw, at)
+                for i in range(end - first):
+                    np.add.at(held, (shingle_set(words[word_at[i] : word_at[i + 1]], k) & U64(CELLS - 1)).astype(np.int64), 1)
+        cells = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(cells), pa.array(held[cells])], ["cell", "n"])
+
+    found = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def postings(texts: DataFrame, k: int, numerator: int) -> DataFrame:
+    """(token, bucket, large, id, n, most): under which rare shingles each of `texts` (doc_id, text) has to be met.
+
+    Of two linked sets, shingles ordered from rare to common, the first common one comes early in both: it leaves
+    at least as many shingles behind as both must share. The smaller set is posted under its first shingles with its
+    size, the larger one under some more, for each class of sizes that a partner met there may have; `most` is the
+    largest size of such a partner. A shingle that a whole crowd has comes late, so unlinked sets don't meet there.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(rarity(texts, k).astype(np.int32))
+    total = 100 + numerator
+
+    def classes(n: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(np.maximum(n, 1)) / np.log(1.02)).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = shared.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for first, end, raw, at in blocks(batch.column("text")):
+                words, word_at, _, _ = word_hashes(raw, at)
+                parts: list[tuple[np.ndarray, ...]] = []
+                for i in range(first, end):
+                    own = shingle_set(words[word_at[i - first] : word_at[i - first + 1]], k)
+                    n = len(own)
+                    if not n:
+                        continue
+                    own = own[np.lexsort((own, count[(own & U64(CELLS - 1)).astype(np.int64)]))]
+                    left = n - np.arange(n)  # shingles from each place on
+                    most = left * total // numerator - n
+                    small = np.flatnonzero(most >= n)
+                    least = -(-numerator * n // 100)
+                    large = np.flatnonzero(np.minimum(most, n) >= least)
+                    low, high = int(classes(np.array([least]))[0]), classes(np.minimum(most, n)[large])
+                    times = high - low + 1
+                    at_class = low + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    token = np.concatenate([own[small], np.repeat(own[large], times)])
+                    parts.append((token.view(np.int64), np.concatenate([np.repeat(classes(np.array([n])), len(small)), at_class]).astype(np.int32), np.arange(len(token)) >= len(small), np.full(len(token), ids[i]), np.full(len(token), n), np.concatenate([most[small], np.repeat(np.minimum(most, n)[large], times)])))
+                if parts:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["token", "bucket", "large", "id", "n", "most"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "token long, bucket int, large boolean, id long, n long, most long")
+
+
+def meetings(posted: DataFrame, members: DataFrame, numerator: int, first: bool) -> DataFrame:
+    """(a, b): sets of different components that meet under a rare shingle; with `first` only those of each posting with one partner of a kind."""
+    seated = posted.join(members, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    key = ["token", "bucket"]
+    groups = seated.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("large").alias("some_small"), F.max("large").alias("some_large"))
+    mixed = groups.filter((F.col("low") != F.col("high")) & ~F.col("some_small") & F.col("some_large")).select(*key)
+    open_ = stored(seated.join(mixed, key), "postings")
+    side = lambda df, end: df.select(*key, F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("most").alias(f"m{end}"), F.col("component").alias(f"c{end}"))
+    small, large = open_.filter("not large"), open_.filter("large")
+    fits = "x <> y and cx <> cy and nx <= ny and nx <= my and ny <= mx"
+    if first:
+        one = lambda df: df.groupBy(*key).agg(F.min_by(F.struct("id", "n", "most", "component"), F.xxhash64("id", "token")).alias("o")).select(*key, "o.*")
+        met = side(one(small), "x").join(side(large, "y"), key).filter(fits).select("x", "y").unionByName(side(small, "x").join(side(one(large), "y"), key).filter(fits).select("x", "y"))
+    else:
+        met = side(small, "x").join(side(large, "y"), key).filter(fits).select("x", "y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, numerator: int) -> DataFrame:
@@ -260,6 +313,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, numerator: int) -> Data
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+@tidy
 def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -303,24 +357,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
         open_pairs = open_pairs.join(now, ["a", "b"], "left_anti")
         links = links.unionByName(proved)
         members = stored(components(links), "members")
-    # Then whole regions: the best candidates of each set first, so that most of the others turn out to be linked. The
-    # first round names every set that has a candidate left, and components only grow, so their texts move once.
-    left = None
-    for limit in ROUNDS:
-        seated = sets.join(members, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "signature")
-        found = stored(unlinked(seated if left is None else seated.join(left, "id", "left_semi"), numerator, limit), "found")
-        now = stored(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "asked")
-        if left is None:
-            left = stored(found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct(), "left")
-            fresh = stored(left.join(ends, "id", "left_anti").withColumnRenamed("id", "doc_id"), "fresh")
-            if not fresh.isEmpty():
-                texts = texts.unionByName(stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(fresh.hint("merge"), "doc_id", "left_semi"), "texts"))
-        if not now.isEmpty():
-            links = links.unionByName(stored(confirmed(texts, now, k, numerator), "proved"))
-            members = stored(components(links), "members")
-            tried = tried.unionByName(now)
-        if found.filter("more").isEmpty():
-            break
+    # Then what crowds hide. Components only grow, so the crowd is found once and its texts move once.
+    seat = lambda: sets.join(members, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "signature")
+    inside = stored(crowded(seat(), numerator / 100), "inside")
+    crowd = stored(inside.select("id").distinct(), "crowd")
+    if not crowd.isEmpty():
+        whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        texts = stored(whole.join(crowd.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
+
+        def prove(asked: DataFrame) -> None:
+            nonlocal links, members, tried
+            now = stored(likely(asked.join(tried, ["a", "b"], "left_anti"), sets, numerator / 100).select("a", "b"), "asked")
+            if not now.isEmpty():
+                links = links.unionByName(stored(confirmed(texts, now, k, numerator), "proved"))
+                members = stored(components(links), "members")
+                tried = tried.unionByName(now)
+
+        prove(centres(inside, numerator))
+        posted = stored(postings(texts, k, numerator), "posted")
+        prove(meetings(posted, members, numerator, first=True))
+        prove(meetings(posted, members, numerator, first=False))
     of_class = classes.join(members, "id", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = shingled.select("doc_id", "n_shingles", "key1", "key2").join(of_class, ["key1", "key2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

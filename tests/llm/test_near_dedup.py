@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import scholiast.llm.near_dedup as nd
 from tests.llm.helpers import frame, sample, words
 
@@ -97,7 +99,47 @@ def test_star_of_many_copies_is_one_component(spark):
 
 def test_star_in_a_region_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "REGION", 3)
-    monkeypatch.setattr(nd, "BLOCK", 7)
     data = star(60) + [(i + 500, t) for i, t in rows()]
     got = {x.doc_id: x.component_id for x in nd.near_duplicates(frame(spark, data)).collect()}
     assert got == brute(data)
+
+
+def crowd(strangers, pairs, seed=21):
+    """Documents of one template: any two have a similarity of about 0.80, `pairs` planted pairs one of 0.853."""
+    r = random.Random(seed)
+    template = sample(116, seed, 10**6).split()
+    out = []
+
+    def page(tail):
+        return " ".join([*template, *tail])
+
+    for i in range(strangers):
+        out.append((i, page([f"u{r.randrange(10**9)}" for _ in range(14)])))
+    for i in range(pairs):
+        tail = [f"u{r.randrange(10**9)}" for _ in range(4)]
+        out.append((strangers + 2 * i, page([*tail, *[f"v{r.randrange(10**9)}" for _ in range(10)]])))
+        out.append((strangers + 2 * i + 1, page([*tail, *[f"v{r.randrange(10**9)}" for _ in range(10)]])))
+    return out
+
+
+def test_pairs_in_a_crowd_are_found(spark):
+    data = crowd(1500, 60)
+    got = {x.doc_id: x.component_id for x in nd.near_duplicates(frame(spark, data)).collect()}
+    want = {i: i - (i - 1500) % 2 if i >= 1500 else i for i, _ in data}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in data}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert near(0, 1) < 0.85 <= near(1500, 1501)
+    assert sum(got[i] == want[i] for i in want) >= 0.999 * len(want)
+
+
+@pytest.mark.parametrize("numerator", [80, 85])
+def test_meetings_lose_no_linked_pair(spark, numerator):
+    """Posted under rare shingles, every linked pair of different components meets."""
+    r = random.Random(4)
+    data = [(i, edited(sample(r.choice([8, 190, 200, 215]), i % 6), r, r.randrange(5))) for i in range(120)]
+    sets = {i: {tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)} for i, t in data}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= numerator * len(sets[a] | sets[b])}
+    docs = frame(spark, data)
+    nobody = spark.createDataFrame([], "id long, component long")
+    met = {tuple(x) for x in nd.meetings(nd.postings(docs, 5, numerator), nobody, numerator, first=False).collect()}
+    assert len(linked) > 20 and linked <= met and len(met) < len(sets) * (len(sets) - 1) / 4
