@@ -14,8 +14,11 @@ from tests.llm.helpers import frame, sample, words
 
 def test_levels_and_filter():
     counts = np.array([1, 2, 3, 4, 5, 6, 100, 10**9])
-    levels = lm.levels_of(counts)
-    assert (lm._LOW[levels] <= counts).all() and (lm._LOW[levels + 1] > counts).all()
+    levels = lm.levels_of(counts, np.arange(8))
+    assert (lm._LOW[levels - 1] < counts).all() and (lm._LOW[levels + 1] > counts).all()
+    assert lm._LOW[levels[:4]].tolist() == [1, 2, 3, 4]
+    drawn = lm._LOW[lm.levels_of(np.full(40000, 10), np.arange(40000))]
+    assert set(drawn) == {8.0, 12.0} and abs(drawn.mean() - 10) < 0.05  # the count is the expected value
     keys = np.arange(1, 20001, dtype=np.uint64) * np.uint64(7919)
     stored = (np.arange(20000) % 4 + 1).astype(np.uint8)
     f = lm.Filter({0: lm.Filter.part(keys, stored)}, 6)
@@ -114,6 +117,33 @@ def test_nearest_recall_ties_and_unusable_vectors(spark):
     assert [g.vec_id for g in sorted((g for g in got if g.query_id == 100), key=lambda g: g.rank)] == list(range(2000, 2010))
 
 
+def test_short_lists_of_two_per_cent_and_batches(spark):
+    """Recall where the short list is under 2 % of the vectors; cells and batches don't change the result."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((6000, 24)) + 2 * r.standard_normal((10, 24))[r.integers(0, 10, 6000)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    found = ann.nearest(table).collect()
+    hits = 0
+    for i in range(0, 6000, 100):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10]) & {g.vec_id for g in found if g.query_id == i})
+    assert ann.SHORTLIST < 0.02 * len(x) and hits >= 0.95 * 600
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    again = ann.nearest(table.repartition(5)).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+
+
+def test_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.standard_normal(4).tolist()) for i in range(1, 90)] + [(0, [1.0, 2.0]), (100, [2.0, 1.0]), (200, r.standard_normal(4).tolist()), (101, [1.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    near = lambda q: [x.vec_id for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)]
+    assert near(0) == [101, 100] and near(100) == [101, 0] and len(near(200)) == 10 and set(near(200)) < set(range(1, 90))
+
+
 def test_nearest_small_and_empty_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(x)[:3] for x in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
@@ -141,7 +171,7 @@ def test_html_field_on_unseen_layouts(spark):
     right = total = 0
     for seed in range(5000, 5200):
         blocks = ht.leaf_blocks(ht.laid_out(text, seed))
-        found = field.labels(ht.features(blocks))
+        found = field.labels(ht.features(blocks), ht.steps(blocks))
         right += sum(f == int(b.label == "1") for f, b in zip(found, blocks, strict=True))
         total += len(blocks)
     assert right >= 0.97 * total
