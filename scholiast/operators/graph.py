@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if not changed:
             return labels
+
+
+def citation_edges(papers: DataFrame, order: str) -> DataFrame:
+    """(source_id, target_id, relation, weight): every paper (title, references_raw) cites each DOI in its references; nodes are lower-case names (GRF-11)."""
+    from scholiast.functions.text import dois
+
+    cited = papers.select(F.lower(F.trim("title")).alias("source_id"), F.explode(dois("references_raw")).alias("doi"))
+    return cited.groupBy("source_id", F.lower("doi").alias("target_id")).agg(F.count(F.lit(1)).alias("weight")).select("source_id", "target_id", F.lit("Cites").alias("relation"), "weight")
+
+
+def stats(tables: dict[str, DataFrame], meta: DataFrame) -> DataFrame:
+    """(name, value): row counts and what is noted about the graph (GRF-07)."""
+    out = meta.select("name", "value")
+    for name, rows in tables.items():
+        out = out.unionByName(rows.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(name).alias("name"), "value"))
+    return out
+
+
+def entity_cards(edges: DataFrame, links: DataFrame, chunks: DataFrame, chunk: str, most: int, snippet: int) -> DataFrame:
+    """(id, neighbours, place, chunk, links, snippet): of every entity the number of its neighbours and its `most` chunks with most links (GRF-12)."""
+    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"))).filter("id <> other").distinct()
+    near = both.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
+    counted = links.groupBy("id", chunk).agg(F.count(F.lit(1)).alias("links"))
+    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("links"), chunk))).filter(F.col("place") <= most)
+    return best.join(near, "id").join(chunks, chunk).select("id", "neighbours", "place", chunk, "links", F.left("text", F.lit(snippet)).alias("snippet"))

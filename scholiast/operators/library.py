@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from scholiast.functions import text as T
 
 # fixed values: kinds of link between a manuscript and a paper
-LINK_TYPES = ["cites", "extends", "contradicts", "supports", "method", "related"]
+LINK_TYPES = ["cites", "contrasts", "supports", "background", "extends", "related"]
+#: Columns of a paper in which the library looks.
+SEARCHED = ("title", "authors", "year", "doi", "journal")
+
+
+def _found(papers: DataFrame, asked: str) -> DataFrame:
+    said = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SEARCHED if c in papers.columns]))
+    return papers.filter(F.contains(said, F.lit(asked.lower().strip())))
 
 
 def listing(papers: DataFrame, membership: DataFrame, asked: str = "", folder: str | None = None) -> DataFrame:
-    """Papers (paper_id, title, authors, year, ...) that hold `asked` in any of their columns without regard to case, in a folder, in none ('unfiled') or in any (None), by title without case, then id (FLT-08, SRT-02)."""
-    said = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in papers.columns]))
-    met = papers.filter(F.contains(said, F.lit(asked.lower()))).join(membership.select("paper_id", "folder_id"), "paper_id", "left")
+    """Papers (paper_id, title, authors, year, ...) whose searched columns hold `asked` without regard to case, in a folder, in none ('unfiled') or in any (None), by title without case, then id (FLT-08, SRT-02)."""
+    met = _found(papers, asked).join(membership.select("paper_id", "folder_id"), "paper_id", "left")
     if folder == "unfiled":
         met = met.filter("folder_id is null")
     elif folder is not None:
@@ -22,23 +28,97 @@ def listing(papers: DataFrame, membership: DataFrame, asked: str = "", folder: s
     return met.orderBy(F.lower("title"), "paper_id")
 
 
+def totals(papers: DataFrame, membership: DataFrame, folders: DataFrame, asked: str = "", folder: str | None = None) -> DataFrame:
+    """(name, n): the papers found, all, those in no folder, and those in each folder, where papers that are gone don't count (FLT-08, AGG-16)."""
+    n = F.count(F.lit(1)).alias("n")
+    one = lambda rows, name: rows.agg(n).select(F.lit(name).alias("name"), "n")
+    live = membership.join(papers.select("paper_id"), "paper_id", "left_semi").groupBy("folder_id").agg(n)
+    held = folders.select("folder_id").join(live, "folder_id", "left").select(F.col("folder_id").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
+    return one(listing(papers, membership, asked, folder), "total").unionByName(one(papers, "total_all")).unionByName(one(papers.join(membership, "paper_id", "left_anti"), "unfiled")).unionByName(held)
+
+
+def _like(columns: tuple[str, ...], asked: str) -> Column:
+    """Whether one of the columns holds what is asked, without its wildcards and without regard to case."""
+    bare = asked.replace("%", "").replace("_", "").lower()
+    parts = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(bare)) for c in columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
+
+
+def catalog_search(catalog: DataFrame, asked: str, limit: int = 12) -> DataFrame:
+    """Entries whose key, title, authors, DOI, paper id or alias holds what is asked: by year, newest first and unknown last, then title (FLT-05). An empty question finds nothing; 1 to 50 entries come back."""
+    columns = tuple(c for c in ("citation_key", "title", "authors", "doi", "paper_id", "aliases") if c in catalog.columns)
+    found = catalog.filter(_like(columns, asked.strip())) if asked.strip() else catalog.limit(0)
+    return found.orderBy(F.col("year").isNull(), F.desc("year"), "title", "paper_id").limit(max(1, min(limit, 50)))
+
+
+def picker_search(catalog: DataFrame, papers: DataFrame, asked: str, limit: int = 12) -> DataFrame:
+    """(paper_id, citation_key): of a question of two characters or more the catalog's entries, or where it has none the papers' (FLT-06)."""
+    if len(asked.strip()) < 2:
+        return catalog.select("paper_id", "citation_key").limit(0)
+    known = catalog_search(catalog, asked, limit).select("paper_id", "citation_key")
+    any_known = known.limit(1).agg(F.count(F.lit(1)).alias("known"))
+    other = papers.filter(_like(("title", "authors", "doi", "paper_id"), asked.strip())).orderBy(F.col("year").isNull(), F.desc("year"), "title", "paper_id").limit(limit)
+    return known.unionByName(other.crossJoin(F.broadcast(any_known)).filter("known = 0").select("paper_id", F.lit(None).cast("string").alias("citation_key")))
+
+
+def _numbered(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first `limit` rows in order with their place from 1; the window sees these only."""
+    return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def venue_search(venues: DataFrame, articles: DataFrame, asked: str, limit: int = 10) -> DataFrame:
+    """(kind, name, n): journals by name, publisher or scope, highest impact first, and articles by title or abstract, newest first (FLT-07)."""
+    j = _numbered(venues.filter(_like(("name", "publisher", "scope_statement"), asked)), [F.desc_nulls_last("impact_factor"), F.asc("name")], limit)
+    a = _numbered(articles.filter(_like(("title", "abstract"), asked)), [F.desc_nulls_last("published_date"), F.asc("name")], limit)
+    return j.select(F.lit("journal").alias("kind"), "name", F.col("place").alias("n")).unionByName(a.select(F.lit("article").alias("kind"), "name", F.col("place").alias("n")))
+
+
+def mention_search(kinds: list[tuple[str, DataFrame]], asked: str, limit: int = 6, most: int = 40, label: int = 80) -> DataFrame:
+    """(type, id, title, place): of every kind (name, rows of id, title, at) the newest that hold what is asked, kinds in the given order, `most` in all; titles of memories are cut at `label` characters (FLT-09)."""
+    out = None
+    for i, (name, rows) in enumerate(kinds):
+        title = T.preview("title", label) if name == "memory" else F.col("title")
+        part = _numbered(rows.filter(F.contains(F.lower("title"), F.lit(asked.lower()))), [F.desc("at")], limit).select(F.lit(i).alias("t"), F.lit(name).alias("type"), "id", title.alias("title"), "place")
+        out = part if out is None else out.unionByName(part)
+    return _numbered(out.withColumnRenamed("place", "n"), [F.asc("t"), F.asc("n")], most).select("type", "id", "title", "place")
+
+
+def filtered(rows: DataFrame, filters: dict[str, object], order: list[Column], limit: int) -> DataFrame:
+    """Rows that equal every filter that is not None, in order, with their place (FLT-10)."""
+    for column, value in filters.items():
+        rows = rows if value is None else rows.filter(F.col(column) == value)
+    return _numbered(rows, order, limit)
+
+
+def upcoming(experiments: DataFrame, day: Column) -> DataFrame:
+    """Planned experiments scheduled on `day` or later, soonest first (FLT-11)."""
+    return experiments.filter((F.col("status") == "planned") & (F.col("scheduled_for") >= day)).orderBy("scheduled_for", "id")
+
+
 def page(rows: DataFrame, number: int, size: int = 30) -> DataFrame:
     """Page `number` from 1 of an ordered table (SRT-04)."""
     return rows.offset((number - 1) * size).limit(size)
 
 
-def moved(items: DataFrame, moves: DataFrame, as_of: Column) -> DataFrame:
-    """Planner items (id, status, completed_at) after moves (id, to_status): done sets completed_at, anything else clears it; an unmoved item stays (DML-08)."""
-    met = items.join(moves, "id", "left")
-    done = F.when(F.col("to_status") == "done", F.coalesce("completed_at", as_of)).when(F.col("to_status").isNull(), F.col("completed_at"))
-    return met.select("id", F.coalesce("to_status", "status").alias("status"), done.alias("completed_at"))
+def upsert_links(links: DataFrame, new: DataFrame, manuscripts: DataFrame, papers: DataFrame) -> DataFrame:
+    """Links (manuscript_id, paper_id, link_type, note, created_at) after `new` ones in order of created_at (DML-12).
+
+    A link is one of a manuscript, a paper and a type; where it is there only its note changes, to the last one given. New links of unknown types,
+    manuscripts or papers are refused.
+    """
+    key = ["manuscript_id", "paper_id", "link_type"]
+    good = new.filter(F.col("link_type").isin(LINK_TYPES)).join(manuscripts.select("manuscript_id"), "manuscript_id", "left_semi").join(papers.select("paper_id"), "paper_id", "left_semi")
+    both = links.withColumn("_new", F.lit(0)).unionByName(good.withColumn("_new", F.lit(1)))
+    return both.groupBy(*key).agg(F.max_by("note", F.struct("_new", "created_at", "note")).alias("note"), F.min_by("created_at", F.struct("_new", "created_at")).alias("created_at"))
 
 
-def upsert_links(links: DataFrame, new: DataFrame) -> DataFrame:
-    """Links (manuscript_id, paper_id, link_type, created_at): the newest row of a pair stays; unknown types are dropped (DML-12)."""
-    both = links.unionByName(new.filter(F.col("link_type").isin(LINK_TYPES)))
-    newest = F.max_by(F.struct("link_type", "created_at"), F.struct("created_at", "link_type"))
-    return both.groupBy("manuscript_id", "paper_id").agg(newest.alias("x")).select("manuscript_id", "paper_id", "x.link_type", "x.created_at")
+def linked_papers(links: DataFrame, papers: DataFrame) -> DataFrame:
+    """Links with title, authors and year of their papers; a paper that is gone has its id as title (DML-12)."""
+    met = links.join(papers.select("paper_id", "title", "authors", "year"), "paper_id", "left")
+    return met.select(*links.columns, F.coalesce("title", F.col("paper_id").cast("string")).alias("title"), F.coalesce("authors", F.lit("")).alias("authors"), "year")
 
 
 def note_folders(folders: DataFrame, notes: DataFrame) -> DataFrame:

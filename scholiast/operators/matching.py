@@ -3,30 +3,16 @@
 from __future__ import annotations
 
 import difflib
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from scholiast.functions import text as T
 from scholiast.operators.graph import components, cut_lineage
 
 
-@F.pandas_udf(StringType())
-def ascii_fold(texts: pd.Series) -> pd.Series:
-    """NFKD, ASCII only, lower case, other characters as one space (STR-05)."""
-
-    def fold(x: str | None) -> str | None:
-        if x is None:
-            return None
-        plain = unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower()
-        return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
-
-    return texts.map(fold)
-
-
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity (MTH-05)."""
@@ -40,8 +26,8 @@ def fuzzy_match(records: DataFrame, catalog: DataFrame, matched: float = 0.96, r
     `new`. Only titles that share one of a record's three rarest words with it are compared, so nothing is a
     cross join; a title within the thresholds has most of its words in common.
     """
-    r = records.withColumn("key", ascii_fold("title")).withColumn("rdoi", T.doi_key("doi"))
-    c = catalog.withColumn("ckey", ascii_fold("title")).withColumn("cdoi", T.doi_key("doi"))
+    r = records.withColumn("key", T.ascii_fold("title")).withColumn("rdoi", T.doi_key("doi"))
+    c = catalog.withColumn("ckey", T.ascii_fold("title")).withColumn("cdoi", T.doi_key("doi"))
     by_doi = r.join(c, r.rdoi == c.cdoi).groupBy("record_id").agg(F.min("catalog_id").alias("catalog_id")).withColumn("score", F.lit(1.0))
     words = c.select("catalog_id", "ckey", F.explode(F.array_distinct(F.split("ckey", " "))).alias("word"))
     df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -55,12 +41,66 @@ def fuzzy_match(records: DataFrame, catalog: DataFrame, matched: float = 0.96, r
     return found.select("record_id", F.when(F.col("score") >= review, F.col("catalog_id")).alias("catalog_id"), "score", F.coalesce(status, F.lit("new")).alias("status"))
 
 
-def overlap_tier(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    """(shared tokens, overlap coefficient, tier) of two token arrays: AUTO, REVIEW or NONE (MTH-04, DED-10)."""
-    shared = F.size(F.array_intersect(a, b))
-    score = F.round(shared / F.greatest(F.lit(1), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))), 6)
-    tier = F.when((score >= 0.85) & (shared >= 5), "AUTO").when((score >= 0.6) & (shared >= 3), "REVIEW").otherwise("NONE")
-    return shared, score, tier
+def tier(score: Column, shared: Column) -> Column:
+    """AUTO, REVIEW or SKIP for an overlap coefficient and a number of shared words (DED-10)."""
+    return F.when((score >= 0.85) & (shared >= 5), "AUTO").when((score >= 0.6) & (shared >= 3), "REVIEW").otherwise("SKIP")
+
+
+def overlaps(left: DataFrame, left_key: str, left_words: str, right: DataFrame, right_key: str, right_words: str) -> DataFrame:
+    """(left key, right key, shared, score, tier) of rows that share a word, from arrays of distinct words: score is the overlap coefficient (MTH-04).
+
+    Rows meet by word in a join with map-side counts, so rows without a common word never meet. A word of very many rows on both sides makes many pairs; leave such words out of the arrays.
+    """
+    x = left.select(left_key, F.size(left_words).alias("na"), F.explode(left_words).alias("t"))
+    y = right.select(right_key, F.size(right_words).alias("nb"), F.explode(right_words).alias("t"))
+    n = x.join(y, "t").groupBy(left_key, right_key, "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    scored = n.withColumn("score", F.round(F.col("shared") / F.greatest(F.lit(1), F.least("na", "nb")), 6))
+    return scored.select(left_key, right_key, "shared", "score", tier(F.col("score"), F.col("shared")).alias("tier"))
+
+
+def proposals(papers: DataFrame, offers: DataFrame) -> DataFrame:
+    """The best offer (paper_id, n, new_title, ...) for each of `papers` (paper_id, title): largest overlap, the first of equal ones, with shared, score and tier (DED-10)."""
+    plain = T.unescaped(F.regexp_replace("new_title", "<[^>]+>", ""))
+    met = offers.withColumn("new_title", F.trim(F.regexp_replace(plain, r"\s{2,}", " "))).join(papers, "paper_id")
+    a, b = T.title_tokens("title"), T.title_tokens("new_title")
+    shared, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
+    scored = met.withColumn("shared", shared).withColumn("score", F.when(least > 0, F.round(F.col("shared") / least, 6)).otherwise(0.0))
+    kept = [c for c in offers.columns if c != "paper_id"]
+    best = scored.groupBy("paper_id").agg(F.max_by(F.struct(*kept, "shared", "score"), F.struct("score", F.negate("n"))).alias("o")).select("paper_id", "o.*")
+    return best.withColumn("tier", tier(F.col("score"), F.col("shared")))
+
+
+def reconciled_titles(papers: DataFrame, records: DataFrame) -> DataFrame:
+    """Papers (paper_id, title, title_original, doi, source_pdf) whose placeholder titles take the title of `records` (paper_id, doi, file, title), with `changed` (JOI-10, DED-09).
+
+    A record belongs to a paper by equal id, normalised DOI or file name: three equi-joins, united. All usable titles found must be
+    one after normalisation, else the paper stays as it is; a title that is no placeholder is never changed, so a second run changes nothing.
+    """
+    name = lambda c: F.nullif(F.regexp_replace(c, "^.*/", ""), F.lit(""))
+    open_ = papers.filter(T.is_placeholder_title("title", "paper_id", "source_pdf")).select("paper_id", "source_pdf", F.nullif(T.title_key("doi"), F.lit("")).alias("d"), name("source_pdf").alias("f"))
+    said = records.select(F.col("paper_id").alias("record"), F.nullif(T.title_key("doi"), F.lit("")).alias("d"), name("file").alias("f"), F.trim("title").alias("found"))
+    ways = [open_.join(said.select(F.col("record").alias("paper_id"), "found"), "paper_id"), open_.join(said.select("d", "found"), "d"), open_.join(said.select("f", "found"), "f")]
+    met = None
+    for i, way in enumerate(ways):
+        part = way.select("paper_id", "source_pdf", "found", F.lit(i).alias("way"))
+        met = part if met is None else met.unionByName(part)
+    usable = met.filter(T.is_usable_title("found", "paper_id", "source_pdf"))
+    one = usable.groupBy("paper_id").agg(F.min_by("found", F.struct("way", "found")).alias("new"), F.count_distinct(T.title_key("found")).alias("n")).filter("n = 1").drop("n")
+    out = papers.join(one, "paper_id", "left").withColumn("changed", F.col("new").isNotNull())
+    original = F.when(F.col("changed"), F.coalesce(F.nullif("title_original", F.lit("")), "title")).otherwise(F.col("title_original"))
+    return out.select(*[original.alias(c) if c == "title_original" else F.coalesce("new", "title").alias(c) if c == "title" else F.col(c) for c in papers.columns], "changed")
+
+
+def best_per_doi(papers: DataFrame, doi: str, chunks: str, key: str) -> DataFrame:
+    """(doi, key): of the papers with one DOI the one with most chunks, then the smallest key; no DOI, no group (DED-03)."""
+    return papers.filter(F.coalesce(F.col(doi), F.lit("")) != "").groupBy(doi).agg(F.max_by(key, F.struct(chunks, F.negate(key))).alias(key))
+
+
+def inserted_once(articles: DataFrame, order: str) -> DataFrame:
+    """Articles (doi, journal, title, ...), the first of a DOI, and of those without one the first of a journal and title (DED-04)."""
+    dated = F.coalesce(F.col("doi"), F.lit("")) != ""
+    known = F.when(dated, F.struct("doi", F.lit(None).cast("string").alias("journal"), F.lit(None).cast("string").alias("title"))).otherwise(F.struct(F.lit(None).cast("string").alias("doi"), "journal", "title"))
+    return articles.groupBy(known.alias("_key")).agg(F.min_by(F.struct(*articles.columns), order).alias("a")).select("a.*")
 
 
 def first_per_key(rows: DataFrame, key: list[Column | str], order: list[Column | str]) -> DataFrame:

@@ -69,3 +69,9 @@ def appended(log: DataFrame, new: DataFrame, session: str, order: str) -> DataFr
     turn = F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy(session).orderBy(order))
     added = new.join(last, session, "left").withColumn("turn", turn.cast("long")).drop("last")
     return log.unionByName(cut_lineage(added.select(*log.columns)))
+
+
+def created_submissions(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Submissions (id, manuscript_id, journal_id, created_at) in their first state, and the transition from nothing that each begins with (DML-13)."""
+    made = new.withColumn("current_state", F.lit("draft"))
+    return made, made.select(F.col("id").alias("submission_id"), F.lit(None).cast("string").alias("from_state"), F.col("current_state").alias("to_state"), F.col("created_at").alias("transitioned_at"))

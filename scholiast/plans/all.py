@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from scholiast.plans import assist, graphs, libraries, relational, retrieval, streams, texts, venues  # noqa: F401
+from scholiast.plans import assist, catalogs, graphs, libraries, manuscripts, papers, planner, relational, retrieval, streams, texts, venues  # noqa: F401

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholiast.functions import citations as C
 from scholiast.functions import models as Mo
 from scholiast.functions import text as T
 from scholiast.operators import retrieval as R
@@ -89,13 +88,6 @@ def key_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(exact, "said", "left").join(other, "said", "left").select("asked", F.coalesce("x", "y").alias("doc_id"))
 
 
-@query("SELECT conv_id, user_turns, CASE WHEN user_turns >= 4 THEN 'long' ELSE 'short' END AS kind, last_turn + 1 AS clip_position FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS user_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id)")
-def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DML-09, DML-10, DML-14"""
-    s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("user_turns"), F.max("turn").alias("last_turn"))
-    return s.select("conv_id", "user_turns", F.when(F.col("user_turns") >= 4, "long").otherwise("short").alias("kind"), (F.col("last_turn") + 1).alias("clip_position"))
-
-
 @query("""WITH p AS (SELECT doc_id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE lang END AS title_original FROM documents), x AS (SELECT doc_id, 'new ' || source AS title, CASE WHEN doc_id % 4 = 0 THEN 'AUTO' ELSE 'NONE' END AS tier FROM documents)
 SELECT doc_id, CASE WHEN tier = 'AUTO' THEN x.title ELSE p.title END AS title, CASE WHEN tier = 'AUTO' THEN coalesce(p.title_original, p.title) ELSE p.title_original END AS title_original FROM p JOIN x USING (doc_id)""")
 def apply_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +99,6 @@ def apply_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(x, "doc_id").select("doc_id", F.when(auto, F.col("new_title")).otherwise(F.col("title")).alias("title"), F.when(auto, F.coalesce("title_original", "title")).otherwise(F.col("title_original")).alias("title_original"))
 
 
-@query(f"""SELECT conv_id, list_distinct({TOKENS.format('text')}) IS NOT NULL AS read, CASE WHEN contains(lower(role || ' ' || left(text, 40)), 'system') THEN 'system' ELSE 'other' END AS kind, turn FROM conversations""")
-def turn_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-28's ordered choice over roles"""
-    said = F.lower(F.concat_ws(" ", "role", F.left("text", F.lit(40))))
-    return table(spark, sf_dir, "conversations").select("conv_id", F.array_distinct(T.tokens("text")).isNotNull().alias("read"), F.when(F.contains(said, F.lit("system")), "system").otherwise("other").alias("kind"), "turn")
-
-
 @query()
 def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-09, GRF-10 by the deterministic rule: pairs of names in one sentence"""
@@ -125,10 +110,3 @@ def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF-01, UDF-02, UDF-09 by the deterministic stand-in"""
     return Mo.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", Mo.hashed_embedder()).select("doc_id", "embedding")
-
-
-@query("SELECT source AS project, string_agg('# ' || lang || chr(10) || chr(10) || left(text, 50), chr(10) || chr(10) ORDER BY doc_id) AS value FROM documents GROUP BY source")
-def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-17, DML-16"""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), "doc_id", "lang", F.left("text", F.lit(50)).alias("head"))
-    return C.export_text(d, "project", "doc_id", "lang", "head")

@@ -105,21 +105,6 @@ def key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.first_per_key(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), ["source", "lang"], ["doc_id"])
 
 
-TOK = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
-
-
-@query(f"""WITH q AS (SELECT item_id, text, {TOK.format('text')} AS a FROM benchmark), d AS (SELECT doc_id, {TOK.format('left(text, 400)')} AS b FROM documents),
-r AS (SELECT item_id, doc_id, len(list_intersect(a, b)) AS shared, round(len(list_intersect(a, b)) / greatest(1, least(len(a), len(b))), 6) AS score FROM q, d)
-SELECT item_id, doc_id, shared, score, CASE WHEN score >= 0.85 AND shared >= 5 THEN 'AUTO' ELSE 'REVIEW' END AS tier FROM r WHERE score >= 0.6 AND shared >= 3""")
-def overlap_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MTH-04, DED-10: items meet the documents that share one of their tokens"""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens("text")).alias("a"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokens(F.left("text", F.lit(400)))).alias("b"))
-    n = d.select("doc_id", F.size("b").alias("nb"), F.explode("b").alias("t")).join(q.select("item_id", F.size("a").alias("na"), F.explode("a").alias("t")), "t").groupBy("item_id", "doc_id", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    scored = n.withColumn("score", F.round(F.col("shared") / F.greatest(F.lit(1), F.least("na", "nb")), 6)).filter("score >= 0.6 and shared >= 3")
-    return scored.select("item_id", "doc_id", "shared", "score", F.when((F.col("score") >= 0.85) & (F.col("shared") >= 5), "AUTO").otherwise("REVIEW").alias("tier"))
-
-
 @query()
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-08, JOI-09, DED-05, STR-05, MTH-05: conversation openings against document openings; the ratio has no SQL form"""

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholiast.operators import library as L
-from scholiast.operators import tracker as K
 from scholiast.plans.registry import query, table
 
 
-@query("SELECT c_custkey::VARCHAR AS paper_id, c_name AS title, c_mktsegment AS authors, c_nationkey AS year, CASE WHEN c_custkey % 3 = 0 THEN 'f' || (c_custkey % 4) END AS folder_id FROM customer WHERE contains(lower(c_custkey || ' ' || c_name || ' ' || c_mktsegment || ' ' || c_nationkey), 'auto') AND c_custkey % 3 = 0 AND c_custkey % 4 = 1 ORDER BY lower(c_name), c_custkey::VARCHAR LIMIT 30")
+@query("SELECT c_custkey::VARCHAR AS paper_id, c_name AS title, c_mktsegment AS authors, c_nationkey AS year, CASE WHEN c_custkey % 3 = 0 THEN 'f' || (c_custkey % 4) END AS folder_id FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment || ' ' || c_nationkey), 'auto') AND c_custkey % 3 = 0 AND c_custkey % 4 = 1 ORDER BY lower(c_name), c_custkey::VARCHAR LIMIT 30")
 def library_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-08, SRT-02, SRT-04"""
     c = table(spark, sf_dir, "customer")
@@ -19,21 +18,21 @@ def library_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.page(L.listing(papers, member, "AUTO", "f1"), 1)
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'open' ELSE o_orderstatus END AS status, CASE o_orderkey % 3 WHEN 0 THEN coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END, TIMESTAMP '1999-01-01') WHEN 2 THEN CASE WHEN o_orderstatus = 'F' THEN o_orderdate END END AS completed_at FROM orders")
-def planner_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DML-08, DML-03"""
-    o = table(spark, sf_dir, "orders")
-    items = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("completed_at"))
-    moves = o.filter("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "done").otherwise("open").alias("to_status"))
-    return L.moved(items, moves, F.lit("1999-01-01 00:00:00").cast("timestamp_ntz"))
+_KIND = "CASE l_linenumber % 4 WHEN 0 THEN 'cites' WHEN 1 THEN 'contrasts' WHEN 2 THEN 'background' ELSE 'unknown' END"
 
 
-@query("""WITH l AS (SELECT l_orderkey AS manuscript_id, l_partkey AS paper_id, CASE l_linenumber % 3 WHEN 0 THEN 'cites' WHEN 1 THEN 'supports' ELSE 'unknown' END AS link_type, l_shipdate AS created_at FROM lineitem)
-SELECT manuscript_id, paper_id, arg_max(link_type, strftime(created_at, '%Y%m%d') || link_type) AS link_type, max(created_at) AS created_at FROM l WHERE link_type <> 'unknown' GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY manuscript_id, paper_id"))
+@query(f"""WITH l AS (SELECT l_orderkey AS manuscript_id, l_suppkey AS paper_id, {_KIND} AS link_type, l_comment AS note, l_shipdate AS made FROM (SELECT *, l_returnflag || l_linenumber AS l_comment FROM lineitem)),
+old AS (SELECT manuscript_id, paper_id, link_type, min(made) AS made FROM l WHERE link_type <> 'unknown' AND manuscript_id % 2 = 0 GROUP BY ALL), good AS (SELECT * FROM l WHERE link_type <> 'unknown' AND manuscript_id % 5 <> 0 AND paper_id % 3 <> 0),
+k AS (SELECT manuscript_id, paper_id, link_type FROM old UNION SELECT manuscript_id, paper_id, link_type FROM good), n AS (SELECT manuscript_id, paper_id, link_type, arg_max(note, strftime(made, '%Y%m%d') || note) AS note, min(made) AS made FROM good GROUP BY ALL)
+SELECT k.*, coalesce(n.note, 'old') AS note, coalesce(old.made, n.made) AS created_at, coalesce(s_name, k.paper_id::VARCHAR) AS title FROM k LEFT JOIN n USING (manuscript_id, paper_id, link_type) LEFT JOIN old USING (manuscript_id, paper_id, link_type) LEFT JOIN supplier ON s_suppkey = k.paper_id AND s_suppkey % 3 <> 0""")
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DML-12, DML-02"""
-    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("manuscript_id"), F.col("l_partkey").alias("paper_id"), F.when(F.col("l_linenumber") % 3 == 0, "cites").when(F.col("l_linenumber") % 3 == 1, "supports").otherwise("unknown").alias("link_type"), F.col("l_shipdate").alias("created_at"))
-    return L.upsert_links(x.limit(0), x)
+    """DML-12, DML-02: a link of one type changes its note only; unknown types, manuscripts and papers are refused; titles are attached"""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("manuscript_id"), F.col("l_suppkey").alias("paper_id"), F.expr(_KIND).alias("link_type"), F.concat("l_returnflag", "l_linenumber").alias("note"), F.col("l_shipdate").alias("created_at"))
+    old = x.filter("link_type <> 'unknown' and manuscript_id % 2 = 0").groupBy("manuscript_id", "paper_id", "link_type").agg(F.lit("old").alias("note"), F.min("created_at").alias("created_at"))
+    papers = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("paper_id"), F.col("s_name").alias("title"), F.lit("").alias("authors"), F.lit(None).cast("int").alias("year"))
+    manuscripts = table(spark, sf_dir, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("manuscript_id"))
+    after = L.upsert_links(old, x, manuscripts, papers)
+    return L.linked_papers(after, papers).select("manuscript_id", "paper_id", "link_type", "note", "created_at", F.col("title").cast("string").alias("title"))
 
 
 @query("SELECT n_name AS folder, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
@@ -51,12 +50,3 @@ def new_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
     known = table(spark, sf_dir, "embeddings").filter("label < 5").select(F.col("vec_id").cast("string").alias("chunk_id"))
     return L.index_tables(d, known)[1]
-
-
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus <> 'F' AND o_orderkey IS NOT NULL THEN l_shipdate::DATE + (DATE '1999-01-01' - o_orderdate::DATE)::INT ELSE l_shipdate::DATE END AS due_date
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') ON l_orderkey = o_orderkey""")
-def shifted_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DAT-04, DML-08: open tasks move with their experiment"""
-    tasks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("experiment_id"), "l_linenumber", F.when(F.col("l_linestatus") == "F", "done").otherwise("open").alias("status"), F.to_date("l_shipdate").alias("due_date"))
-    moved = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("experiment_id"), F.to_date("o_orderdate").alias("old_date"), F.lit("1999-01-01").cast("date").alias("new_date"))
-    return K.shift_open(tasks, moved).select(F.col("experiment_id").alias("l_orderkey"), "l_linenumber", "due_date")

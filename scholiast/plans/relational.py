@@ -69,17 +69,6 @@ def dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.filter("l_quantity > 45").join(named, x.l_suppkey == named.s_suppkey, "left").select("l_orderkey", "l_linenumber", "s_name", "n_name")
 
 
-@query("""WITH k AS (SELECT md5(left(text, 60)) AS title, source, doc_id FROM documents), m AS (
- SELECT a.doc_id, b.title FROM k a JOIN k b ON a.title = b.title UNION SELECT a.doc_id, b.title FROM k a JOIN k b ON a.doc_id = b.doc_id)
-SELECT doc_id, min(title) AS title FROM m GROUP BY doc_id HAVING count(DISTINCT title) = 1""")
-def multi_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI-10, DED-09: one record by any of several keys, taken only if they agree"""
-    k = table(spark, sf_dir, "documents").select(F.md5(F.left("text", F.lit(60))).alias("title"), "doc_id")
-    titles = k.select("title").distinct()
-    met = k.join(titles, "title").select("doc_id", "title").unionByName(k.select("doc_id", "title"))
-    return met.groupBy("doc_id").agg(F.min("title").alias("title"), F.count_distinct("title").alias("n")).filter("n = 1").drop("n")
-
-
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM pages) AS pages, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(DISTINCT source) FROM documents) AS sources")
 def global_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-01, AGG-02, GRF-07"""

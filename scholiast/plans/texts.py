@@ -37,13 +37,6 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_tags("html")).alias("plain"))
 
 
-@query(r"""SELECT page_id, TRY_CAST(nullif(regexp_extract(url || ' 19' || (page_id % 70 + 20) || ' x', '\b((?:19|20)\d{2})\b', 1), '') AS INT) AS year FROM pages""")
-def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-10"""
-    said = F.concat("url", F.lit(" 19"), (F.col("page_id") % 70 + 20).cast("string"), F.lit(" x"))
-    return table(spark, sf_dir, "pages").select("page_id", T.first_year(said).alias("year"))
-
-
 @query("""SELECT page_id, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 48) AS journal_slug FROM pages""")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-13"""
@@ -121,23 +114,6 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.filter(F.size("sizes") > 0).select("doc_id", F.size("sizes").alias("n_sentences"), *cuts)
 
 
-@query(r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '^\s*(\S+)', 1), ''), '') || lang AS key, round((length(text) - length(regexp_replace(text, '[\x{FFFD}\x{E000}-\x{F8FF}\x{2700}-\x{27BF}\x{2500}-\x{25FF}]', '', 'g'))) / greatest(1, len(regexp_extract_all(text, '[\p{L}\p{N}]'))), 6) AS bad FROM documents""")
-def garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-13: suspicious marks against letters and digits"""
-    marks = F.regexp_count("text", F.lit(r"[\x{FFFD}\x{E000}-\x{F8FF}\x{2700}-\x{27BF}\x{2500}-\x{25FF}]"))
-    key = F.concat(F.regexp_extract("text", r"^\s*(\S+)", 1), "lang")
-    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), F.round(marks / F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"[\p{L}\p{N}]"))), 6).alias("bad"))
-
-
-@query(r"""SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(text || ' See [1,3] and [2-4], [9]', '\d+'), lambda x: x::INT)) IS NOT NULL AS cited, '[' || (turn + 1) || '] ' || role || '. ' || left(text, 30) AS line FROM conversations""")
-def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-17, STR-18"""
-    cited = F.size(T.cited_numbers(F.concat("text", F.lit(" See [1,3] and [2-4], [9]")), F.lit(5))) == 4
-    line = T.reference_line(F.col("turn") + 1, F.col("role"), F.substring("text", 1, 30), F.lit(None).cast("int"), F.lit(None).cast("string"))
-    trimmed = F.format_string("[%d] %s. %s", F.col("turn") + 1, "role", F.substring("text", 1, 30))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cited.alias("cited"), F.when(line.isNotNull(), trimmed).alias("line"))
-
-
 @query(r"""WITH h AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages), s AS (SELECT *, CASE WHEN host LIKE '%.example.org' THEN 2 WHEN host LIKE '%.net' THEN 1 ELSE 0 END AS score FROM h WHERE host NOT LIKE 'm.%')
 SELECT page_id, host, score, row_number() OVER (ORDER BY score DESC, page_id) AS place FROM s QUALIFY place <= 100""")
 def web_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,34 +113,6 @@ def stalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.stalled(o, F.lit("1998-08-02 12:00:00").cast("timestamp"), ["o_orderdate"], "o_orderstatus", {"O": 1200, "P": 600}, 2000).select("o_orderkey", "o_orderstatus", "days")
 
 
-@query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state, 'order-' || o_orderkey AS item, coalesce(n, 0) AS tasks, o_orderstatus = 'F' AS closed FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) ON l_orderkey = o_orderkey")
-def plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DML-07, DAT-05"""
-    o, x = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    n = x.filter("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
-    done = F.col("o_orderstatus") == "F"
-    return o.join(n, "o_orderkey", "left").select(F.when(done, "done").otherwise("open").alias("state"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("item"), F.coalesce("n", F.lit(0)).alias("tasks"), done.alias("closed"))
-
-
-@query("""WITH a AS (SELECT 1 AS t, 'customer' AS type, c_name AS name, row_number() OVER (ORDER BY c_name) AS n FROM customer WHERE c_name ILIKE '%00001%' UNION ALL SELECT 2, 'supplier', s_name, row_number() OVER (ORDER BY s_name) FROM supplier WHERE s_name ILIKE '%00001%' UNION ALL SELECT 3, 'part', p_name, row_number() OVER (ORDER BY p_name, p_partkey) FROM part WHERE p_name ILIKE '%a%')
-SELECT type, name, n FROM a WHERE n <= 15 ORDER BY t, n LIMIT 40""")
-def mention_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-09: the first of each type in a fixed order of types"""
-    out = None
-    for i, (name, column, key, asked) in enumerate([("customer", "c_name", "c_name", "%00001%"), ("supplier", "s_name", "s_name", "%00001%"), ("part", "p_name", "p_partkey", "%a%")]):
-        first = table(spark, sf_dir, name).filter(F.col(column).ilike(asked)).orderBy(column, key).limit(15)
-        part = first.select(F.lit(i).alias("t"), F.lit(name).alias("type"), F.col(column).alias("name"), F.row_number().over(Window.orderBy(column, key)).alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy("t", "n").limit(40).select("type", "name", "n")
-
-
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE (c_name ILIKE '%0001%' OR c_mktsegment ILIKE '%build%') AND c_acctbal >= 1000 ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
-def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-05, FLT-06, FLT-07, FLT-10, FLT-11"""
-    asked = F.col("c_name").ilike("%0001%") | F.col("c_mktsegment").ilike("%build%")
-    return table(spark, sf_dir, "customer").filter(asked & (F.col("c_acctbal") >= 1000)).select("c_custkey", "c_name", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50)
-
-
 @query("SELECT doc_id, source, lang FROM documents ANTI JOIN embeddings ON doc_id = vec_id")
 def new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-16, STM-08"""
