@@ -64,6 +64,14 @@ def picker_search(catalog: DataFrame, papers: DataFrame, asked: str, limit: int
     return known.unionByName(other.crossJoin(F.broadcast(any_known)).filter("known = 0").select("paper_id", F.lit(None).cast("string").alias("citation_key")))
 
 
+def resolved_keys(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(asked, paper_id) for tokens (asked, token): the entry whose citation key or paper id a token is, else one with it among its aliases (DED-12). @ in front doesn't count."""
+    q = asked.select("asked", F.regexp_replace(F.trim("token"), "^@+", "").alias("token"))
+    exact = catalog.select(F.col("citation_key").alias("token"), "paper_id").unionByName(catalog.select(F.col("paper_id").alias("token"), "paper_id")).groupBy("token").agg(F.min("paper_id").alias("x"))
+    alias = catalog.select(F.explode("aliases").alias("token"), "paper_id").groupBy("token").agg(F.min("paper_id").alias("y"))
+    return q.join(exact, "token", "left").join(alias, "token", "left").select("asked", F.coalesce("x", "y").alias("paper_id"))
+
+
 def _numbered(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first `limit` rows in order with their place from 1; the window sees these only."""
     return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -155,3 +155,11 @@ def merge_fill_empty(target: DataFrame, source: DataFrame, key: str, columns: li
 def snapshot_replace(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All rows of the keys in `new` are replaced by its rows (DML-04)."""
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def applied_proposals(papers: DataFrame, proposals: DataFrame, tiers: list[str]) -> DataFrame:
+    """Papers (paper_id, title, title_original, doi, year, authors) with the proposals (paper_id, new_title, doi, year, authors, tier) of some tiers (DED-15)."""
+    taken = proposals.filter(F.col("tier").isin(tiers) & F.col("new_title").isNotNull()).select("paper_id", F.col("new_title").alias("_title"), F.col("doi").alias("_doi"), F.col("year").alias("_year"), F.col("authors").alias("_authors"))
+    met = papers.join(taken, "paper_id", "left")
+    new = F.col("_title").isNotNull()
+    return met.select("paper_id", F.coalesce("_title", "title").alias("title"), F.when(new, F.coalesce("title_original", "title")).otherwise(F.col("title_original")).alias("title_original"), F.when(new, F.col("_doi")).otherwise(F.col("doi")).alias("doi"), F.coalesce("_year", "year").alias("year"), F.coalesce(F.nullif("_authors", F.lit("")), "authors").alias("authors"))

@@ -8,9 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholiast.functions.text import tokens
+from scholiast.functions.text import TOKEN, tokens
+from scholiast.operators.graph import cut_lineage
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Rows of query tokens up to which they are broadcast; more meet the words by a shuffled join.
+FEW = 100_000
+
+
+def broadcast_if_few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """The rows, marked for a broadcast if there are at most `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,16 +30,15 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score): BM25 with idf ln(1 + (N - df + .5) / (df + .5)) for `queries` (query_id, query) (RET-01, FLT-01).
 
-    A query is the OR of its distinct tokens. Only tokens that some query holds are kept of the documents,
-    so the shuffle carries matches, not the collection; lengths are counted in the same pass.
+    A query is the OR of its distinct tokens. Words meet the query tokens in a hash join within the scan, before any
+    shuffle, so only matches are counted and moved; lengths come with them, their mean from a count of words.
+    The tokens of the queries are broadcast behind a check of their number.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("token"))
-    sized = docs.select(key, tokens(text).alias("words")).withColumn("len", F.size("words"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    # tokens of the queries are counted within a document's array and never leave it otherwise
-    wanted = asked.select("token").distinct().agg(F.collect_set("token").alias("wanted"))
-    hits = sized.crossJoin(F.broadcast(wanted)).select(key, "len", F.explode(F.filter("words", lambda w: F.array_contains("wanted", w))).alias("token"))
-    tf = hits.groupBy(key, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    asked = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("token")))
+    wanted = broadcast_if_few(asked.select("token").distinct())
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))).alias("mean"))
+    sized = docs.select(key, tokens(text).alias("words")).select(key, F.size("words").alias("len"), F.explode("words").alias("token"))
+    tf = cut_lineage(sized.join(wanted, "token").groupBy(key, "len", "token").agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighed = tf.join(df, "token").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -51,9 +58,12 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame) -> DataFrame:
     """(query_id, key, score): exact cosine of every vector with every query vector of `queries` (query_id, query_vector) (RET-02, MTH-01).
 
-    Restrict `vectors` before the call: a restriction after the top k would lose rows (FLT-04).
+    Restrict `vectors` before the call: a restriction after the top k would lose rows (FLT-04). The queries are a batch of a checked
+    size beside all vectors; `top` keeps the k best of each query in every task before anything is moved.
     """
-    return vectors.crossJoin(queries).select("query_id", key, F.round(cosine(F.col(vector), F.col("query_vector")), 6).alias("score"))
+    known = vectors.select(key, vector, F.sqrt(dot(F.col(vector), F.col(vector))).alias("_v"))
+    asked = broadcast_if_few(queries.select("query_id", "query_vector", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))).alias("_q")), 10_000)
+    return known.crossJoin(asked).select("query_id", key, F.round(dot(F.col(vector), F.col("query_vector")) / F.nullif(F.col("_v") * F.col("_q"), F.lit(0.0)), 6).alias("score"))
 
 
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -86,3 +96,59 @@ def rerank(ranked: DataFrame, query: str, text: str) -> DataFrame:
     """Adds `overlap`, the share of query tokens that the text holds: a deterministic stand-in for a cross-encoder (RET-05)."""
     q = F.array_distinct(tokens(query))
     return ranked.withColumn("overlap", F.round(F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.lit(1), F.size(q)), 6))
+
+
+def reranked(ranked: DataFrame, query: str, text: str, most: int) -> DataFrame:
+    """The `most` of each query that the reranker puts first, with their new rank (RET-05, RET-07)."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")
+    placed = rerank(ranked, query, text).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return placed.drop("rank", query, text).withColumnRenamed("place", "rank")
+
+
+def hybrid(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, queries: DataFrame, key: str, group: str, text: str, k: int = 8, fused: int = 40) -> DataFrame:
+    """The whole search (RET-07): both arms fused to `fused`, hydrated, reranked to 2 k, at most two of a group, k in all."""
+    found = fuse([lexical, dense], key, fused).join(chunks.select(key, group, text), key).join(F.broadcast(queries), "query_id")
+    return diversify(reranked(found, "query", text, 2 * k), group, key, k=k)
+
+
+def enriched(found: DataFrame, catalog: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Results whose empty fields take the catalog's values, with its citation_key (RET-08)."""
+    right = catalog.select(key, "citation_key", *[F.col(c).alias(f"_{c}") for c in fields])
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0")
+    met = found.join(right, key, "left")
+    return met.select(*[F.when(empty(c) & ~empty(f"_{c}"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in found.columns], "citation_key")
+
+
+def graph_additions(seeds: DataFrame, edges: DataFrame, links: DataFrame, known: DataFrame, most: int = 20, added: int = 6) -> DataFrame:
+    """(query_id, chunk, n): of the chunks with most links to the seeds (query_id, id) and their neighbours the first `most`, without those known (query_id, chunk), the first `added` (RET-09)."""
+    both = edges.select("source_id", "target_id").unionByName(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
+    near = both.join(seeds.withColumnRenamed("id", "source_id"), "source_id").select("query_id", F.col("target_id").alias("id"))
+    wide = seeds.select("query_id", "id").unionByName(near).distinct()
+    counted = links.join(wide, "id").groupBy("query_id", "chunk").agg(F.count(F.lit(1)).alias("links"))
+    best = counted.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("links"), "chunk"))).filter(F.col("n") <= most)
+    new = best.join(known.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
+    return new.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("n"))).filter(F.col("n") <= added).select("query_id", "chunk", "links", "n")
+
+
+# fixed values: sections in the order in which a summary takes them
+SUMMARY_ORDER = ["abstract", "summary", "introduction", "conclusion", "conclusions", "discussion", "results"]
+
+
+def gathered(chunks: DataFrame, paper: str, section: str, position: str, text: str, most: int = 8000) -> DataFrame:
+    """(paper, text): a paper's blocks, preferred sections first and then by position, joined until `most` characters are used, the last block cut (RET-13)."""
+    named = F.lower(F.trim(section))
+    priority = F.coalesce(*[F.when(F.startswith(named, F.lit(s)), i) for i, s in enumerate(SUMMARY_ORDER)], F.lit(len(SUMMARY_ORDER)))
+    rows = chunks.select(paper, priority.alias("_p"), F.col(position).alias("_i"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("_t")).filter("_t <> ''")
+    order = Window.partitionBy(paper).orderBy("_p", "_i").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.char_length("_t")).over(order), F.lit(0))
+    kept = rows.withColumn("_b", before).filter(F.col("_b") < most).withColumn("_t", F.left("_t", (F.lit(most) - F.col("_b")).cast("int")))
+    return kept.groupBy(paper).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_i", "_t"))), lambda x: x["_t"]), "\n\n").alias("text"))
+
+
+def excerpts(ranked: DataFrame, paper: str) -> DataFrame:
+    """(query_id, prompt): the excerpts of a prompt, one number per paper in order of first appearance (RET-14): ranked has query_id, rank, paper, title, section, page_start, page_end, text."""
+    first = F.min("rank").over(Window.partitionBy("query_id", paper))
+    numbered = ranked.withColumn("_f", first).withColumn("number", F.dense_rank().over(Window.partitionBy("query_id").orderBy("_f")))
+    block = F.format_string("---\n[%d] %s\nSection: %s (pages %s-%s)\n%s\n---", "number", "title", "section", F.col("page_start").cast("string"), F.col("page_end").cast("string"), "text")
+    parts = numbered.select("query_id", "rank", block.alias("block")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "block"))).alias("b"))
+    return parts.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("prompt"))

@@ -82,13 +82,6 @@ def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(_fused(spark, sf_dir), "doc_id").select("query_id", "rank", "doc_id", "source", "lang", F.substring("text", 1, 80).alias("head"))
 
 
-@query(f"WITH {BM25}, {KNN}, {FUSED}, {DIVERSE} SELECT query_id, doc_id, source, score, rank, place FROM p WHERE (n <= 2 OR place <= 6) AND place <= 8")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET-06, RET-07, WIN-02: both arms, fusion, hydration, at most two of a source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return R.diversify(_fused(spark, sf_dir).join(docs, "doc_id"), "source", "doc_id").select("query_id", "doc_id", "source", "score", "rank", "place")
-
-
 @query(f"""WITH {BM25}, r AS (SELECT query_id, doc_id, rank, round(len(list_intersect(list_distinct({TOKENS.format('query')}), {TOKENS.format('text')})) / len(list_distinct({TOKENS.format('query')})), 6) AS overlap
   FROM bmr JOIN documents USING (doc_id) JOIN asked USING (query_id))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rank) AS place FROM r QUALIFY place <= 16""")
@@ -135,20 +128,47 @@ def topical_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("place <= 10").select("query_id", "source", "doc_id", "rank", "place")
 
 
-@query(f"""WITH {BM25}, m AS (SELECT query_id, source, min(rank) AS first FROM bmr JOIN documents USING (doc_id) WHERE rank <= 20 GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS number FROM m)
-SELECT query_id, rank, doc_id, number, '[' || number || '] ' || source || ': ' || left(text, 60) AS excerpt FROM bmr JOIN documents USING (doc_id) JOIN n USING (query_id, source) WHERE rank <= 20""")
+_OVERLAP = f"round(len(list_intersect(list_distinct({TOKENS.format('query')}), {TOKENS.format('text')})) / greatest(1, len(list_distinct({TOKENS.format('query')}))), 6)"
+HYBRID = f"""re AS (SELECT * FROM (SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, fused_rank) AS rank FROM (SELECT query_id, doc_id, score, fr.rank AS fused_rank, source, {_OVERLAP} AS overlap FROM fr JOIN documents USING (doc_id) JOIN asked USING (query_id))) WHERE rank <= 16),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank, doc_id) AS n FROM re), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n > 2, rank, doc_id) AS place FROM g),
+hy AS (SELECT query_id, doc_id, source, score, rank, place FROM p WHERE (n <= 2 OR place <= 6) AND place <= 8)"""
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return R.hybrid(_bm25(spark, sf_dir), _knn(spark, sf_dir), docs, asked(spark), "doc_id", "source", "text").select("query_id", "doc_id", "source", "score", "rank", "place")
+
+
+@query(f"WITH {BM25}, {KNN}, {FUSED}, {HYBRID} SELECT * FROM hy")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-06, RET-07, WIN-02: both arms, fusion to 40, hydration, rerank to 16, at most two of a source, 8 in all"""
+    return hybrid(spark, sf_dir)
+
+
+@query(f"""WITH {BM25}, m AS (SELECT query_id, source, min(rank) AS first FROM bmr JOIN documents USING (doc_id) WHERE rank <= 20 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS number FROM m)
+SELECT query_id, string_agg('---' || chr(10) || '[' || number || '] ' || source || chr(10) || 'Section: ' || lang || ' (pages ' || (doc_id % 9) || '-' || (doc_id % 9 + 1) || ')' || chr(10) || text || chr(10) || '---', chr(10) || chr(10) ORDER BY rank) AS prompt FROM bmr JOIN documents USING (doc_id) JOIN n USING (query_id, source) WHERE rank <= 20 GROUP BY query_id""")
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET-14, WIN-03, AGG-18: one number per paper in order of first appearance"""
-    ranked = _bm25(spark, sf_dir).filter("rank <= 20").join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
-    numbered = ranked.withColumn("first", F.min("rank").over(Window.partitionBy("query_id", "source"))).withColumn("number", F.dense_rank().over(Window.partitionBy("query_id").orderBy("first")))
-    return numbered.select("query_id", "rank", "doc_id", "number", F.format_string("[%d] %s: %s", "number", "source", F.substring("text", 1, 60)).alias("excerpt"))
+    """RET-14, WIN-03, AGG-18: the excerpts of a prompt, whole texts, one number per paper in order of first appearance"""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("source").alias("title"), F.col("lang").alias("section"), (F.col("doc_id") % 9).alias("page_start"), (F.col("doc_id") % 9 + 1).alias("page_end"), "text")
+    return R.excerpts(_bm25(spark, sf_dir).filter("rank <= 20").join(d, "doc_id"), "source")
+
+
+_SECTION = "CASE doc_id % 6 WHEN 0 THEN 'Results and more' WHEN 1 THEN ' Abstract' WHEN 2 THEN 'Methods' WHEN 3 THEN 'Conclusions' WHEN 4 THEN 'Introduction' ELSE 'Annex' END"
 
 
-@query(f"""WITH {BM25}, b AS (SELECT query_id, doc_id, rank, text, sum(length(text) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM bmr JOIN documents USING (doc_id))
-SELECT query_id, doc_id, rank, least(length(text), 8000 - (upto - length(text) - 1)) AS used FROM b WHERE upto - length(text) - 1 < 8000""")
+@query(f"""WITH d AS (SELECT source, doc_id, CASE doc_id % 6 WHEN 1 THEN 0 WHEN 4 THEN 2 WHEN 3 THEN 3 WHEN 0 THEN 6 ELSE 7 END AS p, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents), k AS (SELECT * FROM d WHERE t <> ''),
+b AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY source ORDER BY p, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT source, string_agg(left(t, (8000 - before)::BIGINT), chr(10) || chr(10) ORDER BY p, doc_id) AS text FROM b WHERE before < 8000 GROUP BY source""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET-13, WIN-06, SRC-15: texts in rank order until 8,000 characters are used, the last one cut"""
-    ranked = _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("size")), "doc_id")
-    upto = F.sum(F.col("size") + 1).over(Window.partitionBy("query_id").orderBy("rank")) - F.col("size") - 1
-    return ranked.withColumn("before", upto).filter("before < 8000").select("query_id", "doc_id", "rank", F.least("size", 8000 - F.col("before")).alias("used"))
+    """RET-13, WIN-06: a paper's preferred sections first, whole blocks until 8,000 characters are used, the last one cut"""
+    d = table(spark, sf_dir, "documents").withColumn("section", F.expr(_SECTION))
+    return R.gathered(d, "source", "section", "doc_id", "text")
+
+
+@query("""WITH RECURSIVE s AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id DESC) AS n, length(text) AS size FROM benchmark), b AS (SELECT *, coalesce(sum(size + 2) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT item_id, left(text, (12000 - before)::BIGINT) AS text FROM b WHERE before < 12000""".replace("WITH RECURSIVE", "WITH"))
+def style_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-15: samples, newest first, until 12,000 characters are used"""
+    from scholiast.operators import style as S
+
+    return S.samples(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text", 12000)
