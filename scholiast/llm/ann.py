@@ -3,7 +3,7 @@
 A vector is stored as one code from each of several full-dimensional codebooks whose sum approaches it,
 found by beam search, and the squared norm of that sum. A query is scored against codes alone: its
 products with all codewords make a table, and |q - x|^2 is |q|^2 + norm - 2 * (sum of looked-up
-products). The best of a task's share are scored exactly on the original vectors.
+products). The best of all by code are scored exactly on the original vectors.
 
 Codebooks are learned on a bounded sample; every row is indexed. Equal vectors are indexed once, with the
 smallest ids that any query could ask for.
@@ -15,16 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholiast.llm.store import stored
+from scholiast.llm.store import hashed_sample, stored, tidy
 
 BOOKS, CODES, BEAM = 16, 256, 4
 #: Rows from which codebooks are learned: those with the smallest hashed ids.
 SAMPLE = 8192
-#: Queries in one broadcast, and candidates that each task scores exactly for each query and neighbour asked for.
-QUERY_BLOCK, SHORTLIST = 2048, 40
+#: Queries in one cell of the search, and the least and most codes in one.
+QUERY_BLOCK, LEAST_SLICE, MOST_SLICE = 2048, 1 << 12, 1 << 18
+#: Distinct vectors that are scored exactly for a query.
+SHORTLIST = 100
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -87,22 +90,17 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles): rows with an id and a vector that has only finite components, not all zero. Where lengths differ, rows of the commonest length take part."""
+    """(vec_id, embedding as doubles, size): rows with an id and a vector that has only finite components, not all zero."""
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter("vec_id is not null and embedding is not null and size(embedding) > 0")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.filter(~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda x: x != 0))
-    size = v.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return v.filter(F.size("embedding") == (size["size"] if size else 0))
+    return v.withColumn("size", F.size("embedding"))
 
 
-def build_index(vectors: DataFrame, copies: int, sample: int = SAMPLE, books: int = BOOKS) -> tuple[DataFrame, np.ndarray | None]:
-    """(embedding, ids, codes, norm) of each distinct vector, with the `copies` smallest ids that have it, and the codebooks."""
-    v = stored(usable(vectors), "vectors")
-    rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-    if not len(rows):
-        return v.select("embedding", F.array("vec_id").alias("ids"), F.lit(b"").alias("codes"), F.lit(0.0).alias("norm")), None
-    codebooks = learn_codebooks(_matrix(rows.combine_chunks().column("embedding").combine_chunks()), books)
-    shared = vectors.sparkSession.sparkContext.broadcast(codebooks)
+def build_index(v: DataFrame, copies: int, sample: int = SAMPLE, books: int = BOOKS) -> tuple[DataFrame, np.ndarray]:
+    """The codebooks, and (row, embedding, ids, codes, norm) of each distinct vector of `v` (vec_id, embedding), all of one length, with the `copies` smallest ids that have it; row is the smallest."""
+    codebooks = learn_codebooks(_matrix(hashed_sample(v.select("vec_id", "embedding"), ["vec_id", "embedding"], sample).column("embedding").combine_chunks()), books)
+    shared = v.sparkSession.sparkContext.broadcast(codebooks)
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     distinct = v.withColumn("place", place).filter(F.col("place") <= copies).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
@@ -113,70 +111,108 @@ def build_index(vectors: DataFrame, copies: int, sample: int = SAMPLE, books: in
                 codes, norms = encode(_matrix(part.column("embedding")), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("embedding"), part.column("ids"), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms)], ["embedding", "ids", "codes", "norm"])
 
-    return stored(distinct.mapInArrow(run, "embedding array<double>, ids array<long>, codes binary, norm double"), "index"), codebooks
+    coded = distinct.mapInArrow(run, "embedding array<double>, ids array<long>, codes binary, norm double")
+    # rows of one id with different vectors have the same smallest id: the hash of the vector tells them apart
+    coded = coded.select(F.struct(F.get("ids", F.lit(0)).alias("id"), F.xxhash64("embedding").alias("hash")).alias("row"), "embedding", "ids", "codes", "norm")
+    return stored(coded, "index"), codebooks
+
+
+def short_lists(index: DataFrame, asked: DataFrame, codebooks: np.ndarray, keep: int) -> DataFrame:
+    """(query_id, row): for each query of `asked` (query_id, embedding) the `keep` rows of the index that its codes say are nearest.
+
+    Cells of a slice of the codes and a block of the queries are dealt to tasks; a code is 32 bytes and a query its
+    table's vector. A cell returns its own `keep` best, so the result is that of one pass over all codes,
+    however rows are dealt.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(codebooks)
+    n, n_queries = index.count(), asked.count()
+    slices = max(1, -(-n // max(LEAST_SLICE, min(MOST_SLICE, n // 64))))
+    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    columns = ["slice", "block", "asked", "row", "query_id", "embedding", "codes", "norm"]
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    codes = index.select("row", "codes", "norm", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), every(n_blocks, "block"))
+    codes = codes.select("slice", "block", F.lit(False).alias("asked"), "row", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("embedding"), "codes", "norm")
+    none = F.lit(None).cast(index.schema["row"].dataType)
+    queries = asked.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"), every(slices, "slice"))
+    queries = queries.select("slice", "block", F.lit(True).alias("asked"), none.alias("row"), "query_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"))
+    dealt = codes.unionByName(queries).repartition(slices * n_blocks, "slice", "block").sortWithinPartitions("slice", "block", F.desc("asked"), "query_id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, questions, rows, codes, norms = None, [], [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not questions or not rows:
+                return
+            ids = np.concatenate([q.column("query_id").to_numpy(zero_copy_only=False) for q in questions])
+            vectors = np.concatenate([_matrix(q.column("embedding")) for q in questions])
+            row = pa.concat_arrays(rows)
+            code, norm = np.concatenate(codes), np.concatenate(norms).astype(np.float32)
+            # ties at the end of a list go to the smaller row
+            order = np.lexsort((row.field("hash").to_numpy(), row.field("id").to_numpy()))
+            code, norm, row = np.ascontiguousarray(code[order].T), norm[order], row.take(pa.array(order))
+            for i, q in zip(ids, vectors, strict=True):
+                table = (2 * (shared.value @ q)).astype(np.float32)
+                near = norm.copy()
+                for m in range(len(code)):
+                    near -= table[m][code[m]]
+                if keep < len(near):
+                    bound = np.partition(near, keep - 1)[keep - 1]
+                    short = np.flatnonzero(near <= bound)
+                    short = short[np.argsort(near[short], kind="stable")[:keep]]
+                else:
+                    short = np.arange(len(near))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), i)), row.take(pa.array(short)), pa.array(near[short])], ["query_id", "row", "near"])
 
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch.column("slice").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if keys[a] != cell:
+                    yield from done()
+                    cell, questions, rows, codes, norms = keys[a], [], [], [], []
+                part = batch.slice(a, b - a)
+                kinds = part.column("asked")
+                asks, holds = part.filter(kinds), part.filter(pc.invert(kinds))
+                if len(asks):
+                    questions.append(asks)
+                if len(holds):
+                    rows.append(holds.column("row"))
+                    codes.append(np.frombuffer(b"".join(holds.column("codes").to_pylist()), np.uint8).reshape(len(holds), -1))
+                    norms.append(holds.column("norm").to_numpy())
+        yield from done()
+
+    kind = index.schema["row"].dataType.simpleString()
+    found = dealt.select(*columns).mapInArrow(run, f"query_id long, row {kind}, near float")
+    order = Window.partitionBy("query_id").orderBy("near", "row")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep).select("query_id", "row")
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+@tidy
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = SHORTLIST) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every` its k nearest other rows, by Euclidean distance.
 
     Nearest first, ties to the smaller vec_id; score is the distance of the original vectors in double precision.
-    Null, zero and non-finite vectors take no part; fewer than k candidates give fewer rows; of rows with one id each
-    is a candidate and the query of that id is the one whose vector sorts first. Queries go out in blocks of
-    QUERY_BLOCK; each task scores its codes, rescores shortlist * k of them exactly and returns k.
+    Null, zero and non-finite vectors take no part. Vectors of different lengths have no distance: each length is a
+    space of its own, with its own queries, candidates and codebooks. Fewer than k candidates give fewer rows; of rows with one id each
+    is a candidate and the query of that id is the one whose vector is shortest, then sorts first. Codes choose the
+    `shortlist` nearest distinct vectors of each query, whose originals are then compared exactly. Extra columns are ignored.
     """
-    schema = "query_id long, vec_id long, score double"
     spark = vectors.sparkSession
-    index, codebooks = build_index(vectors, k + 1)
-    found = spark.createDataFrame([], schema)
-    if codebooks is not None:
-        asked = index.select("embedding", F.explode("ids").alias("x")).unionByName(_all_ids(vectors, every).select("embedding", F.col("vec_id").alias("x")))
-        asked = asked.filter(F.col("x") % every == 0).groupBy(F.col("x").alias("query_id")).agg(F.min("embedding").alias("embedding"))
-        n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-        asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))), "queries")
-        for block in range(n_blocks):
-            own = asked.filter(F.col("block") == block).select("query_id", "embedding").toArrow().combine_chunks()
-            if len(own):
-                shared = spark.sparkContext.broadcast((codebooks, own.column("query_id").to_numpy(), _matrix(own.column("embedding").combine_chunks())))
-                found = found.unionByName(index.mapInArrow(_search(shared, k, shortlist), schema))
+    v = stored(usable(vectors), "vectors")
+    asked = stored(v.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("size", "embedding")).alias("q")).select("query_id", "q.embedding", "q.size"), "queries")
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for row in asked.select("size").distinct().orderBy("size").collect():  # lengths, not rows
+        own, same = asked.filter(F.col("size") == row["size"]).drop("size"), v.filter(F.col("size") == row["size"]).drop("size")
+        index, codebooks = build_index(same, k + 1)
+        short = stored(short_lists(index, own, codebooks, shortlist), "short")
+        near = short.join(index.select("row", "embedding", "ids"), "row").join(own.withColumnRenamed("embedding", "query"), "query_id")
+        near = near.select("query_id", F.explode("ids").alias("vec_id"), _distance("embedding", "query").alias("score")).filter("vec_id <> query_id")
+        found = found.unionByName(near)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _all_ids(vectors: DataFrame, every: int) -> DataFrame:
-    return usable(vectors.filter(F.col("vec_id").cast("long") % every == 0))
-
-
-def _search(shared, k: int, shortlist: int):  # noqa: ANN001, ANN202
-    """Of a share of the index the k nearest for each query in `shared` (codebooks, ids, vectors)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, query_ids, queries = shared.value
-        tables = np.einsum("qd,mkd->qmk", queries, books).astype(np.float32)
-        keep = shortlist * k
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch.column("embedding"))
-            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(batch), -1)
-            norms = batch.column("norm").to_numpy()
-            lists = batch.column("ids")
-            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-            starts = np.cumsum(sizes) - sizes
-            for i, q in enumerate(queries):
-                near = norms.astype(np.float32).copy()
-                for m in range(codes.shape[1]):
-                    near -= 2 * tables[i, m][codes[:, m]]
-                short = np.argpartition(near, keep)[:keep] if keep < len(near) else np.arange(len(near))
-                gap = x[short] - q
-                exact = np.sqrt((gap * gap).sum(1))
-                n = sizes[short]
-                each = np.repeat(starts[short], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                ids, distance = flat[each], np.repeat(exact, n)
-                other = ids != query_ids[i]
-                ids, distance = np.concatenate([best[i][1], ids[other]]), np.concatenate([best[i][0], distance[other]])
-                order = np.lexsort((ids, distance))[:k]
-                best[i] = distance[order], ids[order]
-        yield pa.record_batch([pa.array(np.repeat(query_ids, [len(d) for d, _ in best])), pa.array(np.concatenate([np.zeros(0, np.int64), *(i for _, i in best)])), pa.array(np.concatenate([np.zeros(0), *(d for d, _ in best)]))], ["query_id", "vec_id", "score"])
-
-    return run
