@@ -8,12 +8,14 @@ weighs the passages; the weighted sum is scored. All weights are learned togethe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholiast.llm.store import drop, hashed_sample, store
 from scholiast.llm.tokens import U64, blocks, mix, word_hashes
 
 PASSAGE = 64
@@ -71,6 +73,13 @@ def bags(raw: np.ndarray, at: np.ndarray) -> Bags:
     return Bags((hashes % U64(WORD_BUCKETS)).astype(np.int64), shapes, rates.astype(np.float32), word_at, passage_at)
 
 
+def joined(parts: list[Bags]) -> Bags:
+    """The bags of all parts, in order."""
+    words, passages = (np.cumsum([0, *(len(x) for x in sizes)]) for sizes in ([q.words for q in parts], [q.rates for q in parts]))
+    over = lambda name, shift: np.concatenate([*(getattr(q, name)[:-1] + s for q, s in zip(parts, shift, strict=False)), shift[-1:]])
+    return Bags(*(np.concatenate([getattr(q, name) for q in parts]) for name in ("words", "shapes", "rates")), over("word_at", words), over("passage_at", passages))
+
+
 def _means(table: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Mean of table[rows] over each passage; zero for an empty one."""
     out = np.zeros((len(at) - 1, table.shape[1]), np.float32)
@@ -134,12 +143,8 @@ class Model:
             order = r.permutation(n)
             for i in range(0, n, batch):
                 ids = order[i : i + batch]
-                parts = [x.part(j, j + 1) for j in ids]
-                shift = np.cumsum([0, *(len(q.words) for q in parts)])
-                many = np.cumsum([0, *(len(q.rates) for q in parts)])
-                joined = Bags(np.concatenate([q.words for q in parts]), np.concatenate([q.shapes for q in parts]), np.concatenate([q.rates for q in parts]), np.concatenate([*(q.word_at[:-1] + s for q, s in zip(parts, shift, strict=False)), shift[-1:]]), many)
                 step += 1
-                for k, g in self.gradient(joined, labels[ids], weights[ids]).items():
+                for k, g in self.gradient(joined([x.part(j, j + 1) for j in ids]), labels[ids], weights[ids]).items():
                     g = g.astype(np.float32) + decay * self.p[k]
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -152,26 +157,34 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_mb: float = 64) -> Model | float:
     """A model learned from at most `per_class` labelled documents of each class, those whose hashed ids are smallest; whole texts.
 
-    Where the labels have one class only, the smoothed share of label 1 stands in for a model. Null labels and
-    labels of no document are left out; of several labels of one document the largest counts.
+    Documents are taken in that order, both classes in turn; one whose text doesn't fit in what is left of `most_mb` MB is
+    passed over. Where the labels have one class only, the smoothed share of label 1 stands in for a model. Null labels and labels of no document are left out;
+    of several labels of one document the largest counts, of several texts of one doc_id the first in order.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") >= 1).cast("int")).alias("label"))
-    there = docs.select(F.col("doc_id").cast("long")).join(known.filter(~held_out()), "doc_id")
-    pick = lambda c: there.filter(F.col("label") == c).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    chosen = pick(0).unionByName(pick(1))
-    ids = chosen.toPandas()  # at most 2 * per_class pairs of numbers
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, label int") if len(ids) else chosen), "doc_id").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sized = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(known.filter(~held_out()), "doc_id")
+    there, path = store(sized.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("size").alias("size")), "labelled")
+    picked = [hashed_sample(there.filter(F.col("label") == c), ["doc_id"], per_class).to_pylist() for c in (0, 1)]
+    drop(docs.sparkSession, path)
+    if not all(picked):
+        n, good = sum(map(len, picked)), len(picked[1])
+        return float((good + 1) / (n + 2))
+    chosen, left = [], most_mb * 1e6
+    for row in (row for pair in zip_longest(*picked) for row in pair if row):
+        if row["size"] <= left or len(chosen) < 2:  # one document of each class at least
+            chosen.append((row["doc_id"], row["label"]))
+            left -= row["size"]
+    own = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")  # at most 2 * per_class pairs of numbers
+    sample = texts.join(F.broadcast(own), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = sample.toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
     label = np.asarray(sample.column("label").to_pylist(), np.int64)
-    if not 0 < label.sum() < len(label):
-        return float((label.sum() + 1) / (len(label) + 2))
     texts = sample.column("text")
-    parts = [bags(raw, at) for chunk in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]) for _, _, raw, at in blocks(chunk)]
-    shift, many = np.cumsum([0, *(len(q.words) for q in parts)]), np.cumsum([0, *(len(q.rates) for q in parts)])
-    whole = Bags(np.concatenate([q.words for q in parts]), np.concatenate([q.shapes for q in parts]), np.concatenate([q.rates for q in parts]), np.concatenate([*(q.word_at[:-1] + s for q, s in zip(parts, shift, strict=False)), shift[-1:]]), np.concatenate([*(q.passage_at[:-1] + s for q, s in zip(parts, many, strict=False)), many[-1:]]))
-    return Model().fit(whole, label)
+    parts = [bags(raw, at) for chunk in texts.chunks for _, _, raw, at in blocks(chunk)]
+    return Model().fit(joined(parts), label)
 
 
 def score_quality(docs: DataFrame, model: Model | float) -> DataFrame:
