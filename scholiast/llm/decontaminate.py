@@ -20,6 +20,8 @@ from scholiast.llm.tokens import U64, blocks, cached_powers, grams, word_hashes
 
 #: Words of test items that one broadcast holds (8 bytes each, and a seed of 20 bytes); more items take more passes over the documents.
 SHARD_WORDS = 1_000_000
+#: Pairs of seeds of documents and items that are looked at together.
+MEETINGS = 1 << 20
 _BASE = 0xA0761D6478BD642F
 
 
@@ -100,6 +102,7 @@ class Shard:
                 if word_at[i + 1] > word_at[i]:
                     self.ids.append(ids[block_first + i])
                     self.items.append(words[word_at[i] : word_at[i + 1]])
+        self.lengths = np.array([len(x) for x in self.items], np.int64)
         # an item of fewer than k words has one seed, all of it; such seeds are looked up by their own length
         self.sizes = sorted({min(k, len(x)) for x in self.items})
         self.index = {}
@@ -114,40 +117,74 @@ class Shard:
             maybe[(seed >> U64(42)).astype(np.int64)] = True
             self.index[size] = seed[order], of[order], at[order], maybe
 
+    def seeds_of(self, item: int, size: int) -> np.ndarray:
+        return grams(self.items[item], size)
+
 
 def leaks(shard: Shard, words: np.ndarray, doc_at: np.ndarray, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(row, item, covered share, tiles, covered words) for texts given as word hashes."""
+    """(row, item, covered share, tiles, covered words) for texts given as word hashes.
+
+    Seeds of a document meet those of the items in parts of MEETINGS pairs, which are added up item by item, so a seed that
+    all items share needs no more memory than the items do.
+    """
     doc_of = np.repeat(np.arange(len(doc_at) - 1), np.diff(doc_at))
     for size, (seed, of, at, maybe) in shard.index.items():
         g = grams(words, size)
         where = np.flatnonzero(maybe[(g >> U64(42)).astype(np.int64)])
         where = where[doc_of[where] == doc_of[where + size - 1]]
         low, high = np.searchsorted(seed, g[where], "left"), np.searchsorted(seed, g[where], "right")
-        where, low, n = where[high > low], low[high > low], (high - low)[high > low]
-        if not len(where):
-            continue
-        pair = np.repeat(low, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        place = np.repeat(where, n)
-        key = doc_of[place] * len(shard.items) + of[pair]
-        order = np.lexsort((place, key))
-        key, place, pair = key[order], place[order], pair[order]
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
-            row, i = divmod(int(key[a]), len(shard.items))
-            item = shard.items[i]
-            seen = np.zeros(len(item) + 1, np.int64)
-            np.add.at(seen, at[pair[a:b]], 1)
-            np.add.at(seen, at[pair[a:b]] + size, -1)
-            if (np.cumsum(seen)[:-1] > 0).sum() < coverage * len(item):
-                continue
+        where, low, high = where[high > low], low[high > low], high[high > low]
+        rows = doc_of[where]
+        # a seed that a document repeats covers an item's words once
+        order = np.lexsort((low, rows))
+        once = order[np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(rows[order]) != 0)])] if len(order) else order
+        for row, item in _covered(rows[once], low[once], high[once], of, at, size, np.ceil(coverage * shard.lengths - 1e-9)):
+            own = where[np.searchsorted(rows, row) : np.searchsorted(rows, row, "right")]
+            held = shard.seeds_of(item, size)
+            place = own[np.isin(g[own], held)]
             # only words under some seed can be in a tile; gaps between them are kept apart by a number that no item holds
-            under = np.unique((np.unique(place[a:b])[:, None] + np.arange(size)).ravel())
+            under = np.unique((place[:, None] + np.arange(size)).ravel())
             gaps = np.flatnonzero(np.diff(under) > 1) + 1
-            doc = np.insert(words[under], gaps, U64(0))
-            marked = tiles(item, doc, size)
-            covered = sum(x[0] for x in marked)
-            if covered >= coverage * len(item):
-                yield row, i, covered / len(item), len(marked), covered
+            marked = tiles(shard.items[item], np.insert(words[under], gaps, U64(0)), size)
+            n = sum(x[0] for x in marked)
+            if n >= coverage * shard.lengths[item]:
+                yield row, item, n / int(shard.lengths[item]), len(marked), n
+
+
+def _covered(rows: np.ndarray, low: np.ndarray, high: np.ndarray, of: np.ndarray, at: np.ndarray, size: int, least: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(row, item): whose words under shared seeds, given as index runs low to high in order of row, are `least` of the item or more."""
+    n = high - low
+    upto = np.cumsum(n)
+    first = 0
+    while first < len(rows):
+        # whole rows of about MEETINGS pairs; a row with more is worked off in ranges of items
+        end = int(np.searchsorted(upto, (upto[first - 1] if first else 0) + MEETINGS, "right"))
+        end = int(np.searchsorted(rows, rows[end], "left")) if end < len(rows) else end
+        end = end if end > first else int(np.searchsorted(rows, rows[first], "right"))
+        many = int(upto[end - 1] - (upto[first - 1] if first else 0))
+        parts = -(-many // MEETINGS)
+        for part in range(parts):
+            a, b = low[first:end], high[first:end]
+            if parts > 1:  # within a run of one seed items ascend
+                cut = lambda item, a=a, b=b: np.array([x + np.searchsorted(of[x:y], item) for x, y in zip(a, b, strict=True)])
+                a, b = cut(part * len(least) // parts), cut((part + 1) * len(least) // parts)
+            m = b - a
+            if not m.sum():
+                continue
+            place = np.repeat(a, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            key = np.repeat(rows[first:end], m) * len(least) + of[place]
+            spot = at[place]
+            by = np.lexsort((spot, key))
+            key, spot = key[by], spot[by]
+            # each seed adds the words up to the pair's next one, at most its size
+            same = key[1:] == key[:-1]
+            gain = np.full(len(key), size)
+            gain[:-1][same] = np.minimum(size, np.diff(spot)[same])
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            key, gain = key[starts], np.add.reduceat(gain, starts)
+            for x in key[gain >= least[key % len(least)]].tolist():
+                yield divmod(x, len(least))
+        first = end
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 4, coverage: float = 0.5) -> DataFrame:

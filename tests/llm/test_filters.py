@@ -1,10 +1,12 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 
 import scholiast.llm.decontaminate as dc
 import scholiast.llm.line_dedup as ld
 import scholiast.llm.quality as q
-from scholiast.llm.tokens import blocks, word_hashes
+from scholiast.llm.tokens import blocks, text_buffers, word_hashes
 from tests.llm.helpers import frame, sample, words
 
 
@@ -52,6 +54,24 @@ def test_tiles_equal_plain_greedy_tiling():
         assert dc.tiles(hashed(a), hashed(b), 3) == plain_tiles(words(a), words(b), 3)
 
 
+def test_seeds_that_all_items_share_are_met_in_parts(spark, monkeypatch):
+    common = "the same four words"
+    items = [f"{common} {sample(6, 500 + i, 10**6)} {common}" for i in range(60)] + [common, "one two", None, ""]
+    docs = [(i, f"{sample(20, i)} {' '.join(items[j] for j in range(i, i + 3))} {common} {common}") for i in range(8)] + [(20, " ".join(items[j] for j in range(60))), (21, common), (22, "one two"), (23, None)]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for i, text in docs:
+        for j, item in enumerate(items):
+            n = len(words(item))
+            found = plain_tiles(words(item), words(text), min(4, n)) if n and words(text) else []
+            if found and sum(t[0] for t in found) >= 0.5 * n:
+                want.add((i, j, sum(t[0] for t in found)))
+    for most in (1 << 20, 50, 1):
+        monkeypatch.setattr(dc, "MEETINGS", most)
+        got = {(r.doc_id, r.item_id, r.n_words) for r in dc.contaminated(frame(spark, docs).coalesce(1), table).collect()}
+        assert got == want
+
+
 def test_contaminated_documents(spark, monkeypatch):
     items = [(1, sample(30, 1)), (2, sample(3, 2)), (3, None), (4, ""), (1, sample(30, 1))]
     table = spark.createDataFrame([(*x, 9) for x in items], "item_id long, text string, doc_id int")
@@ -132,6 +152,35 @@ def test_quality_gradient_is_right():
         assert abs((up - down) / 2e-3 - g[name][at_]) < 1e-3 * max(1, abs(g[name][at_]) * 10), name
 
 
+def test_quality_scores_equal_a_plain_forward_pass():
+    """One document, passage and word at a time."""
+    texts = ["", "one", *(sample(n, n) + " Ünd 12 A-B!" for n in (5, 63, 64, 65, 700))]
+    bags = q.bags(*text_buffers(pa.array(texts)))
+    model = q.Model(3)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    for i, got in enumerate(model.scores(bags)):
+        hidden, gates = [], []
+        for j in range(bags.passage_at[i], bags.passage_at[i + 1]):
+            a, b = bags.word_at[j], bags.word_at[j + 1]
+            x = bags.rates[j] @ p["rate"] + p["bias"]
+            if b > a:
+                x = x + sum(p["word"][w] for w in bags.words[a:b]) / (b - a) + sum(p["shape"][w] for w in bags.shapes[a:b]) / (b - a)
+            h = np.tanh(x)
+            hidden.append(h)
+            gates.append(float(sum(p["w"][g] * math.tanh(h @ p["v"][:, g]) / (1 + math.exp(-(h @ p["u"][:, g]))) for g in range(q.GATE))))
+        e = np.exp(gates)
+        z = sum(w * h for w, h in zip(e / e.sum(), hidden, strict=True))
+        assert math.isclose(got, 1 / (1 + math.exp(-(z @ p["out"] + p["at"][0]))), rel_tol=1e-4)
+        assert len(hidden) == max(1, -(-len(words(texts[i])) // q.PASSAGE))
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = frame(spark, [(i, sample(50, i) if i % 2 else sample(4000, i)) for i in range(60)] + [(7, "again")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = q.train(docs, labels, per_class=10, most_mb=0.03)
+    assert isinstance(model, q.Model) and q.score_quality(docs, model).count() == 61
+
+
 def test_quality_learns_and_covers_edge_cases(spark):
     good = [(i, sample(80 + i % 50, i)) for i in range(120)]
     bad = [(200 + i, sample(60, i).upper().replace(" ", "!! ")) for i in range(60)]
