@@ -14,12 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from scholiast.llm.store import stored
+from scholiast.llm.store import stored, tidy
 
-#: Turn numbers in one block.
+#: Turns in one block.
 BLOCK = 256
 #: Costs of a merge, another role and an empty turn.
 COSTS = (1, 4, 2)
@@ -99,17 +101,42 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], fields: tu
         yield now, held
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds `place`, the number from 0 of each of `rows` (conv_id, turn, role, text) in its conversation, in order of the other columns.
+
+    Rows are dealt to tasks by ranges of that order, equal ones too, so that no task holds a long conversation. What a
+    conversation has in earlier ranges is added to its numbers in a later one; that is one number a range at most.
+    """
+    order = ["conv_id", "turn", "role", "text", "_tie"]
+    parted = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, n = TaskContext.get().partitionId(), (), 0
+        for batch in batches:
+            ids, nth = batch.column("conv_id").to_pylist(), np.empty(len(batch), np.int64)
+            for i, conv in enumerate(ids):
+                n = n + 1 if (conv,) == now else 0
+                now, nth[i] = (conv,), n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(nth)], [*batch.schema.names, "part", "nth"])
+
+    kept = stored(parted.mapInArrow(run, StructType([*rows.schema.fields, StructField("part", IntegerType()), StructField("nth", LongType())])), "parts")
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = kept.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.sum("n").over(before).alias("ahead")).filter("ahead > 0")
+    met = kept.join(F.broadcast(ahead), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    return met.select(*rows.columns, (F.col("nth") + F.coalesce("ahead", F.lit(0))).alias("place"))
+
+
 def repaired(turns: DataFrame, costs: tuple[int, int, int] = COSTS) -> DataFrame:
     """(conv_id, block, text, n_turns, n_out, n_merged, n_relabelled, n_inserted, cost): the rendered piece of each block of `turns` (conv_id, turn, role, text).
 
-    Turns are taken in order of turn (null first), role and text; equal rows are turns of their own. Roles are
-    compared without case and outer white space; any other, also null, must become one of the three. Null text is
+    Turns are taken in order of turn (null first), role and text; equal rows are turns of their own. Blocks are runs of
+    BLOCK turns, however turns are numbered and however long their texts. Roles are compared without case and outer white space; any other, also null, must become one of the three. Null text is
     empty. Rows with a null conv_id are one conversation. "<|" in a text becomes "< |", so a text cannot forge a mark.
     """
     shared = turns.sparkSession.sparkContext.broadcast(Repair(costs))
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(1 << 62))))
-    dealt = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    rows = stored(numbered(rows).select("*", F.floor(F.col("place") / BLOCK).alias("block")), "turns")
+    dealt = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, numbers, found = [], [], []
@@ -191,8 +218,15 @@ def repaired(turns: DataFrame, costs: tuple[int, int, int] = COSTS) -> DataFrame
     return dealt(met).mapInArrow(render, "conv_id long, block long, text string, " + ", ".join(f"{n} long" for n in numbers))
 
 
+@tidy
 def format_chats(turns: DataFrame, costs: tuple[int, int, int] = COSTS) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, n_out, n_merged, n_relabelled, n_inserted, cost, text (its blocks' pieces in order)."""
+    """One row per conversation: conv_id, n_turns, n_out, n_merged, n_relabelled, n_inserted, cost, text (its blocks' pieces in order).
+
+    Turns (conv_id, turn, role, text) are taken in order of turn, null first, then role and text. Null roles and roles that are none of
+    the three must become one of them; null text is empty; rows with a null conv_id are one conversation; repeated rows are turns of
+    their own. Of ways of equal cost the one through the lower states is taken, so equal tables give equal results. An empty
+    table gives an empty one; extra columns are ignored.
+    """
     numbers = ["n_turns", "n_out", "n_merged", "n_relabelled", "n_inserted", "cost"]
     pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "")
     return repaired(turns, costs).groupBy("conv_id").agg(*[F.sum(n).alias(n) for n in numbers], pieces.alias("text"))

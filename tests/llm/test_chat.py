@@ -1,5 +1,6 @@
 import itertools
 
+import scholiast.llm.chat as chat
 from scholiast.llm.chat import ASSISTANT, COSTS, LEGAL, START, Repair, format_chats, role_of
 
 
@@ -62,3 +63,18 @@ def test_nulls_ties_repeats_and_extra_columns(spark):
     assert got[1].n_merged == 1 and got[1].n_inserted == 1 and got[1].text.count("< |end|>") == 2
     assert got[None].text.startswith("<|user|>\nfirst\n<|end|>") or got[None].n_turns == 2
     assert format_chats(table.limit(0)).count() == 0
+
+
+def test_repeated_and_missing_turn_numbers_fill_blocks(spark, monkeypatch):
+    """Turns are numbered by place, so equal or null numbers of a conversation don't share one block."""
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    rows = [(5, None, "user", f"n{i % 3}") for i in range(100)] + [(5, 3, "assistant", "same")] * 100 + [(None, 3, "user", "same")] * 50 + [(9, 1, "user", "long " * 200_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    blocks = chat.repaired(table).collect()
+    assert max(b.n_turns for b in blocks) <= 8 and sum(b.n_turns for b in blocks) == len(rows)
+    got = {r.conv_id: r for r in format_chats(table).collect()}
+    assert got[5].n_turns == 200 and got[5].n_merged == 198 and got[5].n_out == 2
+    assert got[None].n_merged == 49 and got[9].text.count("long ") == 200_000
+    numbers = [(r.conv_id, r.place, r.turn, r.text) for r in chat.numbered(table).collect()]
+    by = sorted(x for x in numbers if x[0] == 5)
+    assert [x[1] for x in by] == list(range(200)) and [x[3] for x in by[:100]] == sorted(f"n{i % 3}" for i in range(100))
