@@ -90,3 +90,21 @@ def parsed_sections(items: DataFrame, key: str) -> DataFrame:
     whole = sections.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "section", "text", "page_start", "page_end"))), lambda x: F.struct(x["section"].alias("name"), x["text"].alias("text"), x["page_start"].alias("page_start"), x["page_end"].alias("page_end"))).alias("sections"))
     references = placed.filter("back").groupBy(key).agg(joined(line).alias("references_raw"))
     return whole.join(references, key, "full_outer")
+
+
+def summarised(rows: DataFrame, text: str, summary: str, model: Callable[[list[str]], list[str]], least: int = 200, force: bool = False) -> DataFrame:
+    """Rows with a summary from `model` where it is null or '' (or everywhere, forced), and `state`: done, skipped for texts of fewer than `least` characters, kept (STM-08, UDF-04).
+
+    Thoughts are taken out of an answer, and one that says INSUFFICIENT_TEXT is none.
+    """
+
+    @F.pandas_udf("string")
+    def said(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series(model(part.fillna("").tolist()), index=part.index)
+
+    open_ = F.lit(force) | (F.coalesce(F.col(summary), F.lit("")) == "")
+    state = F.when(~open_, "kept").when(F.char_length(text) < least, "skipped").otherwise("done")
+    known = rows.withColumn("state", state)
+    asked = known.filter("state = 'done'").withColumn(summary, F.regexp_replace(T.without_thoughts(said(text)), r"^INSUFFICIENT_TEXT.*", ""))
+    return asked.unionByName(known.filter("state <> 'done'").withColumn(summary, F.coalesce(F.col(summary), F.lit(""))))

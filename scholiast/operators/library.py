@@ -172,4 +172,34 @@ def attachment_text(files: DataFrame, most_bytes: int = 50 << 20, most_chars: in
     """(name, kind, value): images as base64, other files as their first characters; larger files go (SRC-26)."""
     image = F.lower("name").rlike(r"\.(png|jpe?g|gif|webp)$")
     kept = files.filter(F.octet_length("content") <= most_bytes)
-    return kept.select("name", F.when(image, "image").otherwise("text").alias("kind"), F.when(image, F.base64("content")).otherwise(F.left(F.decode("content", "UTF-8"), F.lit(most_chars))).alias("value"))
+    return kept.select("name", F.when(image, "image").otherwise("text").alias("kind"), F.when(image, F.regexp_replace(F.base64("content"), r"\s", "")).otherwise(F.left(F.decode("content", "UTF-8"), F.lit(most_chars))).alias("value"))
+
+
+def refreshed_factors(journals: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Journals (key, impact_factor) with the mean citedness found (key, citedness) to one decimal; zero or absent changes nothing (SRC-24)."""
+    new = F.when(F.col("citedness") > 0, F.round("citedness", 1))
+    return journals.join(found, key, "left").select(key, F.coalesce(new, "impact_factor").alias("impact_factor"))
+
+
+def written_index(spark, folder: str, chunks: DataFrame, embed, counts: bool = False):  # noqa: ANN001, ANN201
+    """Adds chunks (chunk_id, text) of unknown ids and their vectors to the index in `folder`, and builds its postings anew (SRC-20); gives the folder of the new index, or with `counts` its sizes.
+
+    A version of the index is a folder of its own, so readers of the old one are not disturbed.
+    """
+    import uuid
+
+    from scholiast.functions.models import embedded
+
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/chunks")
+    known = spark.read.parquet(f"{folder}/chunks") if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else chunks.limit(0)
+    new = chunks.join(known.select("chunk_id"), "chunk_id", "left_anti")
+    out = f"{folder}/../index-{uuid.uuid4().hex}"
+    known.unionByName(new).write.parquet(f"{out}/chunks")
+    vectors = embedded(new, "text", embed).drop("text")
+    (spark.read.parquet(f"{folder}/vectors").unionByName(vectors) if not known.isEmpty() else vectors).write.parquet(f"{out}/vectors")
+    everything = spark.read.parquet(f"{out}/chunks")
+    everything.select("chunk_id", F.explode(T.tokens("text")).alias("token")).groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf")).write.parquet(f"{out}/postings")
+    if not counts:
+        return out
+    size = lambda name: spark.read.parquet(f"{out}/{name}").agg(F.count(F.lit(1)).alias(name))
+    return size("chunks").crossJoin(size("vectors")).crossJoin(size("postings"))

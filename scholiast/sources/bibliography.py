@@ -127,8 +127,12 @@ def to_bibtex(records: DataFrame) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """Notes with a front block of key: value lines (SRC-14): file, modified, meta, title, body, preview."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    """Notes of a folder, one a file (SRC-14)."""
+    return parsed_notes(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified")))
+
+
+def parsed_notes(raw: DataFrame) -> DataFrame:
+    """file, modified, meta, title, body and preview of notes (value, file, modified) with a front block of key: value lines (SRC-14): the title is that of the block, else the first heading, else the file's stem."""
     front = F.regexp_extract("value", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?", 1)
     body = F.regexp_replace("value", r"(?s)^---\r?\n.*?\r?\n---\r?\n?", "")
     pairs = F.filter(F.transform(F.split(front, r"\r?\n"), lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v"))), lambda x: x["k"] != "")
@@ -137,10 +141,10 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("file", "modified", "meta", title.alias("title"), "body", T.preview("body", 200).alias("preview"))
 
 
-def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    """Parsed papers, one JSON object a file, with the file's name for the order of arrival (SRC-01)."""
+def read_parsed(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Parsed papers, one JSON object a file, or a line, with the file's name for the order of arrival (SRC-01)."""
     schema = "paper_id string, title string, authors array<string>, year int, doi string, journal string, volume string, issue string, pages string, publisher string, url string, source_pdf string, sections array<struct<name:string,text:string,page_start:int,page_end:int>>, references_raw string"
-    return spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("file", F.input_file_name())
+    return spark.read.schema(schema).option("multiLine", not lines).json(folder).withColumn("file", F.input_file_name())
 
 
 def new_files(spark: SparkSession, folder: str, parsed: DataFrame, suffix: str = "pdf") -> DataFrame:
@@ -149,6 +153,12 @@ def new_files(spark: SparkSession, folder: str, parsed: DataFrame, suffix: str =
     return files.filter(~F.col("paper_id").startswith("._")).join(parsed.select("paper_id"), "paper_id", "left_anti").orderBy("path")
 
 
+def unknown_files(files: DataFrame, parsed: DataFrame, suffix: str = "pdf") -> DataFrame:
+    """(path, paper_id) of files (path) with the suffix in any case whose stem is no known paper_id, without side files (SRC-02, SET-02)."""
+    stem = files.withColumn("paper_id", F.regexp_extract("path", rf"(?i)([^/]+)\.{suffix}$", 1)).filter("paper_id <> ''")
+    return stem.filter(~F.startswith(F.col("paper_id"), F.lit("._"))).join(parsed.select("paper_id"), "paper_id", "left_anti").select("path", "paper_id")
+
+
 def valid_upload(content: Column, name: Column, most: int = 200 << 20) -> Column:
     """Non-empty PDF of at most `most` bytes with a safe name (SRC-21)."""
     return (F.octet_length(content) > 0) & (F.octet_length(content) <= most) & F.startswith(content, F.lit(b"%PDF-")) & F.regexp_replace(name, r"[^\w.() -]", "_").rlike(r"^.{1,200}$")
@@ -167,3 +177,48 @@ def text_of_inverted_index(index: Column) -> Column:
     by_place = F.sort_array(placed)
     last = F.filter(by_place, lambda x, i: F.coalesce(F.get(by_place, i + 1)["p"] != x["p"], F.lit(True)))
     return F.array_join(F.transform(last, lambda x: x["w"]), " ")
+
+
+def fetched_works(works: DataFrame, since: Column) -> DataFrame:
+    """Works (doc_id, published, inverted map<word, positions>, concepts) from a day on with their abstract and first five topics; works without an abstract go (SRC-10, SRC-11)."""
+    kept = works.filter((F.col("published") >= since) & F.col("inverted").isNotNull())
+    return kept.select("doc_id", "published", text_of_inverted_index(F.col("inverted")).alias("abstract"), F.slice("concepts", 1, 5).alias("topics")).filter("abstract <> ''")
+
+
+# fixed values: names of columns that hold a title, and of others that make a table bibliographic
+TITLE_NAMES = ["title", "name", "paper_title"]
+OTHER_NAMES = ["doi", "authors", "author", "year", "journal", "path", "file"]
+
+
+def discovered(tables: dict[str, DataFrame], most: int = 100_000) -> tuple[str, str, DataFrame]:
+    """(name, title column, records) of the first table by name that has a title-like column, another bibliographic one and rows; at most `most` rows of it are read (SRC-08)."""
+    for name, rows in sorted(tables.items()):
+        title = next((c for c in TITLE_NAMES if c in rows.columns), None)
+        if title and any(c in rows.columns for c in OTHER_NAMES) and not rows.isEmpty():
+            return name, title, cleaned(rows.limit(most), {"title": [title]})
+    raise ValueError("no table has bibliographic columns")
+
+
+def read_journal_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, impact_factor) of a seed file in YAML's plain form, a list of flat mappings (SRC-13)."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.concat(F.lit("\n"), "value"), r"\n- ")).alias("entry")).filter(F.contains("entry", F.lit(":")))
+    field = lambda name: F.nullif(F.trim(F.regexp_extract("entry", rf"(?m)^\s*{name}:\s*(.*)$", 1)), F.lit(""))
+    return raw.select(field("id").alias("id"), field("name").alias("name"), field("impact_factor").try_cast("double").alias("impact_factor")).filter("id is not null")
+
+
+def read_policy(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[str, str]:
+    """Settings by section.name of a policy file with [section] and name = value lines, over their defaults (SRC-13). The file is small and read by the driver."""
+    found, section = dict(defaults), ""
+    for row in spark.read.text(path).toLocalIterator():
+        line = row["value"].split("#")[0].strip()
+        if line.startswith("[") and line.endswith("]"):
+            section = line[1:-1].strip()
+        elif "=" in line:
+            name, value = (x.strip() for x in line.split("=", 1))
+            found[f"{section}.{name}"] = value
+    return found
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, nulls written out (SRC-19)."""
+    rows.write.option("ignoreNullFields", False).mode("overwrite").json(path)
