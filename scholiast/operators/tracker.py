@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,22 +14,26 @@ from scholiast.operators.graph import cut_lineage
 def accepted_moves(moves: DataFrame, key: str, state: str, order: list[str], first: str, legal: dict[str, list[str]]) -> DataFrame:
     """`moves` with `from_state` and `accepted`: a move counts only if the last accepted state allows it (DML-01).
 
-    A rejected attempt leaves the state as it was, so this is a fold over each key's ordered moves, not a
-    comparison of neighbours. Keys are dealt over all tasks; one key's moves are one array.
+    A rejected attempt leaves the state as it was, so this is a fold over each key's ordered moves, not a comparison of
+    neighbours. Keys are dealt over all tasks and rows come sorted: the fold holds one state, however many moves a key has.
     """
-    names = sorted({first, *legal, *(x for v in legal.values() for x in v)})
-    allowed = F.create_map(*[x for n in names for x in (F.lit(n), F.array(*[F.lit(s) for s in legal.get(n, [])]).cast("array<string>"))])
-    row = F.struct(*[F.col(c).alias(c) for c in order], F.col(state).alias("to"))
-    folded = moves.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("m"))
-    item = "array<struct<i:struct<" + ",".join(f"{c}:{moves.schema[c].dataType.simpleString()}" for c in order) + ",to:string>,from_state:string,accepted:boolean>>"
-    start = F.struct(F.lit(first).alias("now"), F.array().cast(item).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = F.coalesce(F.array_contains(F.element_at(allowed, acc["now"]), x["to"]), F.lit(False))
-        return F.struct(F.when(ok, x["to"]).otherwise(acc["now"]).alias("now"), F.concat(acc["out"], F.array(F.struct(x.alias("i"), acc["now"].alias("from_state"), ok.alias("accepted")))).alias("out"))
-
-    out = folded.select(key, F.explode(F.aggregate("m", start, step)["out"]).alias("o"))
-    return out.select(key, *[F.col(f"o.i.{c}").alias(c) for c in order], "o.from_state", F.col("o.i.to").alias("to_state"), "o.accepted")
+    fields = moves.schema
+    kinds = ", ".join(f"{c} {fields[c].dataType.simpleString()}" for c in (key, *order))
+    rows = moves.select(key, *order, F.col(state).alias("to_state")).repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, now = None, first
+        for batch in batches:
+            before, good = [], []
+            for k, to in zip(batch[key], batch["to_state"], strict=True):
+                if k != last:
+                    last, now = k, first
+                before.append(now)
+                good.append(to in legal.get(now, ()))
+                now = to if good[-1] else now
+            yield batch.assign(from_state=before, accepted=good)
+
+    return rows.mapInPandas(run, f"{kinds}, to_state string, from_state string, accepted boolean").select(key, *order, "from_state", "to_state", "accepted")
 
 
 def stalled(rows: DataFrame, as_of: Column, since: list[str], state: str, limits: dict[str, int], usual: int = 90) -> DataFrame:

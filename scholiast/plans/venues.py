@@ -11,7 +11,6 @@ from scholiast.operators import style as S
 from scholiast.operators import tracker as K
 from scholiast.plans.registry import query, table
 from scholiast.plans.retrieval import DOT
-from scholiast.plans.texts import quantile, sentence_list, sentence_sizes
 
 ASKED = ["the", "and", "of", "ererti", "la", "topic3"]
 ARTICLES = r"""art AS (SELECT source, doc_id, list_filter(string_split_regex(lower('T' || doc_id || ' ' || text || ' kw' || (doc_id % 5) || ' ' || lang || ' topic' || (doc_id % 7)), '\s+'), lambda w: w <> '') AS w FROM documents WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 500)"""
@@ -103,40 +102,6 @@ def probed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.numbered_ids(p, "base", "p_partkey").select("p_partkey", "id")
 
 
-MARKERS = [("and", r"\band\b"), ("the", r"\bthe\b"), ("tion", r"tion"), ("comma", r",")]
-
-
-@query(r"""WITH m AS (SELECT * FROM (VALUES ('and', '\band\b'), ('the', '\bthe\b'), ('tion', 'tion'), ('comma', ',')) m(marker, pattern)), d AS (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*')) AS words FROM documents WHERE lang = 'en')
-SELECT doc_id, marker, len(regexp_extract_all(lower(text), pattern)) AS n, words, round(1000 * len(regexp_extract_all(lower(text), pattern)) / greatest(words, 1), 2) AS rate FROM d, m""")
-def marker_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MTH-06, STY-01, STY-03"""
-    return S.marker_rates(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "text", spark.createDataFrame(MARKERS, "marker string, pattern string"))
-
-
-@query(r"""WITH s AS (SELECT unnest(string_split_regex(text, '[.!?]+\s+')) AS s FROM documents), w AS (SELECT regexp_extract_all(lower(s), '[\p{L}][\p{L}''-]*')[1:3] AS w FROM s)
-SELECT array_to_string(w, ' ') AS opener, count(*) AS n FROM w WHERE len(w) = 3 AND len(list_filter(w, lambda x: x NOT IN ('the', 'of', 'and', 'in', 'a'))) > 0 GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, opener LIMIT 40""")
-def openers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STY-04"""
-    return S.openers(table(spark, sf_dir, "documents"), "text", ["the", "of", "and", "in", "a"])
-
-
-@query(rf"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*')) AS words, {sentence_sizes(3)} AS s FROM documents)
-SELECT doc_id, words, len(s) AS sentences, CASE WHEN len(s) > 0 THEN {quantile(1, 2)} END AS median, round(len(list_filter(s, lambda x: x < 15)) / greatest(len(s), 1), 6) AS short_share, round(len(list_filter(s, lambda x: x > 30)) / greatest(len(s), 1), 6) AS long_share FROM t WHERE words >= 80""")
-def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STY-01, STY-08, STR-26"""
-    return S.audit(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
-@query(f"""WITH f AS (SELECT * FROM (VALUES ('the ... of the ...', '(?i)the (.+?) of the (.+?)', 12, 1), ('... is ...', '(?i)(.+?) is (.+?)', 4, 0), ('on ... and ...', '(?i)on (.+?) and (.+?)', 8, 1)) f(frame, pattern, literal, anchored)),
-t AS (SELECT DISTINCT doc_id, unnest({sentence_list(4)}) AS sentence FROM documents WHERE lang = 'en')
-SELECT doc_id, sentence, frame FROM (SELECT doc_id, sentence, frame, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY literal DESC, anchored DESC, frame) AS n FROM t JOIN f ON regexp_matches(sentence, pattern)) WHERE n = 1""")
-def frame_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STY-02: frames with lazy slots against every sentence"""
-    frames = spark.createDataFrame([("the ... of the ...",), ("... is ...",), ("on ... and ...",)], "frame string")
-    said = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.explode(T.sentences("text")).alias("sentence"))
-    return S.match_frames(said, "doc_id", "sentence", frames)
-
-
 @query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), r AS (
  SELECT source, n, CASE WHEN n_chars <= 14000 THEN n_chars ELSE 0 END AS used, CASE WHEN n_chars <= 14000 THEN doc_id END AS taken FROM o WHERE n = 1 UNION ALL
  SELECT o.source, o.n, CASE WHEN r.used + o.n_chars <= 14000 THEN r.used + o.n_chars ELSE r.used END, CASE WHEN r.used + o.n_chars <= 14000 THEN o.doc_id END FROM r JOIN o ON o.source = r.source AND o.n = r.n + 1)
