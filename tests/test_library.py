@@ -5,6 +5,8 @@ import datetime
 from pyspark.sql import functions as F
 
 from scholiast.operators import library as L
+from scholiast.operators import matching as M
+from scholiast.operators import stores as S
 
 
 def papers(spark):
@@ -23,18 +25,27 @@ def test_paging_search_and_folders(spark):
 
 
 def test_moves(spark):
-    t = datetime.datetime(2020, 1, 1)
-    items = spark.createDataFrame([(1, "open", None), (2, "done", t), (3, "done", t)], "id int, status string, completed_at timestamp_ntz")
-    moves = spark.createDataFrame([(1, "done"), (2, "open")], "id int, to_status string")
-    now = F.lit("2021-01-01").cast("timestamp_ntz")
-    got = {r.id: (r.status, r.completed_at) for r in L.moved(items, moves, now).collect()}
-    assert got == {1: ("done", datetime.datetime(2021, 1, 1)), 2: ("open", None), 3: ("done", t)}
+    day = datetime.date(2020, 1, 1)
+    tasks = spark.createDataFrame([(1, None, "todo", None), (2, day, "done", day), (3, day, "done", day), (4, day, "todo", None)], "id int, due_date date, status string, completed_at date")
+    moves = spark.createDataFrame([(1, False, None, "done"), (2, False, None, "doing"), (3, True, None, "done"), (4, True, datetime.date(2022, 2, 2), None)], "id int, dated boolean, date date, column string")
+    now = F.lit("2021-01-01").cast("date")
+    got = {r.id: (r.due_date, r.status, r.completed_at) for r in S.moved_tasks(tasks, moves, now).collect()}
+    assert got == {1: (None, "done", datetime.date(2021, 1, 1)), 2: (day, "in_progress", None), 3: (None, "done", day), 4: (datetime.date(2022, 2, 2), "todo", None)}
+
+
+def test_membership_totals(spark):
+    member = spark.createDataFrame([("paper-1", "r"), ("paper-2", "r"), ("gone", "r")], "paper_id string, folder_id string")
+    folders = spark.createDataFrame([("r",), ("empty",)], "folder_id string")
+    assert {r.name: r.n for r in L.totals(papers(spark), member, folders).collect()} == {"total": 35, "total_all": 35, "unfiled": 33, "r": 2, "empty": 0}
 
 
 def test_links_keys_and_stems(spark):
-    old = spark.createDataFrame([(1, 1, "cites", 1)], "manuscript_id int, paper_id int, link_type string, created_at int")
-    new = spark.createDataFrame([(1, 1, "extends", 2), (1, 2, "bogus", 2)], old.schema)
-    assert [tuple(r) for r in L.upsert_links(old, new).collect()] == [(1, 1, "extends", 2)]
+    old = spark.createDataFrame([(1, 1, "cites", "a", 1)], "manuscript_id int, paper_id int, link_type string, note string, created_at int")
+    new = spark.createDataFrame([(1, 1, "cites", "b", 2), (1, 1, "extends", "c", 2), (1, 2, "bogus", "d", 2), (1, 9, "cites", "e", 2)], old.schema)
+    known = spark.createDataFrame([(1, 1)], "manuscript_id int, paper_id int"), spark.createDataFrame([(1, "T", "A", 2000), (2, "U", "B", 2001)], "paper_id int, title string, authors string, year int")
+    after = L.upsert_links(old, new, *known)
+    assert sorted(tuple(r) for r in after.collect()) == [(1, 1, "cites", "b", 1), (1, 1, "extends", "c", 2)]
+    assert {r.title for r in L.linked_papers(after, known[1]).collect()} == {"T"}
     records = spark.createDataFrame([(1, "Doe, J", 2020, "The bubbles"), (2, "Doe, K", 2020, "Bubbles"), (3, None, None, None)], "id int, authors string, year int, title string")
     assert [r.citation_key for r in L.with_unique_keys(records, "id").orderBy("id").collect()][:2] == ["doe2020bubbles", "doe2020bubbles2"]
     entries = spark.createDataFrame([(1, "a/12.pdf"), (2, "312.pdf"), (3, "b/12.pdf")], "ord int, filename string")
@@ -55,3 +66,21 @@ def test_index_tables(spark):
     chunks = spark.createDataFrame([("1", "a b a"), ("2", "c")], "chunk_id string, text string")
     new, posts = L.index_tables(chunks, chunks.filter("chunk_id = '2'"))
     assert new.count() == 1 and {(r.token, r.tf) for r in posts.collect()} == {("a", 2), ("b", 1)}
+
+
+def test_title_reconciliation_on_the_literal_cases(spark):
+    kind = "paper_id string, title string, title_original string, doi string, source_pdf string"
+    source = "paper_id string, doi string, file string, title string"
+    paper = spark.createDataFrame([("123", "123", None, "10.123/test", "/papers/123.pdf")], kind)
+    card = spark.createDataFrame([("123", None, None, "A true title")], source)
+    fixed = M.reconciled_titles(paper, card)
+    assert [tuple(r) for r in fixed.collect()] == [("123", "A true title", "123", "10.123/test", "/papers/123.pdf", True)]
+    assert M.reconciled_titles(fixed.drop("changed"), card).filter("changed").count() == 0  # a second run changes nothing
+    curated = spark.createDataFrame([("123", "User corrected title", None, None, "/papers/123.pdf")], kind)
+    assert M.reconciled_titles(curated, card).filter("changed").count() == 0
+    two = spark.createDataFrame([(None, None, "/a/123.pdf", "One long title"), (None, None, "/b/123.pdf", "Another long title")], source)
+    assert M.reconciled_titles(paper, two).filter("changed").count() == 0
+    other = spark.createDataFrame([(None, None, "/a/3123.pdf", "A title of another file")], source)
+    assert M.reconciled_titles(paper, other).filter("changed").count() == 0
+    by_doi = spark.createDataFrame([(None, "10.123/TEST", None, "Title by its DOI")], source)
+    assert M.reconciled_titles(paper, by_doi).first().title == "Title by its DOI"

@@ -13,19 +13,23 @@ def one(spark, column, text="x"):
 
 def test_citation_checks(spark):
     assert one(spark, C.invalid_citations("t", F.lit(5)), "[1,3] [9] [2–7] [ref] [web:3] [0]") == ["0", "2–7", "9"]
-    assert one(spark, C.tokens_cited("t"), "see @a:1 and @b, x@c.d, @a:1") == ["a:1", "b"]
+    assert one(spark, C.tokens_cited("t"), "see @a_1 and @b, x@c.d, @a_1 .@e") == ["a_1", "b"]
     assert one(spark, C.slugs_linked("t"), "[[one]] [[two|Two]] [x](three.md) [[one]]") == ["one", "two", "three"]
     got = one(spark, C.mentions("t"), "@[A](mention:task:1) @[B](mention:task:1) @[C](mention:paper:1)")
     assert [tuple(x) for x in got] == [("task", "1", "A"), ("paper", "1", "C")]
     known = F.create_map(F.lit("a"), F.lit(2))
-    assert one(spark, C.renumbered("t", known), "@a @b [text](slug.md)") == "[2] @b slug"
+    assert one(spark, C.renumbered("t", known), "@a @b x@a") == "[2] @b x@a"
+    titles = F.create_map(F.lit("one"), F.lit("Part one"))
+    assert one(spark, C.flattened("t", titles), "[[one]] [[two]] [[one|here]] [text](slug.md)") == "Part one two here slug"
 
 
 def test_sections_and_blocks(spark):
     assert one(spark, C.section_of(F.lit("03-results"), F.col("t")), "Discussion") == "results"
-    assert one(spark, C.section_of(F.lit("x"), F.col("t")), "y") == "other"
-    assert one(spark, C.trimmed_block("t", 10), "abcdefg\nhijk") == "abcdefg" and one(spark, C.trimmed_block("t", 10), "ab\ncdefghijk") == "ab\ncdefghi"
-    assert one(spark, C.without_exemplars("t"), 'a\n> "quoted"\nb') == "a\nb"
+    assert one(spark, C.section_of(F.lit("x"), F.col("t")), "y") is None
+    assert one(spark, C.section_of(F.lit("results-and_discussion"), F.col("t")), "y") == "results"
+    assert one(spark, C.trimmed_block("t", 10), "abcdefg\nhijk") == "abcdefg\n…" and one(spark, C.trimmed_block("t", 10), "ab\ncdefghijk") == "ab\ncdefghi\n…"
+    assert one(spark, C.trimmed_block("t", 10), "abc\n---\n") == "abc"
+    assert one(spark, C.without_exemplars("t"), 'a\n> "quoted"\nb') == "a\n\nb"
     assert one(spark, C.bullets("t"), "- short\n* this one is long enough\n1. so is this one, surely") == ["this one is long enough", "so is this one, surely"]
 
 
@@ -35,13 +39,14 @@ def test_backlinks_numbers_and_references(spark):
     assert {(r.key, r.number) for r in C.project_numbers(files, "project", "ord", "text").collect()} == {("k2", 1), ("k1", 2), ("k3", 3)}
     cited = spark.createDataFrame([(1, 2, "x"), (1, 1, "y")], "k int, number int, paper_id string")
     papers = spark.createDataFrame([("x", "A", "T", 2020, None), ("y", None, "U", None, "10.1/z")], "paper_id string, authors string, title string, year int, doi string")
-    assert C.references_block(cited, papers, "k").first().block == "[1] U. https://doi.org/10.1/z\n[2] A. T. 2020"
+    assert C.references_block(cited, papers, "k").first().block == "\n\n## References\n\n[1] U. https://doi.org/10.1/z\n\n[2] A. T. 2020."
 
 
 def test_rectangles(spark):
     rects = lambda *r: F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(x, ("x", "y", "width", "height"), strict=True)]) for x in r])
     assert len(one(spark, C.valid_rects(rects((0, 0, 0.5, 0.5), (0, 0, 0, 1))))) == 1
-    assert one(spark, C.valid_rects(rects((0.9, 0, 0.5, 0.5)))) is None
+    assert len(one(spark, C.valid_rects(rects((0.9, 0, 0.5, 0.5))))) == 1
+    assert one(spark, C.valid_rects(rects((0.9, 0, 1.5, 0.5)))) is None
 
 
 def test_models(spark):
