@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,32 +12,91 @@ from scholiast.functions import text as T
 from scholiast.operators.graph import components, cut_lineage
 
 
+def matched_characters(a: str, b: str) -> int:
+    """Characters in the longest common run, the earliest in a and then in b, and in those left and right of it, and so on (MTH-05)."""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    total, open_ = 0, [(0, len(x), 0, len(y))]
+    while open_:
+        i, j, k, m = open_.pop()
+        if i >= j or k >= m:
+            continue
+        # runs that end at each place of y, row by row of x
+        best, at, run = 0, (0, 0), np.zeros(m - k + 1, np.int32)
+        for p in range(i, j):
+            run[1:] = np.where(y[k:m] == x[p], run[:-1] + 1, 0)
+            q = int(run.argmax())
+            if run[q] > best:
+                best, at = int(run[q]), (p + 1 - int(run[q]), k + q - int(run[q]))
+            elif best and run[q] == best and p + 1 - best == at[0] and k + q - best < at[1]:
+                at = (at[0], k + q - best)
+        if best:
+            total += best
+            open_ += [(i, at[0], k, at[1]), (at[0] + best, j, at[1] + best, m)]
+    return total
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity (MTH-05)."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Twice the matched characters over the characters of both; 1 for two empty texts (MTH-05)."""
+    return pd.Series([None if x is None or y is None else 2 * matched_characters(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, score): pairs of left (a, text) and right (b, text) whose ratio is `least` or more; no other pair is compared.
+
+    Of two texts that are so alike, at most (1 - least) of all characters are unmatched, so their lengths are near, and there is at
+    most one more matched run than unmatched characters: so many pairs of neighbouring characters must agree. Numbered
+    pairs make that a set; texts meet under the rarest ones, of which one at least is common, and are counted before the ratio is taken.
+    """
+    def grams(rows: DataFrame, key: str) -> DataFrame:
+        listed = rows.select(key, F.char_length("text").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 1, F.lit(1))), lambda i: F.substr("text", i, F.lit(2)))).alias("g"))
+        nth = F.row_number().over(Window.partitionBy(key, "g").orderBy("n"))
+        return listed.withColumn("g", F.xxhash64("g", nth))
+
+    need = lambda total: F.ceil((1.5 * least - 1) * total - 1 - 1e-9)  # noqa: E731  matched less unmatched less one
+    own, other = cut_lineage(grams(left, "a")), cut_lineage(grams(right, "b"))
+    df = other.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ranked = own.join(df, "g", "left").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.coalesce("df", F.lit(0)), "g")))
+    shortest = F.col("n") * least / (2 - least)
+    rare = ranked.filter(F.col("r") <= F.col("n") - 1 - F.greatest(F.lit(1), need(F.col("n") + shortest)) + 1)
+    near = F.least("n", "m") * 2 >= least * (F.col("n") + F.col("m"))
+    met = rare.select("a", "n", "g").join(other.select("b", F.col("n").alias("m"), "g"), "g").filter(near).select("a", "b", "n", "m").distinct()
+    counted = met.join(own.select("a", "g"), "a").join(other.select("b", "g"), ["b", "g"]).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    kept = counted.filter(F.col("c") >= need(F.col("n") + F.col("m"))).select("a", "b")
+    # texts of very few characters have no pair to meet under
+    short = left.filter(F.char_length("text") < 12).select("a", F.col("text").alias("x")).join(right.filter(F.char_length("text") < 17).select("b", F.col("text").alias("y")), F.left("x", F.lit(0)) == F.left("y", F.lit(0))).filter(F.least(F.char_length("x"), F.char_length("y")) * 2 >= least * (F.char_length("x") + F.char_length("y"))).select("a", "b")
+    pairs = kept.unionByName(short).distinct()
+    texts = pairs.join(left.select("a", F.col("text").alias("x")), "a").join(right.select("b", F.col("text").alias("y")), "b")
+    return texts.select("a", "b", F.round(sequence_ratio("x", "y"), 6).alias("score")).filter(F.col("score") >= least)
 
 
 def fuzzy_match(records: DataFrame, catalog: DataFrame, matched: float = 0.96, review: float = 0.84) -> DataFrame:
     """(record_id, catalog_id, score, status) for records (record_id, title, doi) against a catalog (catalog_id, title, doi) (JOI-08, DED-05).
 
-    An equal DOI is a match of score 1. Else the title with the highest ratio decides: `matched`, `review` or
-    `new`. Only titles that share one of a record's three rarest words with it are compared, so nothing is a
-    cross join; a title within the thresholds has most of its words in common.
+    An equal DOI is a match of score 1, with the smallest id. Else the title with the highest ratio decides, the smaller id of equal ones: `matched`, or
+    `review` below. Records without a match are for review too, with no entry and a score of 0.
     """
-    r = records.withColumn("key", T.ascii_fold("title")).withColumn("rdoi", T.doi_key("doi"))
-    c = catalog.withColumn("ckey", T.ascii_fold("title")).withColumn("cdoi", T.doi_key("doi"))
-    by_doi = r.join(c, r.rdoi == c.cdoi).groupBy("record_id").agg(F.min("catalog_id").alias("catalog_id")).withColumn("score", F.lit(1.0))
-    words = c.select("catalog_id", "ckey", F.explode(F.array_distinct(F.split("ckey", " "))).alias("word"))
-    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    asked = r.join(by_doi, "record_id", "left_anti").select("record_id", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).join(df, "word")
-    rare = asked.withColumn("n", F.row_number().over(Window.partitionBy("record_id").orderBy("df", "word"))).filter("n <= 3")
-    pairs = rare.join(words, "word").select("record_id", "key", "catalog_id", "ckey").distinct()
-    scored = pairs.withColumn("score", F.round(sequence_ratio("key", "ckey"), 6))
-    best = scored.groupBy("record_id").agg(F.max_by(F.struct("catalog_id", "score"), F.struct("score", -F.col("catalog_id"))).alias("b")).select("record_id", "b.catalog_id", "b.score")
+    r = records.withColumn("text", T.ascii_fold("title")).withColumn("rdoi", T.doi_key("doi"))
+    c = catalog.withColumn("text", T.ascii_fold("title")).withColumn("cdoi", T.doi_key("doi"))
+    by_doi = r.join(c.select("catalog_id", "cdoi"), r.rdoi == c.cdoi).groupBy("record_id").agg(F.min("catalog_id").alias("catalog_id")).withColumn("score", F.lit(1.0))
+    left = r.join(by_doi, "record_id", "left_anti").filter("text <> ''").select(F.col("record_id").alias("a"), "text")
+    near = alike(left, c.filter("text <> ''").select(F.col("catalog_id").alias("b"), "text"), review)
+    best = near.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", F.negate("b"))).alias("x")).select(F.col("a").alias("record_id"), F.col("x.b").alias("catalog_id"), "x.score")
     found = r.select("record_id").join(by_doi.unionByName(best), "record_id", "left")
-    status = F.when(F.col("score") >= matched, "matched").when(F.col("score") >= review, "review").otherwise("new")
-    return found.select("record_id", F.when(F.col("score") >= review, F.col("catalog_id")).alias("catalog_id"), "score", F.coalesce(status, F.lit("new")).alias("status"))
+    status = F.when(F.col("score") >= matched, "matched").otherwise("review")
+    return found.select("record_id", "catalog_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(status, F.lit("review")).alias("status"))
+
+
+def metadata_match(files: DataFrame, records: DataFrame, least: float = 0.86, by_stem: float = 0.94) -> DataFrame:
+    """(file_id, record_id, score) of files (file_id, stem, title) that have a record (record_id, title, path): an equal file stem counts 1, else the ratio of the titles, or of the stem and the title times `by_stem`; the best of `least` or more, the smaller id of equal ones (JOI-09)."""
+    f = files.withColumn("s", T.ascii_fold("stem")).withColumn("t", T.ascii_fold(F.coalesce("title", F.lit(""))))
+    r = records.withColumn("t", T.ascii_fold(F.coalesce("title", F.lit("")))).withColumn("p", T.ascii_fold(F.regexp_replace(F.regexp_replace("path", "^.*/", ""), r"(?<=.)\.[^.]*$", "")))
+    titles = r.filter("t <> ''").select(F.col("record_id").alias("b"), F.col("t").alias("text"))
+    same = f.join(r.filter("p <> ''").select("record_id", F.col("p").alias("s")), "s").select("file_id", "record_id", F.lit(1.0).alias("score"))
+    by_title = alike(f.filter("t <> ''").select(F.col("file_id").alias("a"), F.col("t").alias("text")), titles, least)
+    named = alike(f.filter("s <> ''").select(F.col("file_id").alias("a"), F.col("s").alias("text")), titles, least / by_stem).withColumn("score", F.col("score") * by_stem)
+    both = same.unionByName(by_title.unionByName(named).select(F.col("a").alias("file_id"), F.col("b").alias("record_id"), "score")).filter(F.col("score") >= least)
+    return both.groupBy("file_id").agg(F.max_by(F.struct("record_id", F.round("score", 6).alias("score")), F.struct("score", F.negate("record_id"))).alias("x")).select("file_id", "x.record_id", "x.score")
 
 
 def tier(score: Column, shared: Column) -> Column:

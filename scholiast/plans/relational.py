@@ -71,17 +71,17 @@ def dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM pages) AS pages, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(DISTINCT source) FROM documents) AS sources")
 def global_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-01, AGG-02, GRF-07"""
+    """AGG-01, AGG-02"""
     d, e, p, c = _t(spark, sf_dir, "documents", "embeddings", "pages", "conversations")
     one = lambda df, x, name: df.agg(x.alias(name))
     n = F.count(F.lit(1))
     return one(d, n, "documents").crossJoin(one(e, n, "vectors")).crossJoin(one(p, n, "pages")).crossJoin(one(c, F.count_distinct("conv_id"), "sessions")).crossJoin(one(d, F.count_distinct("source"), "sources"))
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey <= 500 GROUP BY l_orderkey ORDER BY n DESC, l_orderkey LIMIT 30")
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey ORDER BY n DESC, l_orderkey LIMIT 30")
 def entity_chunks_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-03, GRF-05"""
-    return table(spark, sf_dir, "lineitem").filter("l_partkey <= 500").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(30)
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(30)
 
 
 @query("SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL HAVING count(*) > 1")
@@ -92,7 +92,7 @@ def having_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS total, count(label) AS embedded, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS english, round(count(label) * 100.0 / count(*), 6) AS coverage FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY source")
 def coverage_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-05, AGG-22"""
+    """AGG-05"""
     d, e = _t(spark, sf_dir, "documents", "embeddings")
     met = d.select("doc_id", "source", "lang").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "left")
     return met.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count("label").alias("embedded"), F.count_if(F.col("lang") == "en").alias("english")).withColumn("coverage", F.round(F.col("embedded") * 100 / F.col("total"), 6))
@@ -119,10 +119,10 @@ def concat_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").filter("l_partkey <> l_suppkey").groupBy("l_partkey").agg(F.max("l_quantity").alias("weight"), F.array_join(kinds, ",").alias("relations"))
 
 
-@query("SELECT conv_id, role, arg_min(left(text, 20), turn) AS opening, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id, role")
+@query("SELECT conv_id, role, arg_min(text, turn) AS opening, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id, role")
 def min_by_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-09, AGG-18"""
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min_by(F.left("text", F.lit(20)), "turn").alias("opening"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min_by("text", "turn").alias("opening"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
 
 
 @query("SELECT label, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, round(CASE WHEN count(*) > 1 THEN -0.5 * stddev_pop(x) ELSE 0 END, 6) AS penalty FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY label")
