@@ -59,8 +59,56 @@ def dedup_wm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS n, sum(length(text)) AS size FROM documents GROUP BY source")
 def ingest_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-01, STM-02, STM-03, STM-09: documents arrive as files, every run takes what is new"""
+    """STM-01, STM-02: documents arrive as files, every run takes what is new"""
     folder = _folder(spark)
     for _ in range(2):
         I.ingest_available(I.arriving(spark, sf_dir, "documents"), lambda b: b.select("doc_id", "source", F.char_length("text").alias("size")), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+
+
+@query("""WITH r1 AS (SELECT source, doc_id FROM documents WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 500), r2 AS (SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 500),
+k AS (SELECT 1 AS run, * FROM r1 UNION ALL SELECT 2, * FROM r2 WHERE doc_id NOT IN (SELECT doc_id FROM r1)) SELECT source AS journal_id, count(*) FILTER (run = 1) AS first_run, count(*) FILTER (run = 2) AS second_run, count(*) AS vectors FROM k GROUP BY source""")
+def corpus_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-03: every run fetches the newest 500 articles of each journal, adds those whose DOI is unknown and embeds what has no vector"""
+    from scholiast.functions.models import hashed_embedder
+
+    folder = _folder(spark)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("journal_id"), F.col("doc_id").cast("string").alias("doi"), F.col("doc_id").alias("key"), F.col("text").alias("abstract"), F.col("n_chars").alias("published"))
+    for run, offered in enumerate((d.filter("key % 2 = 0"), d), 1):
+        I.refresh(spark, folder, run, offered, hashed_embedder(), most=500)
+    runs = spark.read.parquet(f"{folder}/articles")
+    vectors = spark.read.parquet(f"{folder}/vectors").groupBy("journal_id").agg(F.count(F.lit(1)).alias("vectors"))
+    return runs.groupBy("journal_id").agg(F.count_if(F.col("run") == 1).alias("first_run"), F.count_if(F.col("run") == 2).alias("second_run")).join(vectors, "journal_id")
+
+
+_BROKEN = "CASE doc_id % 5 WHEN 0 THEN replace(replace(text, 'e', '❈'), 'a', '▲') WHEN 1 THEN replace(text, ' ', ' /a114 ') ELSE text END"
+
+
+def _phases_oracle() -> str:
+    from scholiast.plans.papers import garble_sql
+
+    bad = f"length(left(t, 40000)) >= 80 AND {garble_sql('left(t, 40000)')} >= 0.25"
+    return f"""WITH d AS (SELECT doc_id, text, {_BROKEN} AS t FROM documents), g AS (SELECT doc_id, {bad} AS bad, CASE WHEN {bad} THEN text ELSE t END AS final FROM d),
+n AS (SELECT count(*) AS parsed, count(*) FILTER (bad) AS repaired, count(*) FILTER (length(final) >= 200) AS summarised FROM g) SELECT 1 AS run, 'parse' AS phase, parsed AS rows FROM n UNION ALL SELECT 1, 'index', parsed FROM n UNION ALL SELECT 1, 'repair', repaired FROM n UNION ALL SELECT 1, 'summaries', summarised FROM n UNION ALL SELECT 2, p, 0 FROM (VALUES ('parse'), ('index'), ('repair'), ('summaries')) v(p)"""
+
+
+@query(_phases_oracle())
+def batch_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-09: parse, index, repair and summaries, each for what is new only; a second run does nothing"""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = d.select(F.col("doc_id").cast("string").alias("paper_id"), F.expr(_BROKEN).alias("text"))
+    again = d.select(F.col("doc_id").cast("string").alias("paper_id"), "text")
+    folder, out = _folder(spark), None
+    for run in (1, 2):
+        for phase, rows in I.phases(spark, folder, run, first, again, lambda texts: [t[:60] for t in texts]).items():
+            part = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(run).alias("run"), F.lit(phase).alias("phase"), "rows")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT window_start AS start, event_type, count(*) AS n FROM (SELECT unnest(range(time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 18 HOUR, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 1 HOUR, INTERVAL 6 HOUR)) AS window_start, event_type FROM events) GROUP BY ALL""")
+def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-07 (extension): windows of a day that begin every six hours"""
+    events = I.event_stream(spark, sf_dir)
+    counted = events.groupBy(F.window("at", "1 day", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return _complete(counted, _folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -50,3 +50,51 @@ def without_thoughts(tokens: DataFrame, session: str, order: str, token: str) ->
     """(session, text): a finished token stream with its thought spans removed, tags split over tokens too (STM-04)."""
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, token))), lambda x: x[token]), "")
     return tokens.groupBy(session).agg(whole.alias("text")).withColumn("text", F.regexp_replace("text", r"(?s)<think>.*?(</think>|$)", ""))
+
+
+def _known(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at `path`, or none of `like` where there is no table yet."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    return spark.read.schema(like.schema).parquet(path) if exists else like.limit(0)
+
+
+def refresh(spark: SparkSession, folder: str, run: int, offered: DataFrame, embed, most: int = 500) -> None:  # noqa: ANN001
+    """One scheduled run over a corpus (STM-03): of the articles offered (journal_id, doi, key, abstract, published) the newest of each journal whose DOI is unknown are added with the number of the run, then those without a vector embedded.
+
+    A run that is repeated finds nothing new; a run after an empty one fills the corpus.
+    """
+    from scholiast.functions.models import embedded
+    from scholiast.operators.recommend import recent
+
+    newest = recent(offered, "journal_id", "published", "key", most)
+    known = _known(spark, f"{folder}/articles", offered.withColumn("run", F.lit(run)))
+    newest.join(known.select("doi"), "doi", "left_anti").select(*offered.columns).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{folder}/articles")
+    articles = spark.read.parquet(f"{folder}/articles").select("journal_id", "doi", "abstract")
+    vectors = _known(spark, f"{folder}/vectors", embedded(articles, "abstract", embed).drop("abstract"))
+    missing = articles.join(vectors.select("doi"), "doi", "left_anti")
+    embedded(missing, "abstract", embed).drop("abstract").write.mode("append").parquet(f"{folder}/vectors")
+
+
+def phases(spark: SparkSession, folder: str, run: int, files: DataFrame, again: DataFrame, model) -> dict[str, DataFrame]:  # noqa: ANN001
+    """What each phase of one batch run has done (STM-09): files (paper_id, text) that are unknown are parsed, unknown papers indexed, garbled ones replaced by a second reading, papers without a summary summarised. Each phase appends to a table of its own, so a run can be repeated after a failure."""
+    from scholiast.functions import text as T
+    from scholiast.functions.models import summarised
+
+    def added(name: str, rows: DataFrame) -> DataFrame:
+        path = f"{folder}/{name}"
+        known = _known(spark, path, rows.withColumn("run", F.lit(run)))
+        rows.join(known.select("paper_id"), "paper_id", "left_anti").withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+        return spark.read.parquet(path).filter(F.col("run") == run)
+
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}").drop("run")
+
+    done = {"parse": added("parsed", files)}
+    done["index"] = added("indexed", table("parsed"))
+    bad = table("indexed").filter(T.is_garbled("text")).select("paper_id")
+    done["repair"] = added("repaired", again.join(bad, "paper_id", "left_semi"))
+    whole = table("indexed").join(table("repaired").select("paper_id"), "paper_id", "left_anti").unionByName(table("repaired"))
+    said = summarised(whole.withColumn("summary", F.lit("")), "text", "summary", model).filter("state = 'done'").select("paper_id", "summary")
+    done["summaries"] = added("summaries", said)
+    return done
