@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholiast.llm.store import free_names
 from scholiast.llm.tokens import U64, blocks, cached_powers, grams, word_hashes
 
 #: Words of test items that one broadcast holds (8 bytes each, and a seed of 20 bytes); more items take more passes over the documents.
@@ -222,5 +223,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 4, coverage: fl
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 4, coverage: float = 0.5) -> DataFrame:
     """The rows of `docs` that hold no test item; a row with a null doc_id stays."""
-    gone = contaminated(docs, benchmark, k, coverage).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left_anti")
+    (own,) = free_names(docs, "_gone_id")
+    gone = contaminated(docs, benchmark, k, coverage).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")

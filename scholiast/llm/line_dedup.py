@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholiast.llm.store import stored
+from scholiast.llm.store import free_names, stored, tidy
 from scholiast.llm.tokens import U64, blocks, cached_powers, mix, word_hashes
 
 #: Lines of fewer words are only compared as a whole: one edit would be too much of them.
@@ -148,15 +148,16 @@ def kept_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 
 
 def _dedup(docs: DataFrame, near_words: int, counts: tuple[str, str]) -> DataFrame:
-    kept = stored(kept_lines(docs, near_words), "kept").select(F.col("doc_id").alias("_kept_id"), F.col("numbers").alias("_numbers"))
-    with_kept = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept_id"], "left").drop("_kept_id")
+    own, numbered = free_names(docs, "_kept_id", "_numbers")
+    kept = stored(kept_lines(docs, near_words), "kept").select(F.col("doc_id").alias(own), F.col("numbers").alias(numbered))
+    with_kept = docs.join(kept, F.col("doc_id").cast("long") == F.col(own), "left").drop(own)
     names = docs.columns
     schema = docs.withColumns({c: F.lit(0) for c in counts}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, before, after = [], [], []
-            for text, numbers, known in zip(batch.column("text").to_pylist(), batch.column("_numbers").to_pylist(), batch.column("doc_id").is_valid().to_pylist(), strict=True):
+            for text, numbers, known in zip(batch.column("text").to_pylist(), batch.column(numbered).to_pylist(), batch.column("doc_id").is_valid().to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 full = [bool(x.strip(" \t\n\v\f\r")) for x in lines]
                 stays = set(numbers or ()) if known else set(range(len(lines)))
@@ -166,9 +167,10 @@ def _dedup(docs: DataFrame, near_words: int, counts: tuple[str, str]) -> DataFra
             columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int32()), pa.array(after, pa.int32())], [*names, *counts])
 
-    return with_kept.select(*names, "_numbers").mapInArrow(run, schema)
+    return with_kept.select(*names, numbered).mapInArrow(run, schema)
 
 
+@tidy
 def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """The rows of `docs` with `text` less the lines that repeat an earlier one, and n_lines, n_kept (lines with words before and after).
 
@@ -181,4 +183,5 @@ def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """The rows of `docs`, in its columns, without repeated lines; rows of which no line with words is left go, rows that had none stay."""
-    return _dedup(docs, near_words, ("_n_lines", "_n_kept")).filter("_n_kept > 0 or _n_lines = 0").select(*docs.columns)
+    before, after = free_names(docs, "_n_lines", "_n_kept")
+    return _dedup(docs, near_words, (before, after)).filter((F.col(after) > 0) | (F.col(before) == 0)).select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholiast.llm.store import stored
+from scholiast.llm.store import free_names, stored, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -128,6 +128,7 @@ def _nearer(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(best, same, "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("s", "b", "p", "t", "change")
 
 
+@tidy
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, corrections: int = 3) -> DataFrame:
     """One row per row of `docs` (doc_id, text, source): doc_id, source, key, size, source_size, target, rate, copies, taken.
 
@@ -151,6 +152,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
     """The rows of `docs` that the mix takes, with their number of `copies`. Rows that agree in doc_id and text get the largest number that one of them has."""
-    copies = mix_sources(docs, weights, share).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.max("copies").alias("copies"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))) == F.col("_key"))
-    return docs.drop("copies").join(copies, same).drop("_id", "_key")
+    own, key = free_names(docs, "_id", "_key")
+    copies = mix_sources(docs, weights, share).filter("copies > 0").groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(F.max("copies").alias("copies"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))) == F.col(key))
+    return docs.drop("copies").join(copies, same).drop(own, key)

@@ -58,6 +58,16 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as make it a new column's."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in df.columns}:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A stored table of narrow rows, marked for a broadcast join if it has at most `rows` of them; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

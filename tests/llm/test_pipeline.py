@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from scholiast.llm import quality as q
+from scholiast.llm.store import stored
 from tests.llm.helpers import sample, words
 from tests.llm.test_filters import edit_distance, plain_tiles
 from tests.llm.test_near_dedup import brute
@@ -39,7 +40,7 @@ def test_stages(spark, folder):
     good = {r.doc_id for r in q.score_quality(docs, model).collect() if r.predicted}
     after = []
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, folder), "stage")
+        docs = stored(stage(spark, docs, folder), "stage")
         after.append({r.doc_id: r for r in docs.collect()})
     assert {i: r.text for i, r in after[0].items()} == {i: before[i] for i in good}
     assert not set(range(100, 130)) & good and set(range(60)) <= good
@@ -87,3 +88,32 @@ def test_near_dedup_stage_links_from_080_on(spark, folder):
         far[at] = "another"
     docs = spark.createDataFrame([(1, " ".join(base), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(far), "en", "s", 1)], SCHEMA)
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()} == {1, 3}
+
+
+def test_stages_on_edge_rows_and_clashing_names(spark, folder):
+    """Nulls, repeated rows, a very long text and columns whose names the stages use themselves."""
+    names = "copies _id _key _gone_id _numbers _n_lines _n_kept _kept_id n_lines rank size rate kept component_id".split()
+    long = "\n".join(sample(40, 9000 + i, 10**6) for i in range(1500))
+    texts = [(1, sample(30, 1)), (1, sample(30, 1)), (2, sample(30, 1)), (3, None), (None, sample(30, 5)), (4, ""), (5, long), (6, " ".join(["word"] * 7))]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 2 else "s", len(t or ""), *range(len(names))) for i, t in texts], SCHEMA + "".join(f", {n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        rows = out.collect()
+        if name != "mixing":
+            assert out.columns == docs.columns
+            assert all([r[n] for n in names] == list(range(len(names))) for r in rows)
+        kept = sorted((r.doc_id or -1) for r in rows)
+        if name == "line_dedup":
+            assert kept == [-1, 1, 1, 3, 4, 5, 6] and next(r for r in rows if r.doc_id == 5).text == long
+        if name == "near_dedup":
+            assert kept == [-1, 1, 1, 3, 4, 5, 6]
+        if name == "decontaminate":
+            assert kept == [-1, 1, 1, 2, 3, 4, 5, 6]
+        if name == "mixing":
+            assert set(kept) <= {-1, 1, 2, 5, 6} and all(r.copies in (1, 2) and r.rank == names.index("rank") for r in rows)
+
+
+def test_stages_on_empty_tables(spark, folder):
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
