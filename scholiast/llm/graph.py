@@ -33,14 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     start = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, path = store(start, "edges")
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    before = mark(now)
-    while before[0]:
+    while not _settled(now):
         new, new_path = store(_star(_star(now, True), False), "edges")
         drop(spark, path)
-        now, path, after = new, new_path, mark(new)
-        if after == before:
-            break
-        before = after
+        now, path = new, new_path
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("id"), "component")).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has that one only, and that one has none: one job."""
+    several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    inner = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return several.unionByName(inner).isEmpty()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholiast.llm.graph import components
-from scholiast.llm.store import broadcast_if_small, stored, tidy
+from scholiast.llm.store import broadcast_if_small, free_names, stored, tidy
 from scholiast.llm.tokens import U64, blocks, grams, mix, sequence_hash, shingle_set, word_hashes
 
 MINIMA = 64
@@ -313,6 +313,11 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, numerator: int) -> Data
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def grown(members: DataFrame, proved: DataFrame) -> DataFrame:
+    """(id, component): the components of `members` joined by the pairs `proved` (a, b)."""
+    return stored(components(members.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(proved)), "members")
+
+
 @tidy
 def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
@@ -335,8 +340,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
     key = ["key1", "key2", "n_shingles"]
     twice = rows.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x <> y").select("doc_id")
     same = rows.join(twice, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes.drop("signature"), key)
-    links = stored(same.select(F.col("id").alias("a"), F.col("doc_id").alias("b")), "links")
-    members = stored(components(links), "members")
+    members = stored(components(same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))), "members")
     ends = open_pairs.select(F.col("a").alias("id")).unionByName(open_pairs.select(F.col("b").alias("id"))).distinct()
     # the texts that candidates have, moved once; candidates grow with the collection, so their ids are never broadcast
     texts = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ends.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
@@ -355,8 +359,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
             break
         proved = stored(confirmed(texts, now, k, numerator), "proved")
         open_pairs = open_pairs.join(now, ["a", "b"], "left_anti")
-        links = links.unionByName(proved)
-        members = stored(components(links), "members")
+        members = grown(members, proved)
     # Then what crowds hide. Components only grow, so the crowd is found once and its texts move once.
     seat = lambda: sets.join(members, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "signature")
     inside = stored(crowded(seat(), numerator / 100), "inside")
@@ -366,11 +369,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
         texts = stored(whole.join(crowd.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
 
         def prove(asked: DataFrame) -> None:
-            nonlocal links, members, tried
+            nonlocal members, tried
             now = stored(likely(asked.join(tried, ["a", "b"], "left_anti"), sets, numerator / 100).select("a", "b"), "asked")
             if not now.isEmpty():
-                links = links.unionByName(stored(confirmed(texts, now, k, numerator), "proved"))
-                members = stored(components(links), "members")
+                members = grown(members, stored(confirmed(texts, now, k, numerator), "proved"))
                 tried = tried.unionByName(now)
 
         prove(centres(inside, numerator))
@@ -385,5 +387,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFrame:
     """The rows of `docs` whose document is the first of its group; of rows with one doc_id all stay together."""
-    gone = near_duplicates(docs, k, numerator).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    (own,) = free_names(docs, "_gone_id")
+    gone = near_duplicates(docs, k, numerator).filter(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
