@@ -78,6 +78,16 @@ def chosen_model(installed: DataFrame, pinned: str, preferences: list[str]) -> C
     return best["name"] if best else None
 
 
+def resolved_models(asked: DataFrame, installed: DataFrame, preferences: list[str]) -> DataFrame:
+    """(asked, model) for every pinned name of `asked` (asked, pinned): the same installed name, else one of its base, else the first preference that a name holds, else the first name (UDF-06). The installed names are a short list beside the questions."""
+    base = lambda c: F.split_part(c, F.lit(":"), F.lit(1))
+    rank = F.when(F.col("name") == F.col("pinned"), 0).when(base("name") == base("pinned"), 1)
+    for i, p in enumerate(preferences):
+        rank = rank.when(F.contains("name", F.lit(p)), 2 + i)
+    met = asked.crossJoin(installed.select("name").distinct()).withColumn("_r", rank.otherwise(2 + len(preferences)))
+    return met.groupBy("asked").agg(F.min_by("name", F.struct("_r", "name")).alias("model"))
+
+
 def parsed_sections(items: DataFrame, key: str) -> DataFrame:
     """(key, sections, references_raw) from layout items (key, pos, kind, text, page): page furniture goes, headings open sections, back matter goes to the references (SRC-03)."""
     kept = items.filter(~F.col("kind").isin("page_header", "page_footer", "table"))

@@ -159,3 +159,13 @@ def apply_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = p.select("paper_id", F.when(key % 7 != 0, F.concat(F.lit("new "), "source")).alias("new_title"), F.concat(F.lit("10.9/"), "doc_id").alias("doi"), F.when(key % 2 == 0, 2001).alias("year"), F.when(key % 3 == 0, "N. Author").otherwise("").alias("authors"), F.when(key % 4 == 0, "AUTO").when(key % 4 == 1, "REVIEW").otherwise("SKIP").alias("tier"))
     old = p.select("paper_id", "title", F.when(key % 5 == 0, "first").alias("title_original"), "doi", "year", "authors")
     return M.applied_proposals(old, x, ["AUTO", "REVIEW"])
+
+
+@query("""WITH i AS (SELECT DISTINCT lower(p_brand) || ':' || (p_size % 3) AS name FROM part), a AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'brand#' || (c_custkey % 60) || ':1' WHEN 1 THEN 'brand#' || (c_custkey % 60) || ':latest' ELSE 'nothing' END AS pinned FROM customer),
+r AS (SELECT c_custkey, name, row_number() OVER (PARTITION BY c_custkey ORDER BY CASE WHEN name = pinned THEN 0 WHEN split_part(name, ':', 1) = split_part(pinned, ':', 1) THEN 1 WHEN contains(name, '#4') THEN 2 WHEN contains(name, '#2') THEN 3 ELSE 4 END, name) AS n FROM a, i) SELECT c_custkey AS asked, name AS model FROM r WHERE n = 1""")
+def model_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-06: the pinned model, else its base, else a preferred one, else the first"""
+    installed = table(spark, sf_dir, "part").select(F.concat(F.lower("p_brand"), F.lit(":"), F.col("p_size") % 3).alias("name")).distinct()
+    key = F.col("c_custkey")
+    pinned = F.when(key % 3 == 0, F.concat(F.lit("brand#"), key % 60, F.lit(":1"))).when(key % 3 == 1, F.concat(F.lit("brand#"), key % 60, F.lit(":latest"))).otherwise("nothing")
+    return Mo.resolved_models(table(spark, sf_dir, "customer").select(key.alias("asked"), pinned.alias("pinned")), installed, ["#4", "#2"])
