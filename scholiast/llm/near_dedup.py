@@ -11,7 +11,7 @@ others are confirmed on the full sets before they link anything.
 
 Neighbours and first members are only the quick part. In a crowd, such as pages of one template that are almost
 similar enough, they see few of a set's region. So the depth adapts once more: in regions that still hold several
-components each set is compared with the one nearest to the region's commonest minima, which links edited copies
+components sets are compared with all others where these are few; else with the one nearest to the region's commonest minima, which links edited copies
 of one original; then the region is split by the shingles that are rare among such sets, in which linked sets
 must meet (see `postings`). That last search is exact for all sets that share a region, and its
 work grows with the sets that meet, not with the crowd.
@@ -39,6 +39,8 @@ REGION = 512
 #: Neighbours before a set in sorted order, and first members of a cut region, that are its candidates.
 NEIGHBOURS = 3
 ANCHORS = 1
+#: Sets of a region up to which all of them are compared with each other.
+FEW = 32
 #: Counters that say how common shingles are among sets of crowded regions.
 CELLS = 1 << 20
 #: Children that one task holds with their parent while links are confirmed.
@@ -162,7 +164,7 @@ def consensus(regions: DataFrame, most: int = 64) -> DataFrame:
 
 
 def crowded(seated: DataFrame, similarity: float) -> DataFrame:
-    """(id, n, component, signature, region): the members of regions in which sets of different components may not have been compared.
+    """(id, n, component, signature, region, size): the members of regions in which sets of different components may not have been compared.
 
     A region is a run of minima at a fixed place, as short as lets a pair at the threshold share one with near certainty.
     Sets (id, n, component, signature) of one component, and small regions that neighbours cover, are left out.
@@ -172,11 +174,31 @@ def crowded(seated: DataFrame, similarity: float) -> DataFrame:
     entries = seated.select("id", "component", F.explode(F.sequence(F.lit(0), F.lit(MINIMA // depth - 1))).alias("tree"), "signature")
     entries = entries.select("id", "component", F.xxhash64("tree", F.expr(f"substring(signature, {2 * depth} * tree + 1, {2 * depth})")).alias("region"))
     sizes = entries.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = stored(sizes.filter((F.col("size") > covered) & (F.col("low") != F.col("high"))).select("region"), "mixed")
+    mixed = stored(sizes.filter((F.col("size") > covered) & (F.col("low") != F.col("high"))).select("region", "size"), "mixed")
     inside = stored(entries.select("id", "region").join(broadcast_if_small(mixed), "region"), "inside")
     return inside.join(seated, "id")
 
 
+def fellows(inside: DataFrame, numerator: int) -> DataFrame:
+    """(a, b): the pairs of different components in regions of at most FEW members (id, n, component, signature, region) that agree in enough minima."""
+    enough = _enough(numerator / 100)
+    lists = inside.groupBy("region").agg(F.collect_list(F.struct("id", "n", "component", "signature")).alias("list"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for members in batch.column("list").to_pylist():
+                ids, n, of = (np.array([m[c] for m in members]) for c in ("id", "n", "component"))
+                x = np.frombuffer(b"".join(m["signature"] for m in members), np.uint16).reshape(-1, MINIMA)
+                fit = (of[:, None] < of[None]) & (100 * np.minimum(n[:, None], n[None]) >= numerator * np.maximum(n[:, None], n[None]))
+                i, j = np.nonzero(fit)
+                good = (x[i] == x[j]).sum(1) >= enough
+                found += zip(np.minimum(ids[i], ids[j])[good].tolist(), np.maximum(ids[i], ids[j])[good].tolist(), strict=True)
+            yield pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+
+    return lists.select("list").mapInArrow(run, "a long, b long").distinct()
+
+
 def centres(inside: DataFrame, numerator: int) -> DataFrame:
     """(a, b): each member of a region (id, n, component, signature, region) with the member nearest to the region's commonest minima.
 
@@ -229,7 +251,7 @@ def postings(texts: DataFrame, k: int, numerator: int) -> DataFrame:
     total = 100 + numerator
 
     def classes(n: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(np.maximum(n, 1)) / np.log(1.02)).astype(np.int32)
+        return np.floor(np.log(np.maximum(n, 1)) / np.log(1.05)).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
@@ -363,22 +385,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
     # Then what crowds hide. Components only grow, so the crowd is found once and its texts move once.
     seat = lambda: sets.join(members, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "signature")
     inside = stored(crowded(seat(), numerator / 100), "inside")
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def prove(asked: DataFrame, known: DataFrame | None = None) -> None:
+        """Confirms the pairs that have not been tried, on the texts of `known` or of their own ends."""
+        nonlocal members, tried
+        now = stored(likely(asked.join(tried, ["a", "b"], "left_anti"), sets, numerator / 100).select("a", "b"), "asked")
+        if now.isEmpty():
+            return
+        if known is None:
+            need = stored(now.select(F.col("a").alias("doc_id")).unionByName(now.select(F.col("b").alias("doc_id"))).distinct(), "need")
+            known = whole.join(need.hint("merge"), "doc_id", "left_semi")
+        members = grown(members, stored(confirmed(known, now, k, numerator), "proved"))
+        tried = tried.unionByName(now)
+
+    prove(fellows(inside.filter(F.col("size") <= FEW), numerator))
+    inside = inside.filter(F.col("size") > FEW)
     crowd = stored(inside.select("id").distinct(), "crowd")
     if not crowd.isEmpty():
-        whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         texts = stored(whole.join(crowd.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
-
-        def prove(asked: DataFrame) -> None:
-            nonlocal members, tried
-            now = stored(likely(asked.join(tried, ["a", "b"], "left_anti"), sets, numerator / 100).select("a", "b"), "asked")
-            if not now.isEmpty():
-                members = grown(members, stored(confirmed(texts, now, k, numerator), "proved"))
-                tried = tried.unionByName(now)
-
-        prove(centres(inside, numerator))
+        prove(centres(inside, numerator), texts)
         posted = stored(postings(texts, k, numerator), "posted")
-        prove(meetings(posted, members, numerator, first=True))
-        prove(meetings(posted, members, numerator, first=False))
+        prove(meetings(posted, members, numerator, first=True), texts)
+        prove(meetings(posted, members, numerator, first=False), texts)
     of_class = classes.join(members, "id", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = shingled.select("doc_id", "n_shingles", "key1", "key2").join(of_class, ["key1", "key2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

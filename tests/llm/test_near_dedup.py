@@ -99,6 +99,7 @@ def test_star_of_many_copies_is_one_component(spark):
 
 def test_star_in_a_region_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "REGION", 3)
+    monkeypatch.setattr(nd, "FEW", 2)
     data = star(60) + [(i + 500, t) for i, t in rows()]
     got = {x.doc_id: x.component_id for x in nd.near_duplicates(frame(spark, data)).collect()}
     assert got == brute(data)
