@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scholiast.llm.ann import nearest
 from scholiast.llm.chat import format_chats
@@ -16,6 +19,9 @@ from scholiast.llm.mixing import mix_sources
 from scholiast.llm.near_dedup import near_duplicates
 from scholiast.llm.quality import score_quality, train
 from scholiast.llm.substring_dedup import repeated_passages
+from scholiast.llm.token_files import read_ids
+from scholiast.llm.token_ids import write_token_ids
+from scholiast.operators.graph import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +71,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes token files into a new folder of the shared one, where they stay as the operator's output, and reads them back."""
+    path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
+    write_token_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
@@ -76,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest": op8_nearest,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_html_text": op10_html_text,
+    "op11_token_ids": op11_token_ids,
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
