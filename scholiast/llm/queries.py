@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from scholiast.llm.quality import score_quality, train
 from scholiast.llm.substring_dedup import repeated_passages
 from scholiast.llm.token_files import read_ids
 from scholiast.llm.token_ids import write_token_ids
+from scholiast.llm.word_runs import word_runs
 from scholiast.operators.graph import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +81,39 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h = crc32 of the decimal doc_id, texts whose h % 10 is 0 repeat, from word g % n on (g = h // 10), a stretch of 1 + (n - g % n) // (3 + g % 8) words to their end. A null doc_id has no number and its text stays."""
+
+    def changed(doc_id: int | None, text: str | None) -> str | None:
+        h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+        if h % 10 or not (words := (text or "").encode().split()):  # bytes split at 0x20 and 0x09-0x0D
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)]).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = map(changed, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string")
+
+
+def run_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256) of the runs of words of each row."""
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    found = word_runs(docs).select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.selectExpr("doc_id", "n_runs", "-best.start AS start", "best.length AS length", "-best.period AS period", "1000 * best.length div -best.period AS exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(_with_periods(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
@@ -90,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op9_repeated_passages": op9_repeated_passages,
     "op10_html_text": op10_html_text,
     "op11_token_ids": op11_token_ids,
+    "op12_word_runs": op12_word_runs,
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

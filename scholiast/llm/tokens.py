@@ -75,6 +75,37 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int,
         first = end
 
 
+def spans(raw: np.ndarray, at: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte and end byte of each word, index of the first word of each row plus the total) where `gap` marks the bytes between words."""
+    n = len(raw)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    edge[1:n] |= gap[: max(0, n - 1)]
+    starts = np.flatnonzero(edge[:n] & ~gap)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    edge[:n] |= gap
+    ends = np.flatnonzero(edge[1:] & ~gap) + 1
+    return starts, ends, np.searchsorted(starts, at)
+
+
+def word_strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray) -> pa.Array:
+    """The words as strings, given that they are all bytes that are no gap."""
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[~gap].tobytes())])
+
+
+def white(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are 0x20 or 0x09-0x0D."""
+    return _SPACE[raw]
+
+
+def runs_at(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begins[0], begins[0] + 1, ... of each of some runs, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, index of the first word of each row plus the total, first byte and end byte of each word)."""
     n = len(raw)
