@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scholiast.llm.ann import nearest
 from scholiast.llm.chat import format_chats
+from scholiast.llm.collocations import collocations
 from scholiast.llm.decontaminate import contaminated
 from scholiast.llm.html_text import main_text
 from scholiast.llm.line_dedup import dedup_lines
@@ -114,6 +115,10 @@ def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(_with_periods(_table(spark, sf_dir, "documents")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
@@ -127,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op10_html_text": op10_html_text,
     "op11_token_ids": op11_token_ids,
     "op12_word_runs": op12_word_runs,
+    "op13_collocations": op13_collocations,
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -151,4 +157,20 @@ gone AS (SELECT b.place FROM v a JOIN v b ON a.x = b.x AND a.pos = b.pos AND a.p
 kept AS (SELECT place FROM d WHERE place NOT IN (SELECT place FROM gone)),
 m AS (SELECT l.*, len(w) > 0 AS full_line, place IS NOT NULL AS stays FROM l LEFT JOIN kept ON place = doc_id * 10000000 + i)
 SELECT doc_id, count(*) FILTER (full_line)::INT AS n_lines, count(*) FILTER (full_line AND stays)::INT AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT full_line OR stays), '') AS text FROM m GROUP BY doc_id""",
+    "op13_collocations": """WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS t FROM documents),
+p AS (SELECT d, lang, unnest(t) AS t, generate_subscripts(t, 1) AS p FROM d),
+w AS (SELECT d, lang, p, unnest(string_split_regex(t, '[ \x09]+')) AS w, generate_subscripts(string_split_regex(t, '[ \x09]+'), 1) AS i FROM p),
+x AS (SELECT lang, w AS w1, lead(w) OVER s AS w2, lead(w, 2) OVER s AS w3 FROM (FROM w WHERE w <> '') WINDOW s AS (PARTITION BY d, p ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*) AS a FROM x GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS a FROM x WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS a FROM x WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f1 GROUP BY lang),
+longer AS (SELECT lang, w1, w2, max(a) AS most FROM (SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY ALL),
+cuts AS (SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.a, h.a AS l, t.a AS r FROM f2 c JOIN f1 h ON h.lang = c.lang AND h.w1 = c.w1 JOIN f1 t ON t.lang = c.lang AND t.w1 = c.w2 LEFT JOIN longer o ON o.lang = c.lang AND o.w1 = c.w1 AND o.w2 = c.w2 WHERE o.most IS NULL OR 100 * o.most < 50 * c.a
+UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.a, h.a, t.a FROM f3 c JOIN f1 h ON h.lang = c.lang AND h.w1 = c.w1 JOIN f2 t ON t.lang = c.lang AND t.w1 = c.w2 AND t.w2 = c.w3
+UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.a, h.a, t.a FROM f3 c JOIN f2 h ON h.lang = c.lang AND h.w1 = c.w1 AND h.w2 = c.w2 JOIN f1 t ON t.lang = c.lang AND t.w1 = c.w3),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }

@@ -89,6 +89,13 @@ def spans(raw: np.ndarray, at: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, A-Z counting as a-z."""
+    sums = np.zeros(len(raw) + 1, U64)
+    np.cumsum(_VALUE[raw] * cached_powers(_BASE, len(raw)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * cached_powers(_inverse(_BASE), len(raw) + 1)[starts])
+
+
 def word_strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray) -> pa.Array:
     """The words as strings, given that they are all bytes that are no gap."""
     offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
