@@ -1,14 +1,15 @@
 """Token ids of whole texts by a given tokenizer, each distinct word encoded once, written as binary files.
 
 White space separates what the tokenizer sees: its normalisers and its splitting never look across a space,
-so the ids of a text are those of its words in order. Each task keeps the ids of the words it has met (up
-to a fixed number), and a text is a gather from them. That holds for tokenizers that drop white space, which
+so the ids of a text are those of its words in order. Each worker keeps the ids of the words it has met (up
+to a fixed number, the frequent ones longest), and a text is a gather from them. That holds for tokenizers that drop white space, which
 `splits_at_space` checks; others encode each text as a whole.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -19,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholiast.llm.token_files import write_ids
-from scholiast.llm.tokens import blocks
+from scholiast.llm.tokens import blocks, runs_at, white
 
-#: Words whose ids a task keeps; beyond them it starts anew.
-KNOWN_WORDS = 1 << 19
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Words whose ids a worker keeps; beyond them it forgets the half that it met least often. Bytes of texts that it looks at together.
+KNOWN_WORDS, TEXT_BYTES = 1 << 18, 1 << 21
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
 _MARK = np.zeros(256, bool)
@@ -47,36 +46,37 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(tokenizer)
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 16, np.int64)  # where each known word's ids begin; one more than words
-        self.used = 0
+        self.ids = np.zeros(0, np.uint32)
+        self.at = np.zeros(1, np.int64)  # where each known word's ids begin; one more than words
+        self.met = np.zeros(0, np.int64)
 
     def encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        for word, ids in zip(words, self.encoded(words), strict=True):
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            n = len(self.known)
-            if n + 2 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[word] = n
-            self.at[n + 1] = self.used
+        parts = (texts[i : i + 4096] for i in range(0, len(texts), 4096))
+        return [e.ids for part in parts for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: KNOWN_WORDS // 2])
+        words = list(self.known)
+        self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
+        sizes = np.diff(self.at)[kept]
+        self.ids = self.ids[runs_at(self.at[kept], sizes)]
+        self.at = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        self.met = self.met[kept] // 2
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The known number of each of some distinct words."""
         if len(self.known) > KNOWN_WORDS:
-            self.clear()
+            self._forget()
         if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            lists = self.encoded(new)
+            self.known.update(zip(new, itertools.count(len(self.known))))
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), np.uint32)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.met[found] += 1
+        return found
 
 
 @functools.lru_cache(1)
@@ -87,7 +87,7 @@ def _encoder(tokenizer: str) -> _Encoder:
 def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(words, number of the first word of each row plus the total): runs between white space; one mark at the end of a word after an ASCII letter is a word of its own, which no pattern joins with letters."""
     n = len(raw)
-    gap = _SPACE[raw]
+    gap = white(raw)
     starts = np.zeros(n + 1, bool)
     starts[at] = True
     starts[1:n] |= gap[:-1]
@@ -105,13 +105,6 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return words, np.searchsorted(first, at)
 
 
-def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs of `values` at `begins`, one after another."""
-    ends = np.cumsum(sizes)
-    at = np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-    return values[at]
-
-
 def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]) * 4
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
@@ -131,13 +124,13 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> Dat
         encoder = _encoder(known)
         ends = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
         for batch in batches:
-            for first, end, raw, at in blocks(batch.column("text")):
+            for first, end, raw, at in blocks(batch.column("text"), TEXT_BYTES):
                 if by_word:
                     words, row_at = words_of(raw, at)
                     coded = words.dictionary_encode()
                     numbers = encoder.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
                     begins, sizes = encoder.at[numbers], encoder.at[numbers + 1] - encoder.at[numbers]
-                    ids = _gathered(encoder.ids, begins, sizes)
+                    ids = encoder.ids[runs_at(begins, sizes)]
                     of_row = np.concatenate([[0], np.cumsum(sizes)])[row_at]
                 else:
                     lists = encoder.encoded(batch.column("text").slice(first, end - first).fill_null("").to_pylist())
