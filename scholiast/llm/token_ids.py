@@ -1,8 +1,8 @@
 """Token ids of whole texts by a given tokenizer, each distinct word encoded once, written as binary files.
 
-White space separates what the tokenizer sees: its normalisers and its splitting never look across a space,
-so the ids of a text are those of its words in order. Each worker keeps the ids of the words it has met (up
-to a fixed number, the frequent ones longest), and a text is a gather from them. That holds for tokenizers that drop white space, which
+White space separates what the tokenizer sees: its normalisers and its splitting never look across a space, nor
+do they where ASCII letters, digits and other characters meet, so the ids of a text are those of its pieces in order. Each worker keeps the ids of the words it has met (up
+to a fixed number, the frequent ones longest), and a text is a gather from them. That holds for tokenizers of one pattern, which
 `splits_at_space` checks; others encode each text as a whole.
 """
 
@@ -12,6 +12,7 @@ import functools
 import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,22 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholiast.llm.token_files import write_ids
-from scholiast.llm.tokens import blocks, runs_at, white
+from scholiast.llm.tokens import blocks, runs_at, spans, white, word_strings
 
 #: Words whose ids a worker keeps; beyond them it forgets the half that it met least often. Bytes of texts that it looks at together.
 KNOWN_WORDS, TEXT_BYTES = 1 << 18, 1 << 21
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
-_MARK = np.zeros(256, bool)
-_MARK[list(b".,;:!?")] = True
+#: Kinds of bytes: letters, digits and other visible ones of ASCII, and 0 for the rest.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = 1
+_KIND[ord("0") : ord("9") + 1] = 2
+# fixed value: the pattern of pre-tokens that words_of goes by
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pieces that the normalisers and the splitting leave as they are, and what the byte-level step makes of their bytes: visible ones of Latin 1 stand for themselves, the others, in order, for the characters from 256 on.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\\[-`{-~]+")
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPELT = dict(zip((b for b in range(256) if b not in _VISIBLE), itertools.count(256)))
 
 
 def splits_at_space(tokenizer: str) -> bool:
-    """Whether a tokenizer's pre-tokenizer drops white space before anything else can join words over it."""
-    steps = (json.loads(tokenizer).get("pre_tokenizer") or {}).get("pretokenizers", [])
-    first = steps[0] if steps else {}
-    pattern = (first.get("pattern") or {}).get("Regex", "")
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s\p{L}\p{N}]+" in pattern and " ?" not in pattern and r"|\s" not in pattern
+    """Whether a tokenizer lower-cases, drops white space and cuts words as `words_of` does before anything else can join them."""
+    known = json.loads(tokenizer)
+    first, *others = (known.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    steps = [n.get("type") for n in (known.get("normalizer") or {}).get("normalizers", [])]
+    return steps == ["NFC", "Replace", "Lowercase"] and [o.get("type") for o in others] == ["ByteLevel"] and first.get("type") == "Split" and first.get("invert") is True and (first.get("pattern") or {}).get("Regex") == _PATTERN
 
 
 class _Encoder:
@@ -55,6 +63,17 @@ class _Encoder:
         parts = (texts[i : i + 4096] for i in range(0, len(texts), 4096))
         return [e.ids for part in parts for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
 
+    def _pieces(self, words: list[str]) -> Iterator[list[int]]:
+        """The ids of each of some pieces of words: plain ones go straight to the model."""
+        rest = iter(self.encoded([w for w in words if not _PLAIN.fullmatch(w)]))
+        tokenize = self.model.model.tokenize
+        for word in words:
+            if not _PLAIN.fullmatch(word):
+                yield next(rest)
+            else:
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELT)
+                yield [t.id for t in tokenize(spelt)]
+
     def _forget(self) -> None:
         kept = np.sort(np.argsort(-self.met, kind="stable")[: KNOWN_WORDS // 2])
         words = list(self.known)
@@ -69,7 +88,7 @@ class _Encoder:
         if len(self.known) > KNOWN_WORDS:
             self._forget()
         if new := [w for w in words if w not in self.known]:
-            lists = self.encoded(new)
+            lists = list(self._pieces(new))
             self.known.update(zip(new, itertools.count(len(self.known))))
             self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), np.uint32)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
@@ -85,24 +104,31 @@ def _encoder(tokenizer: str) -> _Encoder:
 
 
 def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """(words, number of the first word of each row plus the total): runs between white space; one mark at the end of a word after an ASCII letter is a word of its own, which no pattern joins with letters."""
-    n = len(raw)
-    gap = white(raw)
-    starts = np.zeros(n + 1, bool)
-    starts[at] = True
-    starts[1:n] |= gap[:-1]
-    last = np.ones(n, bool)  # the next byte is white space or of another row
-    last[:-1] = gap[1:]
-    last[at[(at > 0) & (at <= n)] - 1] = True
-    mark = _MARK[raw] & last
-    mark[1:] &= _LETTER[raw[:-1]]
-    mark[at[at < n]] = False
-    starts[:n] |= mark
-    first = np.flatnonzero(starts[:n] & ~gap)
-    kept = np.cumsum(~gap)
-    offsets = np.concatenate([kept[first] - 1, kept[-1:]]) if n else np.zeros(1, np.int64)
-    words = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw[~gap].tobytes())])
-    return words, np.searchsorted(first, at)
+    """(words, number of the first word of each row plus the total): what stands between white space, cut further into runs of letters, single digits and runs of other characters.
+
+    Such a cut is made between two ASCII characters only, so no mark is parted from its letter, and not in words with an apostrophe, which
+    the pattern may join with letters, or with `<|`, which may begin a special token. There capitals stay too; elsewhere those that an ASCII
+    character or the word's end follows become small, as the tokenizer would make them.
+    """
+    n, gap = len(raw), white(raw)
+    first, ends, _ = spans(raw, at, gap)
+    odd = raw == ord("'")
+    odd[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    whole = np.zeros(len(first), bool)
+    whole[np.searchsorted(first, np.flatnonzero(odd), "right") - 1] = True
+    loose = np.repeat(~whole, ends - first)  # for the bytes of words, one after another
+    kind = _KIND[raw]
+    cut = np.zeros(n, bool)
+    cut[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    cut[~gap] &= loose
+    cut[first] = True
+    followed = np.zeros(n, bool)
+    followed[:-1] = raw[1:] >= 0x80
+    capital = (raw >= ord("A")) & (raw <= ord("Z")) & ~followed
+    capital[~gap] &= loose
+    first = np.flatnonzero(cut)
+    ends = np.append(np.minimum(first[1:], ends[np.searchsorted(ends, first[:-1], "right")]), ends[-1:])
+    return word_strings(np.where(capital, raw + np.uint8(32), raw), first, ends, gap), np.searchsorted(first, at)
 
 
 def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:

@@ -15,7 +15,7 @@ from scholiast.llm.token_ids import splits_at_space, token_ids, write_token_ids
 from tests.llm.helpers import frame
 
 WORDS, BYTES = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
-ODD = ["", None, "One. Two, 3; it's 's. é. é. naïve!", "<|endoftext|>. a<|endoftext|>b", ".", "a.", "a .b", "\n\v", "x" * 9000, "日本語。 テキスト.", "z\x85q. r", "the cat " * 4000, "No!? no... NO!", "'S 'S's it'S"]
+ODD = ["", None, "One. Two, 3; it's 's. é. é. naïve!", "<|endoftext|>. a<|endoftext|>b", ".", "a.", "a .b", "\n\v", "x" * 9000, "日本語。 テキスト.", "z\x85q. r", "the cat " * 4000, "No!? no... NO!", "'S 'S's it'S", "H\u0331e E\u0301 I\u0307x a=\u0338b <\u0338 1\u20e3 X9y8 (The-End)...[a1B2] \u2026,\u2026A", "<|endoftext|>A1<|EndOfText|>B2 <|x", "A\u00c9B1\u00e9 \u00bd1\u0663 don'T3x ''s", "\u03a3\u03a3 ABC\u03a3 K\u212a"]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 511, 512, 513, 20_001])
