@@ -2,7 +2,7 @@
 
 Every word occurrence adds one to the stripe of its word: an associative counter of the words that follow it, each
 with a counter of the words that follow both; where a piece of text ends, an end mark follows. A task adds up the
-stripes of two million words at a time and hands them on packed by bucket of their prefix, and the stripes of a bucket
+stripes of a million words at a time and hands them on packed by bucket of their prefix, and the stripes of a bucket
 are merged elementwise. A merged stripe gives everything at once: the frequencies of its phrases of two and three words
 (the extensions), the frequencies of its prefixes (the totals, ends included) and for each pair the most frequent
 phrase that continues it, which decides whether it is subsumed on the right; the maximum over the first words
@@ -28,7 +28,7 @@ from scholiast.llm.store import broadcast_if_small, stored, tidy
 from scholiast.llm.tokens import U64, blocks, mix, span_hashes, spans, word_strings
 
 #: Words that a task counts before it hands on their stripes; occurrences of one bucket; least occurrences of one cell.
-FLUSH_WORDS, BUCKET_WORDS, CELL_WORDS = 1 << 21, 1 << 19, 1 << 18
+FLUSH_WORDS, BUCKET_WORDS, CELL_WORDS = 1 << 20, 1 << 19, 1 << 18
 #: Cells of all hot words together, so that their table has a bound.
 MOST_CELLS = 1 << 20
 _STOP = np.zeros(256, bool)
@@ -66,7 +66,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, texts in _by_lang(batch):
-                for _, _, raw, at in blocks(texts, 1 << 22):
+                for _, _, raw, at in blocks(texts, 1 << 21):
                     codes, _, starts, ends = _words(raw, at)
                     found, first, counts = np.unique(codes, return_index=True, return_counts=True)
                     words = word_strings(_LOWER[raw], starts, ends, _GAP[raw]).take(pa.array(first)).cast(pa.string())
@@ -76,13 +76,12 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "code", "word").agg(F.sum("f").alias("f"))
 
 
-def summed(words: tuple[np.ndarray, ...], counts: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """(w1, w2, w3, count) of distinct triples, in order; `counts` adds up, none being one each."""
-    codes, ranks = np.unique(np.concatenate(words), return_inverse=True)
-    n, bits = len(words[0]), max(1, int(len(codes)).bit_length())
-    r = [ranks[i * n : i * n + n] for i in range(3)]
+def summed(codes: np.ndarray, ranks: tuple[np.ndarray, ...], counts: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(w1, w2, w3, count) of distinct triples of ranks among sorted codes, in order; `counts` adds up, none being one each."""
+    n, bits = len(ranks[0]), max(1, int(len(codes)).bit_length())
     if 3 * bits <= 63:
-        keys = (r[0] << (2 * bits)) | (r[1] << bits) | r[2]
+        keys = (ranks[0] << (2 * bits)) | (ranks[1] << bits) | ranks[2]
+        del ranks
         if counts is None:
             keys, counts = np.unique(keys, return_counts=True)
         else:
@@ -92,13 +91,24 @@ def summed(words: tuple[np.ndarray, ...], counts: np.ndarray | None) -> tuple[np
             keys, counts = keys[first], np.add.reduceat(counts, first) if n else counts
         mask = (1 << bits) - 1
         return codes[keys >> (2 * bits)], codes[(keys >> bits) & mask], codes[keys & mask], counts
-    order = np.lexsort((r[2], r[1], r[0]))
-    r = [x[order] for x in r]
+    order = np.lexsort((ranks[2], ranks[1], ranks[0]))
+    r = [x[order] for x in ranks]
     first = np.flatnonzero(np.concatenate([[True], (r[0][1:] != r[0][:-1]) | (r[1][1:] != r[1][:-1]) | (r[2][1:] != r[2][:-1])]))
     counts = np.add.reduceat(np.ones(n, np.int64) if counts is None else counts[order], first)
     return (*(codes[x[first]] for x in r), counts)
 
 
+def counted(line: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(w1, w2, w3, count) of the words of a line of codes, two end marks after the last piece: w3 is an end where w2 is."""
+    codes, ranks = np.unique(line, return_inverse=True)
+    at = np.flatnonzero(line)
+    second = ranks[at + 1]
+    third = np.where(second == 0, 0, ranks[at + 2])  # the end mark is the smallest code
+    first = ranks[at]
+    del line, ranks, at
+    return summed(codes, (first, second, third), None)
+
+
 class Hot:
     """The words whose stripes are cut, per language: sorted codes and how many cells each has."""
 
@@ -157,10 +167,7 @@ def stripes(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                line = np.concatenate([*parts, np.zeros(2, U64)])
-                at = np.flatnonzero(line)
-                w2 = line[at + 1]
-                yield _packed(lang, summed((line[at], w2, np.where(w2 == 0, U64(0), line[at + 2])), None), shared.value, buckets)
+                yield _packed(lang, counted(np.concatenate([*parts, np.zeros(2, U64)])), shared.value, buckets)
             held.clear()
 
         for batch in batches:
@@ -195,7 +202,9 @@ def merged(packed: DataFrame, hot: Hot, least: int) -> DataFrame:
         lang = key[0].as_py()
         n1, n2 = _numbers(group["n1"], "<u4"), _numbers(group["n2"], "<u4")
         w1 = np.repeat(np.repeat(_numbers(group["w1"], "<u8"), n1), n2)
-        w1, w2, w3, c = summed((w1, np.repeat(_numbers(group["w2"], "<u8"), n2), _numbers(group["w3"], "<u8")), _numbers(group["c"], "<u4").astype(np.int64))
+        words = w1, np.repeat(_numbers(group["w2"], "<u8"), n2), _numbers(group["w3"], "<u8")
+        codes, ranks = np.unique(np.concatenate(words), return_inverse=True)
+        w1, w2, w3, c = summed(codes, tuple(np.split(ranks, 3)), _numbers(group["c"], "<u4").astype(np.int64))
         new1 = np.ones(len(w1), bool)
         new1[1:] = w1[1:] != w1[:-1]
         new2 = new1.copy()
