@@ -105,16 +105,16 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     for depth in DEPTHS:
         entries = entries.withColumn(f"r{depth}", F.xxhash64("tree", F.expr(f"substring(order, 1, {2 * depth})")))
     d4, d8, d12 = (f"r{d}" for d in DEPTHS)
-    over = lambda df, region: broadcast_if_small(stored(df.groupBy(region).count().filter(F.col("count") > REGION).select(region), "regions"))
+    over = lambda df, region: broadcast_if_small(stored(df.groupBy(region).count().filter(F.col("count") > REGION).select(region, F.ceil(F.col("count") / REGION).alias("pieces")), "regions"))
     by_order = Window.partitionBy("region", "piece").orderBy("order", "id")
     near = F.array(*[F.struct(F.lag("id", i).over(by_order).alias("id"), F.lag("n", i).over(by_order).alias("n")) for i in range(1, NEIGHBOURS + 1)])
     # large regions are few: less than one in REGION of the entries
     wide = over(entries, d4)
     whole = entries.join(wide, d4, "left_anti").select("id", "n", "order", F.col(d4).alias("region"), F.lit(0).alias("piece"))
     cut = stored(entries.join(wide, d4, "left_semi").select("id", "n", "order", d4, d8, d12), "cut")
-    deeper = over(cut, d8).withColumn("deeper", F.lit(True))
-    piece = F.when(F.col("deeper"), F.pmod(F.xxhash64("id"), F.lit(32))).otherwise(F.lit(0)).cast("int")
-    deep = cut.join(deeper, d8, "left").select("id", "n", "order", F.when(F.col("deeper"), F.col(d12)).otherwise(F.col(d8)).alias("region"), piece.alias("piece"))
+    # members of a large region that agree on are dealt over so many pieces that each keeps to the size of a region; anchors join them
+    piece = F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0)).cast("int")
+    deep = cut.join(over(cut, d8), d8, "left").select("id", "n", "order", F.when(F.col("pieces").isNotNull(), F.col(d12)).otherwise(F.col(d8)).alias("region"), piece.alias("piece"))
     pairs = whole.unionByName(deep).select("id", "n", near.alias("near")).select("id", "n", F.explode(F.filter("near", lambda x: x["id"].isNotNull())).alias("o")).select("id", "n", F.col("o.id").alias("other"), F.col("o.n").alias("m"))
     for region in (d4, d8, d12):
         first = Window.partitionBy(region).orderBy("order", "id")
