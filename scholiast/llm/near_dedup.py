@@ -112,9 +112,10 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     wide = over(entries, d4)
     whole = entries.join(wide, d4, "left_anti").select("id", "n", "order", F.col(d4).alias("region"), F.lit(0).alias("piece"))
     cut = stored(entries.join(wide, d4, "left_semi").select("id", "n", "order", d4, d8, d12), "cut")
-    # members of a large region that agree on are dealt over so many pieces that each keeps to the size of a region; anchors join them
-    piece = F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0)).cast("int")
-    deep = cut.join(over(cut, d8), d8, "left").select("id", "n", "order", F.when(F.col("pieces").isNotNull(), F.col(d12)).otherwise(F.col(d8)).alias("region"), piece.alias("piece"))
+    deeper = over(cut, d8).select(d8, F.lit(True).alias("deeper"))
+    # a region that is still large at the last depth is dealt over so many pieces that each keeps to the size of a region; anchors join them
+    piece = F.when(F.col("deeper"), F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0))).otherwise(F.lit(0)).cast("int")
+    deep = cut.join(deeper, d8, "left").join(over(cut, d12), d12, "left").select("id", "n", "order", F.when(F.col("deeper"), F.col(d12)).otherwise(F.col(d8)).alias("region"), piece.alias("piece"))
     pairs = whole.unionByName(deep).select("id", "n", near.alias("near")).select("id", "n", F.explode(F.filter("near", lambda x: x["id"].isNotNull())).alias("o")).select("id", "n", F.col("o.id").alias("other"), F.col("o.n").alias("m"))
     for region in (d4, d8, d12):
         first = Window.partitionBy(region).orderBy("order", "id")
