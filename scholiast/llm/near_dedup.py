@@ -153,8 +153,8 @@ def consensus(regions: DataFrame, most: int = 64) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for members in batch.column("list").to_pylist():
-                x = np.sort(np.frombuffer(b"".join(members), ">u2").reshape(-1, MINIMA), 0)
+            for members in batch.column("list"):
+                x = np.sort(np.frombuffer(b"".join(s.as_buffer() for s in members.values), ">u2").reshape(-1, MINIMA), 0)
                 same = np.zeros(x.shape, np.int32)  # how often a value has occurred up to each place of the sorted column
                 for i in range(1, len(x)):
                     same[i] = np.where(x[i] == x[i - 1], same[i - 1] + 1, 0)
@@ -187,15 +187,21 @@ def fellows(inside: DataFrame, numerator: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for members in batch.column("list").to_pylist():
-                ids, n, of = (np.array([m[c] for m in members]) for c in ("id", "n", "component"))
-                x = np.frombuffer(b"".join(m["signature"] for m in members), np.uint16).reshape(-1, MINIMA)
-                fit = (of[:, None] < of[None]) & (100 * np.minimum(n[:, None], n[None]) >= numerator * np.maximum(n[:, None], n[None]))
-                i, j = np.nonzero(fit)
-                good = (x[i] == x[j]).sum(1) >= enough
-                found += zip(np.minimum(ids[i], ids[j])[good].tolist(), np.maximum(ids[i], ids[j])[good].tolist(), strict=True)
-            yield pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+            if not len(batch):
+                continue
+            column = batch.column("list")
+            at, members = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
+            ids, n, of = (members.field(c).to_numpy() for c in ("id", "n", "component"))
+            x = np.frombuffer(b"".join(s.as_buffer() for s in members.field("signature")), np.uint16).reshape(-1, MINIMA)
+            for first in range(0, len(batch), 64):  # some regions at a time, as each can make a pair of any two of its members
+                parts = []
+                for k, m in zip(at[first : first + 64], at[first + 1 : first + 65], strict=False):
+                    fit = (of[k:m, None] < of[None, k:m]) & (100 * np.minimum(n[k:m, None], n[None, k:m]) >= numerator * np.maximum(n[k:m, None], n[None, k:m]))
+                    i, j = np.nonzero(fit)
+                    good = (x[k + i] == x[k + j]).sum(1) >= enough
+                    parts.append(np.sort(np.stack([ids[k + i[good]], ids[k + j[good]]], 1), 1))
+                pairs = np.unique(np.concatenate(parts), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], ["a", "b"])
 
     return lists.select("list").mapInArrow(run, "a long, b long").distinct()
 
