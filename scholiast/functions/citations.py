@@ -192,3 +192,28 @@ def manuscript(files: DataFrame, papers: DataFrame, keys: DataFrame, project: st
     cited = lines.groupBy(project).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n").alias("cited"))
     whole = F.concat(F.lit("# "), "title", F.lit("\n\n"), "text", F.coalesce(F.concat(F.lit("\n## References\n\n"), "cited"), F.lit("")))
     return texts.join(cited, project, "left").select(project, F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n")).alias("value"))
+
+
+def as_page(title: Column, markdown: Column) -> Column:
+    """A page of its own that carries Markdown text as JSON for a renderer (SRC-17): nothing in the text can end the element that holds it."""
+    json = F.replace(F.to_json(F.array(F.coalesce(markdown, F.lit("")))), F.lit("</"), F.lit("<\\/"))
+    name = F.coalesce(title, F.lit("Manuscript"))
+    for sign, spelt in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        name = F.replace(name, F.lit(sign), F.lit(spelt))
+    return F.concat(F.lit('<!doctype html>\n<html><head><meta charset="utf-8"><title>'), name, F.lit('</title></head>\n<body><main id="paper"></main>\n<script type="application/json" id="source">'), json, F.lit("</script></body></html>\n"))
+
+
+def manuscript_files(files: DataFrame, papers: DataFrame, keys: DataFrame, project: str = "project") -> DataFrame:
+    """(name, text): of each project its manuscript as Markdown and as a page, and the BibTeX entries of the papers that it cites, by number (SRC-16, SRC-17); a project that cites none has an empty one."""
+    from scholiast.sources.bibliography import to_bibtex
+
+    texts = manuscript(files, papers, keys, project).join(files.groupBy(project).agg(F.min("title").alias("title")), project)
+    numbers = project_numbers(files, project, "sort_order", "body", keys).withColumnRenamed("key", "paper_id")
+    fields = ["title", "authors", "year", "doi", "journal", "volume", "issue", "pages", "publisher", "url"]
+    known = papers.select("paper_id", *[F.col(c) if c in papers.columns else F.lit(None).cast("string").alias(c) for c in fields])
+    entries = to_bibtex(known.withColumn("external_key", F.col("paper_id"))).withColumn("paper_id", F.regexp_extract("value", r"\{([^,]+),", 1))
+    cited = numbers.join(entries, "paper_id").groupBy(project).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "value"))), lambda x: x["value"]), "\n").alias("entries"))
+    met = texts.join(cited, project, "left")
+    named = lambda ending, text: F.struct(F.concat(F.col(project).cast("string"), F.lit(ending)).alias("name"), text.alias("text"))
+    made = F.array(named(".md", F.col("value")), named(".html", as_page(F.col("title"), F.col("value"))), named("-references.bib", F.coalesce("entries", F.lit(""))))
+    return met.select(F.explode(made).alias("f")).select("f.name", "f.text")

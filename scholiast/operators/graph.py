@@ -21,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes an intermediate result to the shared folder and reads it back."""
     path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"

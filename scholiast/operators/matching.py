@@ -41,31 +41,44 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 2 * matched_characters(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _gram_pairs(left: DataFrame, right: DataFrame, least: float, q: int) -> DataFrame:
+    """(a, b): the pairs that can be alike by their common runs of q characters, of those pairs that `alike` looks for under q."""
+    partner = least / (2 - least)  # the shortest of a text of one character; the longest is its inverse
+    two = lambda total: F.ceil((1.5 * least - 1) * total - 1 - 1e-9)  # noqa: E731  matched less unmatched less one
+    need = two if q == 2 else lambda total: F.ceil(least * total / 2 - 1e-9)
+    low, high = F.ceil(F.col("n") * partner - 1e-9), F.floor(F.col("n") / partner + 1e-9)
+
+    def grams(rows: DataFrame, key: str) -> DataFrame:
+        sized = rows.select(F.col(key).alias("id"), "text", F.char_length("text").cast("long").alias("n"))
+        sized = sized.filter(two(F.col("n") + high) >= 1 if q == 2 else two(F.col("n") + low) < 1)
+        listed = sized.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("n") - q + 1, F.lit(1))), lambda i: F.substr("text", i.cast("int"), F.lit(q)))).alias("g"))
+        return listed.withColumn("g", F.xxhash64("g", F.row_number().over(Window.partitionBy("id", "g").orderBy("n"))))
+
+    own, other = cut_lineage(grams(left, "a")), cut_lineage(grams(right, "b"))
+    df = other.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+
+    def rare(rows: DataFrame) -> DataFrame:
+        """So many of a text's rarest runs that two texts with enough common ones share one of these."""
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "g"))
+        return rows.join(df, "g", "left").withColumn("r", place).filter(F.col("r") <= F.col("n") - q + 2 - F.greatest(F.lit(1), need(F.col("n") + low))).select("id", "n", "g")
+
+    met = rare(own).select(F.col("id").alias("a"), "n", "g").join(rare(other).select(F.col("id").alias("b"), F.col("n").alias("m"), "g"), "g")
+    total = F.col("n") + F.col("m")
+    fit = (F.least("n", "m") * 2 >= least * total - 1e-9) & (two(total) >= 1 if q == 2 else two(total) < 1)
+    near = met.filter(fit).select("a", "b", "n", "m").distinct()
+    counted = near.join(own.select(F.col("id").alias("a"), "g"), "a").join(other.select(F.col("id").alias("b"), "g"), ["b", "g"]).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    return counted.filter(F.col("c") >= need(total)).select("a", "b")
+
+
 def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, score): pairs of left (a, text) and right (b, text) whose ratio is `least` or more; no other pair is compared.
 
     Of two texts that are so alike, at most (1 - least) of all characters are unmatched, so their lengths are near, and there is at
     most one more matched run than unmatched characters: so many pairs of neighbouring characters must agree. Numbered
-    pairs make that a set; texts meet under the rarest ones, of which one at least is common, and are counted before the ratio is taken.
+    pairs make that a set; texts meet only where their rarest ones agree, of which one at least is common, and all are counted before the
+    ratio is taken. Texts so short that no pair need be common meet by their single characters, as many of which as are matched must agree.
     """
-    def grams(rows: DataFrame, key: str) -> DataFrame:
-        listed = rows.select(key, F.char_length("text").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 1, F.lit(1))), lambda i: F.substr("text", i, F.lit(2)))).alias("g"))
-        nth = F.row_number().over(Window.partitionBy(key, "g").orderBy("n"))
-        return listed.withColumn("g", F.xxhash64("g", nth))
-
-    need = lambda total: F.ceil((1.5 * least - 1) * total - 1 - 1e-9)  # noqa: E731  matched less unmatched less one
-    own, other = cut_lineage(grams(left, "a")), cut_lineage(grams(right, "b"))
-    df = other.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = own.join(df, "g", "left").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.coalesce("df", F.lit(0)), "g")))
-    shortest = F.col("n") * least / (2 - least)
-    rare = ranked.filter(F.col("r") <= F.col("n") - 1 - F.greatest(F.lit(1), need(F.col("n") + shortest)) + 1)
-    near = F.least("n", "m") * 2 >= least * (F.col("n") + F.col("m"))
-    met = rare.select("a", "n", "g").join(other.select("b", F.col("n").alias("m"), "g"), "g").filter(near).select("a", "b", "n", "m").distinct()
-    counted = met.join(own.select("a", "g"), "a").join(other.select("b", "g"), ["b", "g"]).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    kept = counted.filter(F.col("c") >= need(F.col("n") + F.col("m"))).select("a", "b")
-    # texts of very few characters have no pair to meet under
-    short = left.filter(F.char_length("text") < 12).select("a", F.col("text").alias("x")).join(right.filter(F.char_length("text") < 17).select("b", F.col("text").alias("y")), F.left("x", F.lit(0)) == F.left("y", F.lit(0))).filter(F.least(F.char_length("x"), F.char_length("y")) * 2 >= least * (F.char_length("x") + F.char_length("y"))).select("a", "b")
-    pairs = kept.unionByName(short).distinct()
+    pairs = _gram_pairs(left, right, least, 2).unionByName(_gram_pairs(left, right, least, 1))
     texts = pairs.join(left.select("a", F.col("text").alias("x")), "a").join(right.select("b", F.col("text").alias("y")), "b")
     return texts.select("a", "b", F.round(sequence_ratio("x", "y"), 6).alias("score")).filter(F.col("score") >= least)
 

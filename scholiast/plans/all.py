@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from scholiast.plans import assist, catalogs, graphs, libraries, manuscripts, papers, planner, readers, relational, retrieval, streams, styles, texts, venues  # noqa: F401
+from scholiast.plans import assist, catalogs, graphs, libraries, manuscripts, papers, planner, readers, relational, retrieval, streams, styles, table_functions, texts, venues  # noqa: F401

@@ -10,7 +10,7 @@ from scholiast.functions import text as T
 from scholiast.operators import retrieval as R
 from scholiast.plans.papers import KEYED, PAPERS
 from scholiast.plans.registry import query, table
-from scholiast.plans.retrieval import BM25, COS, TOKENS, _bm25, asked_vectors
+from scholiast.plans.retrieval import BM25, COS, TOKENS, _bm25, asked_vectors, index
 
 
 MEMORY = f"""v AS (SELECT (q.vec_id + 1)::INT AS query_id, v.vec_id AS doc_id, round({COS}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id BETWEEN 0 AND 3),
@@ -30,9 +30,7 @@ def _memory_arms(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     dense = R.top(R.knn(v, "doc_id", "embedding", asked_vectors(v)), "doc_id", 15)
     from scholiast.plans.retrieval import asked
 
-    terms = asked(spark).select("query_id", F.explode(F.array_distinct(T.tokens("query"))).alias("token"))
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("token"))
-    hits = words.join(F.broadcast(terms), "token").select("query_id", "doc_id").distinct()
+    hits = index(spark, sf_dir).holding(asked(spark))
     lexical = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).filter("rank <= 15")
     return [dense, lexical]
 

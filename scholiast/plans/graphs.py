@@ -131,7 +131,7 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholiast.plans.papers import papers
 
     p = papers(spark, sf_dir)
-    r = p.filter("doc_id % 100 < 10").select(F.col("doc_id").alias("record_id"), F.expr(_MESSY).alias("title"), F.when(F.col("doc_id") % 8 == 0, F.col("doi")).alias("doi"))
+    r = p.select(F.col("doc_id").alias("record_id"), F.expr(_MESSY).alias("title"), F.when(F.col("doc_id") % 8 == 0, F.col("doi")).alias("doi"))
     return M.fuzzy_match(r, p.select(F.col("doc_id").alias("catalog_id"), "title", "doi"))
 
 
@@ -141,6 +141,6 @@ def metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholiast.plans.papers import papers
 
     p = papers(spark, sf_dir)
-    files = p.filter("doc_id % 100 < 10").select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("title", " ", "_")).otherwise(F.col("doc_id").cast("string")).alias("stem"), F.when(F.col("doc_id") % 3 == 0, F.col("title")).otherwise("").alias("title"))
+    files = p.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("title", " ", "_")).otherwise(F.col("doc_id").cast("string")).alias("stem"), F.when(F.col("doc_id") % 3 == 0, F.col("title")).otherwise("").alias("title"))
     records = p.select(F.col("doc_id").alias("record_id"), "title", F.when(F.col("doc_id") % 5 == 0, F.col("source_pdf")).alias("path"))
     return M.metadata_match(files, records)

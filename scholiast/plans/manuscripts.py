@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from scholiast.functions import citations as C
 from scholiast.functions import text as T
 from scholiast.plans.papers import PAPERS, catalog, line_sql, ordered_distinct, papers
 from scholiast.plans.registry import query, table
-from scholiast.streaming import ingest as I
 
 # every file cites two papers, one alias of a paper and a key that nobody knows, and links to two files
 _A, _B = "((conv_id * 7 + turn) % 60)", "((conv_id + turn * 5) % 40)"
@@ -42,17 +43,40 @@ def manuscript_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.project_numbers(files(spark, sf_dir), "project", "sort_order", "body", keys(spark, sf_dir)).withColumnRenamed("key", "paper_id")
 
 
-@query(f"""WITH {PAPERS}, {FILES}, {NUMBERED}, ref AS (SELECT k.key, n.project, n.number FROM numbers n JOIN keys k USING (paper_id)),
+_EXPORTED = f"""WITH {PAPERS}, {FILES}, {NUMBERED}, ref AS (SELECT k.key, n.project, n.number FROM numbers n JOIN keys k USING (paper_id)),
 part AS (SELECT f.project, f.sort_order, CASE WHEN starts_with(trim(f.said), '#') THEN '' ELSE '## ' || f.name || chr(10) || chr(10) END || regexp_replace(f.said, '^\\s+', '') || ' as ' || coalesce('[' || x.number || ']', '@p' || f.a) || ', ' || coalesce('[' || y.number || ']', '@key' || f.b) || ' and @nobody or x@p1 say first part ' || coalesce(g.name, 's1') || ' s2' || chr(10) AS part, f.title
  FROM files f LEFT JOIN ref x ON x.project = f.project AND x.key = 'p' || f.a LEFT JOIN ref y ON y.project = f.project AND y.key = 'key' || f.b LEFT JOIN files g ON g.project = f.project AND g.slug = 's1'),
 line AS (SELECT project, number, '[' || number || '] ' || coalesce(nullif(authors, '') || '. ', '') || coalesce(nullif(p.title, ''), paper_id) || '.' || coalesce(' ' || year || '.', '') || coalesce(' DOI: ' || nullif(doi, '') || '.', '') AS line FROM numbers JOIN papers p USING (paper_id)),
-cited AS (SELECT project, string_agg(line, chr(10) ORDER BY number) AS cited FROM line GROUP BY project)
-SELECT project, '# ' || min(title) || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY sort_order) || coalesce(chr(10) || '## References' || chr(10) || chr(10) || min(cited), '') || CASE WHEN min(cited) IS NULL THEN '' ELSE chr(10) END AS value FROM part LEFT JOIN cited USING (project) GROUP BY project""")
+cited AS (SELECT project, string_agg(line, chr(10) ORDER BY number) AS cited FROM line GROUP BY project),
+texts AS (SELECT project, min(title) AS title, '# ' || min(title) || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY sort_order) || coalesce(chr(10) || '## References' || chr(10) || chr(10) || min(cited), '') || CASE WHEN min(cited) IS NULL THEN '' ELSE chr(10) END AS value FROM part LEFT JOIN cited USING (project) GROUP BY project)"""
+
+
+@query(f"{_EXPORTED} SELECT project, value FROM texts")
 def manuscript_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-17, STR-22, DML-16: whole manuscripts with numbered citations, flattened links and the references"""
     return C.manuscript(files(spark, sf_dir), papers(spark, sf_dir), keys(spark, sf_dir))
 
 
+_ENTRY = "'@article{{' || paper_id || ',' || chr(10) || concat_ws(',' || chr(10), '  title = {{' || nullif(replace(replace(p.title, '{{', '\\{{'), '}}', '\\}}'), '') || '}}', '  author = {{' || authors || '}}', '  year = {{' || year || '}}', '  doi = {{' || nullif(doi, '') || '}}') || chr(10) || '}}' || chr(10)".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""{_EXPORTED}, bib AS (SELECT project, string_agg({_ENTRY}, chr(10) ORDER BY number) AS entries FROM numbers JOIN papers p USING (paper_id) GROUP BY project),
+made AS (SELECT project || '.md' AS name, value AS text FROM texts UNION ALL SELECT project || '-references.bib', coalesce(entries, '') FROM texts LEFT JOIN bib USING (project)
+UNION ALL SELECT project || '.html', '<!doctype html>' || chr(10) || '<html><head><meta charset="utf-8"><title>' || title || '</title></head>' || chr(10) || '<body><main id="paper"></main>' || chr(10) || '<script type="application/json" id="source">' || replace(to_json([value])::VARCHAR, '</', '<\\/') || '</script></body></html>' || chr(10) FROM texts)
+SELECT name, length(text) AS size, md5(text) AS content FROM made""")
+def manuscript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-16, SRC-17: every project as Markdown, HTML and BibTeX files, written whole or not at all, and read back"""
+    from scholiast.operators.graph import shared_folder
+    from scholiast.sources.files import write_files
+
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    write_files(C.manuscript_files(files(spark, sf_dir), papers(spark, sf_dir), keys(spark, sf_dir)), folder)
+    back = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    empty = spark.read.format("binaryFile").load(folder).filter("length = 0").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.lit("").alias("value"))
+    whole = back.filter("value <> ''").unionByName(empty)
+    return whole.select("name", F.char_length("value").cast("long").alias("size"), F.md5("value").alias("content"))
+
+
 @query(f"WITH {PAPERS}, {FILES} SELECT project, slug, 'p' || a || ' key' || b || ' nobody' AS tokens, 's0 s1 s2' AS links FROM files WHERE 'p' || a <> 'key' || b")
 def file_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-21: citation tokens, without addresses, and links"""
@@ -172,13 +196,3 @@ def memory_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-06: the facts that a model lists after an answer, without those of twenty characters or fewer"""
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'").withColumn("facts", C.bullets(F.expr(_LISTED.replace("chr(10)", "'\\n'"))))
     return c.select("conv_id", "turn", F.size("facts").cast("long").alias("n"), F.array_join("facts", "|").alias("facts"))
-
-
-@query(r"""WITH p AS (SELECT conv_id, turn * 3 + i AS n, CASE i WHEN 0 THEN CASE WHEN turn % 3 = 1 THEN '<th' ELSE '' END WHEN 1 THEN CASE WHEN turn % 3 = 1 THEN 'ink>' ELSE '' END || text WHEN 2 THEN CASE WHEN turn % 3 = 1 THEN '</think> ' ELSE ' ' END END AS token FROM conversations, range(3) r(i))
-SELECT conv_id, regexp_replace(string_agg(token, '' ORDER BY n), '(?s)<think>.*?(</think>|$)', '', 'g') AS text FROM p GROUP BY conv_id""")
-def token_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-04: thought spans go, tags split over tokens too"""
-    hidden = F.col("turn") % 3 == 1
-    parts = F.array(F.when(hidden, "<th").otherwise(""), F.concat(F.when(hidden, "ink>").otherwise(""), "text"), F.when(hidden, "</think> ").otherwise(" "))
-    tokens = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("i", "token")).select("conv_id", (F.col("turn") * 3 + F.col("i")).alias("n"), "token")
-    return I.without_thoughts(tokens, "conv_id", "n", "token")

@@ -14,6 +14,7 @@ from scholiast.operators.graph import shared_folder
 from scholiast.plans.papers import CLEAN, PAPERS, doi_sql, papers, title_sql
 from scholiast.plans.registry import query, table
 from scholiast.sources import bibliography as B
+from scholiast.sources.files import write_files
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -217,6 +218,35 @@ def feeds_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("page_id", F.coalesce(F.regexp_extract("abstract", r"(\d+)$", 1).try_cast("long"), F.regexp_extract("title", r"(\d+)$", 1).try_cast("long")))
 
 
+_FEED = 8
+
+
+@query(f"""WITH i AS (SELECT page_id, url, page_id // {_FEED} % 2 = 0 AS rss, TIMESTAMP '2024-03-01 10:00:00' + INTERVAL (page_id % 1000) MINUTE AS t FROM pages)
+SELECT page_id, CASE WHEN rss THEN 'rss' ELSE 'atom' END AS dialect, page_id % 9 = 4 AS broken, CASE WHEN page_id % 9 <> 4 THEN CASE WHEN rss THEN '10.1234/a' ELSE '10.5555/b' END || page_id END AS doi, CASE WHEN page_id % 9 <> 4 THEN 'Title & ' || page_id END AS title, CASE WHEN page_id % 9 <> 4 THEN url END AS link, CASE WHEN page_id % 9 <> 4 THEN t END AS published FROM i""")
+def feeds_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12: RSS and Atom files of eight entries each, made from the pages, read as XML with namespaces; entries that are broken are kept apart"""
+    from scholiast.sources.feeds import read_feeds
+
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    at = F.timestamp_seconds(F.lit(1709287200) + F.col("page_id") % 1000 * 60)
+    title = F.concat(F.lit("<title>&lt;b&gt;Title&lt;/b&gt; &amp;amp; "), "page_id", F.when(F.col("page_id") % 9 == 4, "</titel>").otherwise("</title>"))
+    rss = F.concat(F.lit("<item>"), title, F.lit("<description><![CDATA[<p>Text</p>]]></description><link>"), escaped, F.lit('</link><guid isPermaLink="false">g</guid><prism:doi>10.1234/A'), "page_id", F.lit("</prism:doi><pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    atom = F.concat(F.lit("<entry>"), title, F.lit('<link rel="self" href="https://example.org/self"/><link href="'), F.replace(escaped, F.lit('"'), F.lit("&quot;")), F.lit('"/><id>https://doi.org/10.5555/B'), "page_id", F.lit("</id><summary>Text</summary><updated>"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>"))
+    feed = F.expr(f"page_id div {_FEED}")
+    pages = table(spark, sf_dir, "pages").select(feed.alias("feed"), "page_id", F.when(feed % 2 == 0, rss).otherwise(atom).alias("entry"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "entry"))), lambda x: x["entry"]), "\n")
+    head = F.when(F.col("feed") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?>\n<rss version="2.0" xmlns:prism="http://prismstandard.org/namespaces/basic/2.0/"><channel><title>Feed</title>\n'), "body", F.lit("\n</channel></rss>")))
+    text = F.coalesce(head, F.concat(F.lit('<?xml version="1.0"?>\n<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title>\n'), "body", F.lit("\n</feed>")))
+    feeds = pages.groupBy("feed").agg(body.alias("body")).select(F.concat("feed", F.lit(".xml")).alias("name"), text.alias("text"))
+    folder = _folder(spark, "feeds")
+    write_files(feeds, folder)
+    good, broken = read_feeds(spark, f"{folder}/*.xml")
+    number = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("long")
+    found = good.select(number("title").alias("page_id"), "dialect", F.lit(False).alias("broken"), T.doi_key("identifier").alias("doi"), T.strip_tags("title").alias("title"), "link", F.col("published").cast("timestamp_ntz").alias("published"))
+    none = F.lit(None).cast("string")
+    return found.unionByName(broken.select(number(F.concat_ws("", "text", "title")).alias("page_id"), "dialect", F.lit(True).alias("broken"), none.alias("doi"), none.alias("title"), none.alias("link"), F.lit(None).cast("timestamp_ntz").alias("published")))
+
+
 @query("""WITH w AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'component' WHEN 1 THEN 'peer-review' ELSE 'journal-article' END AS type, CASE WHEN doc_id % 7 = 0 THEN '10.1/x' || doc_id || '.s001' ELSE '10.1/X' || doc_id END AS doi FROM documents)
 SELECT doc_id, lower(doi) AS doi, 'A sub & b' AS title, 'Roe, Ann; Li' AS authors, CASE WHEN doc_id % 2 = 0 THEN 2001 WHEN doc_id % 3 = 0 THEN 2002 ELSE 2003 END AS year FROM w WHERE type NOT IN ('component', 'peer-review') AND doi NOT LIKE '%.s001'""")
 def works_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholiast.functions import text as T
 from scholiast.operators import style as S
+from scholiast.operators.frames import frames_of, match_frames
 from scholiast.plans.registry import query, table
 from scholiast.plans.texts import AUDIT_PARAGRAPHS, AUDIT_SENTENCES, BOUNDED, OTHER_LETTERS, sentence_list
 
@@ -107,16 +108,10 @@ def openers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAMES = ["However, X show/shows that Y.", "X suggests Y.", "the X of the Y", "It was Z used; N", "Two A have been made. In the first, B", "in recent years X"]
-_COMPILED = sorted([(f, *c) for f in FRAMES if (c := S.frame_pattern(f))], key=lambda k: (-k[2], not k[3]))
-
-
-def _pattern(pieces: list[str], opens: bool) -> str:
-    return "(?is)" + ("^()" if opens else r"^(|.*?\b)") + "".join(f"({x})" for x in pieces) + "(.*)$"
-
-
-_TRIED = " ".join(f"WHEN regexp_matches(s, {_quoted(_pattern(pieces, opens))}) THEN {i}" for i, (_, pieces, _, opens) in enumerate(_COMPILED))
-_NAMES = " ".join(f"WHEN {i} THEN {_quoted(f)}" for i, (f, *_) in enumerate(_COMPILED))
-_PIECES = " ".join(f"WHEN {i} THEN [" + ", ".join(f"'{'S' if k in (0, len(pieces) + 1) or k % 2 == 0 else 'L'}:' || regexp_extract(s, {_quoted(_pattern(pieces, opens))}, {k + 1})" for k in range(len(pieces) + 2)) + "]" for i, (_, pieces, _, opens) in enumerate(_COMPILED))
+_COMPILED = frames_of(tuple(FRAMES))
+_TRIED = " ".join(f"WHEN regexp_matches(s, {_quoted(f.regex)}) THEN {i}" for i, f in enumerate(_COMPILED))
+_NAMES = " ".join(f"WHEN {i} THEN {_quoted(f.text)}" for i, f in enumerate(_COMPILED))
+_PIECES = " ".join(f"WHEN {i} THEN [" + ", ".join(f"'{'S' if k in (0, len(f.pieces) + 1) or k % 2 == 0 else 'L'}:' || regexp_extract(s, {_quoted(f.regex)}, {k + 1})" for k in range(len(f.pieces) + 2)) + "]" for i, f in enumerate(_COMPILED))
 MATCHED = f"""sent AS (SELECT DISTINCT doc_id, unnest({sentence_list(4)}) AS s FROM said), tried AS (SELECT *, CASE {_TRIED} END AS k FROM sent), matched AS (SELECT doc_id, s, CASE k {_NAMES} END AS frame, list_filter(CASE k {_PIECES} END, lambda x: length(x) > 2) AS parts FROM tried WHERE k IS NOT NULL)"""
 
 
@@ -125,7 +120,7 @@ def frame_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STY-02: frames with slots and alternatives against every sentence, which is cut into the frame's words and the slots"""
     t = said(spark, sf_dir).select("doc_id", F.explode(T.sentences("text")).alias("sentence"))
     shown = F.array_join(F.transform("parts", lambda x: F.concat(F.when(x["slot"], "S:").otherwise("L:"), x["text"])), "|")
-    return S.match_frames(t, "doc_id", "sentence", FRAMES).select("doc_id", "sentence", "frame", shown.alias("parts"))
+    return match_frames(t, "doc_id", "sentence", FRAMES).select("doc_id", "sentence", "frame", shown.alias("parts"))
 
 
 _ID = r"left(sha1(trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))), 12)"
@@ -136,7 +131,7 @@ SELECT n.doc_id, sentences, coalesce(matched, 0) AS matched FROM n LEFT JOIN (SE
 def style_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STY-05: sentences of each sample that match a frame and are not hidden"""
     t = said(spark, sf_dir).select("doc_id", F.explode(T.sentences("text")).alias("sentence"))
-    hidden = S.match_frames(t, "doc_id", "sentence", FRAMES).filter("doc_id % 2 = 0").select(S.sentence_id("sentence").alias("id")).distinct()
+    hidden = match_frames(t, "doc_id", "sentence", FRAMES).filter("doc_id % 2 = 0").select(S.sentence_id("sentence").alias("id")).distinct()
     return S.bank(t, "doc_id", "sentence", FRAMES, hidden)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholiast.operators.graph import path_exists
+
 
 def ingest_available(source: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
     """One run over what has arrived since the last one (STM-01, STM-02): the checkpoint replaces the difference of file lists, and a batch that is run again overwrites its own folder."""
@@ -31,32 +33,14 @@ def event_stream(spark: SparkSession, folder: str, late: str = "1 day") -> DataF
     return arriving(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 
 
-def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
-    """Counts and sums of each type in windows of fixed width (STM-07, an extension)."""
-    return events.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
-
-
-def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
-    """Runs of a user's events with no gap of `gap` or more (STM-07, an extension)."""
-    return events.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
 def first_of_each(events: DataFrame, keys: list[str]) -> DataFrame:
     """Each key once within the watermark (STM-07, an extension)."""
     return events.dropDuplicatesWithinWatermark(keys)
 
 
-def without_thoughts(tokens: DataFrame, session: str, order: str, token: str) -> DataFrame:
-    """(session, text): a finished token stream with its thought spans removed, tags split over tokens too (STM-04)."""
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, token))), lambda x: x[token]), "")
-    return tokens.groupBy(session).agg(whole.alias("text")).withColumn("text", F.regexp_replace("text", r"(?s)<think>.*?(</think>|$)", ""))
-
-
 def _known(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table at `path`, or none of `like` where there is no table yet."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    return spark.read.schema(like.schema).parquet(path) if exists else like.limit(0)
+    return spark.read.schema(like.schema).parquet(path) if path_exists(spark, path) else like.limit(0)
 
 
 def refresh(spark: SparkSession, folder: str, run: int, offered: DataFrame, embed, most: int = 500) -> None:  # noqa: ANN001

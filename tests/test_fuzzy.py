@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholiast.operators import matching as M
@@ -52,6 +53,25 @@ def test_fuzzy_match_equals_all_pairs(spark):
             assert (got[i].catalog_id, got[i].score, got[i].status) == (None, 0.0, "review")
 
 
+@pytest.mark.parametrize("least", [0.84, 0.86, 0.95])
+def test_short_titles_equal_all_pairs(spark, least):
+    """Texts of 1 to 20 characters, those without any common pair of neighbours too."""
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcde ") for _ in range(n)).strip() or "a" for n in range(1, 21) for _ in range(6)]
+    left = [(i, messy(t, r, r.randrange(min(3, len(t))))) for i, t in enumerate(r.choices(texts, k=120))]
+    right = [*enumerate(texts)]
+    df = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = {(x.a, x.b): x.score for x in M.alike(df(left, "a"), df(right, "b"), least).collect()}
+    expected = {(i, j): round(ratio(x, y), 6) for i, x in left for j, y in right if round(ratio(x, y), 6) >= least}
+    assert got == expected and any(min(len(left[i][1]), len(texts[j])) < 5 for i, j in got)
+
+
+def test_no_cartesian_product(spark):
+    left = spark.createDataFrame([(1, "ab")], "a long, text string")
+    plan = M.alike(left, left.withColumnRenamed("a", "b"), 0.84)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_metadata_match_equals_all_pairs(spark):
     r = random.Random(8)
     records = [(i, t, f"/old/f{i}.pdf" if i % 6 == 0 else None) for i, t in enumerate(titles(9, 60))]

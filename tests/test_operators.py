@@ -250,12 +250,6 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 8
 
 
-def test_thoughts_are_removed_over_token_ends(spark):
-    rows = [(1, i, t) for i, t in enumerate(["a <th", "ink>secret", " more</thi", "nk> b"])] + [(2, 0, "<think>open")]
-    got = {r.s: r.text for r in I.without_thoughts(spark.createDataFrame(rows, "s int, i int, t string"), "s", "i", "t").collect()}
-    assert got == {1: "a  b", 2: ""}
-
-
 def test_budget_skips_and_goes_on(spark):
     rows = spark.createDataFrame([("k", 1, 60), ("k", 2, 50), ("k", 3, 40), ("k", 4, None)], "key string, place int, size int")
     assert sorted(r.place for r in S.first_fitting(rows.filter("size is not null"), "key", "place", "size", 100).collect()) == [1, 3]
