@@ -56,36 +56,41 @@ def named_entities(rows: DataFrame, key: str, text: str, stop: list[str] | None
     return kept.groupBy(key, "sentence", F.lower("name").alias("_k")).agg(F.min("name").alias("name")).drop("_k")
 
 
+def verb_by_ending(sentence: Column) -> Column:
+    """The first lower-case word with an ending of a verb, null without one: a stand-in for a tagger's first verb (GRF-09)."""
+    return F.nullif(F.regexp_extract(sentence, r"(?<![\p{L}\p{N}_-])\p{Ll}{2,}(?:ed|ing|es)(?![\p{L}\p{N}_-])", 0), F.lit(""))
+
+
+def verb_relations(entities: DataFrame, rows: DataFrame, key: str, text: str, verb: Callable[[Column], Column] = verb_by_ending) -> DataFrame:
+    """(key, sentence, a, b, relation): every two entities of one sentence that has a verb, which names their relation (GRF-09). `verb` gives a sentence's first verb, or null."""
+    said = rows.select(key, F.posexplode(T.sentences(text)).alias("sentence", "_s")).select(key, "sentence", verb(F.col("_s")).alias("relation")).filter("relation is not null")
+    return co_occurrences(entities, key).join(said, [key, "sentence"])
+
+
 def co_occurrences(entities: DataFrame, key: str) -> DataFrame:
     """(key, sentence, a, b), a < b: every two entities of one sentence (GRF-09). A sentence bounds the pairs."""
     right = entities.select(key, "sentence", F.col("name").alias("b"))
     return entities.withColumnRenamed("name", "a").join(right, [key, "sentence"]).filter("a < b").select(key, "sentence", "a", "b")
 
 
-def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """(query_id, recall, reciprocal_rank) of ranked (query_id, id, rank) against relevant (query_id, id) (UDF-07)."""
-    hits = ranked.filter(F.col("rank") <= k).join(relevant, ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"))
-    total = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+def retrieval_quality(ranked: DataFrame, total: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall, reciprocal_rank) of the ranked (query_id, relevant, rank) results of queries that have `total` (query_id, total) relevant ones (UDF-07); only counts are needed of those that weren't found."""
+    hits = ranked.filter((F.col("rank") <= k) & F.col("relevant")).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"))
     return total.join(hits, "query_id", "left").select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.least("total", F.lit(k)), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
-def chosen_model(installed: DataFrame, pinned: str, preferences: list[str]) -> Column | str | None:
-    """Pinned model, else one of the same base name, else the first preference that occurs in a name, else the first by name (UDF-06)."""
-    rank = F.when(F.col("name") == pinned, 0).when(F.split_part("name", F.lit(":"), F.lit(1)) == F.split_part(F.lit(pinned), F.lit(":"), F.lit(1)), 1)
-    for i, p in enumerate(preferences):
-        rank = rank.when(F.contains("name", F.lit(p)), 2 + i)
-    best = installed.select("name", rank.otherwise(2 + len(preferences)).alias("r")).orderBy("r", "name").first()
-    return best["name"] if best else None
-
-
 def resolved_models(asked: DataFrame, installed: DataFrame, preferences: list[str]) -> DataFrame:
-    """(asked, model) for every pinned name of `asked` (asked, pinned): the same installed name, else one of its base, else the first preference that a name holds, else the first name (UDF-06). The installed names are a short list beside the questions."""
+    """(asked, model) for every pinned name of `asked` (asked, pinned): the same installed name, else the first one of its base, else the first of the first preference that a name holds, else the first name (UDF-06). Without installed names nothing is resolved.
+
+    Names and bases meet in joins; what no question decides is one name for all.
+    """
     base = lambda c: F.split_part(c, F.lit(":"), F.lit(1))
-    rank = F.when(F.col("name") == F.col("pinned"), 0).when(base("name") == base("pinned"), 1)
-    for i, p in enumerate(preferences):
-        rank = rank.when(F.contains("name", F.lit(p)), 2 + i)
-    met = asked.crossJoin(installed.select("name").distinct()).withColumn("_r", rank.otherwise(2 + len(preferences)))
-    return met.groupBy("asked").agg(F.min_by("name", F.struct("_r", "name")).alias("model"))
+    names = installed.select("name").distinct()
+    least = names.agg(F.min("name").alias("first"), *[F.min(F.when(F.contains("name", F.lit(p)), F.col("name"))).alias(f"p{i}") for i, p in enumerate(preferences)]).first()
+    rest = next((least[f"p{i}"] for i in range(len(preferences)) if least[f"p{i}"]), least["first"])
+    by_base = names.groupBy(base("name").alias("_base")).agg(F.min("name").alias("_based"))
+    met = asked.join(names.withColumn("_same", F.col("name")).withColumnRenamed("name", "pinned"), "pinned", "left").withColumn("_base", base("pinned")).join(by_base, "_base", "left")
+    return met.select("asked", F.coalesce("_same", "_based", F.lit(rest).cast("string")).alias("model")).filter("model is not null")
 
 
 def parsed_sections(items: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,37 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def expand_many(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(query_id, id, hop): for each query of seeds (query_id, id) its seeds and all nodes within `hops` undirected steps of one, with the least number of steps (GRF-04, RET-09).
+
+    Queries are numbered, and 62 of them share a row of a node as bits of a long: a hop is one join of the newest bits with the edges and one OR for each
+    node, whatever the number of queries. Bits that a node has had are masked, so only new ones go on.
+    """
+    both = cut_lineage(edges.select("source_id", "target_id").unionByName(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).filter("source_id <> target_id").distinct())
+    numbers = cut_lineage(numbered(seeds.select("query_id").distinct(), ["query_id"], "_q").withColumn("_q", F.col("_q") - 1))
+    bit = F.expr("shiftleft(1L, CAST(_q % 62 AS INT))")
+    last = seeds.join(numbers, "query_id").groupBy("id", F.expr("_q div 62").alias("block")).agg(F.bit_or(bit).alias("bits"))
+    found, seen = last.withColumn("hop", F.lit(0)), last
+    for hop in range(1, hops + 1):
+        met = both.join(last.withColumnRenamed("id", "source_id"), "source_id").groupBy(F.col("target_id").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))
+        had = seen.withColumnRenamed("bits", "had")
+        new = met.join(had, ["id", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))).filter("bits <> 0").drop("had")
+        last = cut_lineage(new)
+        seen = seen.unionByName(last).groupBy("id", "block").agg(F.bit_or("bits").alias("bits"))
+        found = found.unionByName(last.withColumn("hop", F.lit(hop)))
+    each = found.select("id", "hop", "block", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(61)), lambda i: F.when(F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0, i)), lambda i: i.isNotNull())).alias("i"))
+    return each.withColumn("_q", F.col("block") * 62 + F.col("i")).join(numbers, "_q").select("query_id", "id", "hop")
+
+
+def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """The rows with their number from 1 in an order, without ever meeting in one task: they are sorted over ranges, and each range begins behind the sizes of those before it."""
+    placed = cut_lineage(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.expr("shiftright(_m, 33)").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    met = placed.withColumn("_p", F.expr("shiftright(_m, 33)")).join(before, "_p")
+    return met.withColumn(name, F.expr("_b + (_m & 8589934591L) + 1")).drop("_m", "_p", "_b")
+
+
 def subset(nodes: DataFrame, edges: DataFrame, most_nodes: int = 300, most_edges: int = 500) -> tuple[DataFrame, DataFrame]:
     """The nodes (id, chunk_count) with most mentions, and the heaviest edges with both ends among them (GRF-06)."""
     top = nodes.orderBy(F.desc("chunk_count"), "id").limit(most_nodes)

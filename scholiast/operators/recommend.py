@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholiast.operators.graph import numbered
 from scholiast.operators.retrieval import cosine
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -114,7 +115,7 @@ def recommend(dense: DataFrame, claim: DataFrame, lexical: DataFrame, past: Data
     scored = met.select(group, "arrival", shown(score).alias("score"), shown(zero("_d")).alias("dense"), shown(zero("lexical")).alias("lexical"), shown(zero("_c")).alias("claim"), shown(spread).alias("dispersion"), "reason", said.alias("rationale"))
     passed = scored.filter("reason is null").orderBy(F.desc("score"), "arrival").limit(most)
     ranked = passed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "arrival")))
-    failed = scored.filter("reason is not null").withColumn("rank", F.row_number().over(Window.orderBy("arrival"))).crossJoin(F.broadcast(passed.agg(F.count(F.lit(1)).alias("_m")))).withColumn("rank", (F.col("rank") + F.col("_m")).cast("int")).drop("_m")
+    failed = numbered(scored.filter("reason is not null"), ["arrival"], "rank").crossJoin(F.broadcast(passed.agg(F.count(F.lit(1)).alias("_m")))).withColumn("rank", (F.col("rank") + F.col("_m")).cast("int")).drop("_m")
     return ranked.unionByName(failed).drop("arrival")
 
 

@@ -55,15 +55,22 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame) -> DataFrame:
+def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, most: int = 10_000) -> DataFrame:
     """(query_id, key, score): exact cosine of every vector with every query vector of `queries` (query_id, query_vector) (RET-02, MTH-01).
 
-    Restrict `vectors` before the call: a restriction after the top k would lose rows (FLT-04). The queries are a batch of a checked
-    size beside all vectors; `top` keeps the k best of each query in every task before anything is moved.
+    Restrict `vectors` before the call: a restriction after the top k would lose rows (FLT-04). Up to `most` queries are broadcast; more are
+    cut into blocks, and slices of the vectors meet them cell by cell. `top` keeps the k best of each query in every task before anything is moved.
     """
     known = vectors.select(key, vector, F.sqrt(dot(F.col(vector), F.col(vector))).alias("_v"))
-    asked = broadcast_if_few(queries.select("query_id", "query_vector", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))).alias("_q")), 10_000)
-    return known.crossJoin(asked).select("query_id", key, F.round(dot(F.col(vector), F.col("query_vector")) / F.nullif(F.col("_v") * F.col("_q"), F.lit(0.0)), 6).alias("score"))
+    asked = queries.select("query_id", "query_vector", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))).alias("_q"))
+    score = F.round(dot(F.col(vector), F.col("query_vector")) / F.nullif(F.col("_v") * F.col("_q"), F.lit(0.0)), 6).alias("score")
+    if asked.limit(most + 1).count() <= most:
+        return known.crossJoin(F.broadcast(asked)).select("query_id", key, score)
+    blocks, slices = -(-asked.count() // most), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = known.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")).withColumn("_block", spread(blocks))
+    right = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_slice", spread(slices))
+    return left.join(right, ["_slice", "_block"]).select("query_id", key, score)
 
 
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:

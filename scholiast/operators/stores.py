@@ -108,12 +108,13 @@ def graph_without_papers(entities: DataFrame, relations: DataFrame, links: DataF
     Their links and relations go; entities lose the papers and as many chunks as were linked, not below zero; an entity without papers goes,
     and with it what still refers to it.
     """
-    ids = gone.agg(F.collect_set("paper_id").alias("gone"))
     lost = links.join(gone, "paper_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("lost"))
-    left = entities.crossJoin(F.broadcast(ids)).join(lost, "entity_id", "left")
-    touched = F.arrays_overlap("paper_ids", "gone")
-    count = F.when(touched, F.greatest(F.lit(0), F.col("chunk_count") - F.coalesce("lost", F.lit(0)))).otherwise(F.col("chunk_count"))
-    kept = left.select("entity_id", F.when(touched, F.array_except("paper_ids", "gone")).otherwise(F.col("paper_ids")).alias("paper_ids"), count.cast("long").alias("chunk_count"), touched.alias("_t")).filter(~F.col("_t") | (F.size("paper_ids") > 0)).drop("_t")
+    listed = entities.select("entity_id", F.posexplode("paper_ids").alias("_i", "paper_id")).join(gone.select("paper_id").distinct().withColumn("_gone", F.lit(True)), "paper_id", "left")
+    staying = F.array_sort(F.collect_list(F.when(F.col("_gone").isNull(), F.struct("_i", "paper_id"))))
+    touched = listed.groupBy("entity_id").agg(F.transform(staying, lambda x: x["paper_id"]).alias("_left"), F.max("_gone").alias("_t")).filter("_t").drop("_t")
+    met = entities.join(touched, "entity_id", "left").join(lost, "entity_id", "left")
+    count = F.when(F.col("_left").isNotNull(), F.greatest(F.lit(0), F.col("chunk_count") - F.coalesce("lost", F.lit(0)))).otherwise(F.col("chunk_count"))
+    kept = met.filter("_left is null or size(_left) > 0").select("entity_id", F.coalesce("_left", "paper_ids").alias("paper_ids"), count.cast("long").alias("chunk_count"))
     there = kept.select("entity_id")
     ends = lambda rows, c: rows.join(there.withColumnRenamed("entity_id", c), c, "left_semi")
     return kept, ends(ends(relations.join(gone, "paper_id", "left_anti"), "source_id"), "target_id").select(*relations.columns), links.join(gone, "paper_id", "left_anti").join(there, "entity_id", "left_semi").select(*links.columns)

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholiast.operators.graph import cut_lineage
 
 
 def accepted_moves(moves: DataFrame, key: str, state: str, order: list[str], first: str, legal: dict[str, list[str]]) -> DataFrame:
@@ -70,14 +69,6 @@ def numbered_ids(rows: DataFrame, base: str, key: str) -> DataFrame:
     return rows.withColumn("id", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("_", base, n.cast("string"))))
 
 
-def appended(log: DataFrame, new: DataFrame, session: str, order: str) -> DataFrame:
-    """A log with new rows numbered on from each session's last turn (DML-09, WIN-05)."""
-    last = log.groupBy(session).agg(F.max("turn").alias("last"))
-    turn = F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy(session).orderBy(order))
-    added = new.join(last, session, "left").withColumn("turn", turn.cast("long")).drop("last")
-    return log.unionByName(cut_lineage(added.select(*log.columns)))
-
-
 def created_submissions(new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Submissions (id, manuscript_id, journal_id, created_at) in their first state, and the transition from nothing that each begins with (DML-13)."""
     made = new.withColumn("current_state", F.lit("draft"))

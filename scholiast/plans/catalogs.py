@@ -310,3 +310,25 @@ def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.integrity(p.select("paper_id", "title"), chunks, vectors, entities, links)
 
 
+# every seventh text has a changed note, every fifth a changed row, every thirteenth is cleared, every eleventh experiment is gone, every eighth has no note, every ninth note lost its link
+_MIRROR = """m AS (SELECT s_suppkey AS id, s_name AS name, 'Text ' || s_suppkey AS base, CASE WHEN s_suppkey % 13 = 0 THEN '' WHEN s_suppkey % 5 = 0 THEN 'Row ' || s_suppkey ELSE 'Text ' || s_suppkey END AS text, CASE WHEN s_suppkey % 7 = 0 THEN 'Note ' || s_suppkey ELSE 'Text ' || s_suppkey END AS said FROM supplier),
+a AS (SELECT *, CASE WHEN id % 11 = 0 THEN CASE WHEN id % 8 = 0 THEN NULL WHEN id % 9 = 0 THEN 'kept' ELSE 'unlinked' END WHEN id % 8 = 0 THEN CASE WHEN text <> '' THEN 'created' END WHEN id % 9 = 0 THEN 'kept' WHEN text = said THEN 'same' WHEN said = base THEN CASE WHEN text <> '' THEN 'to note' ELSE 'removed' END WHEN text = base THEN 'to experiment' ELSE 'conflict' END AS action FROM m)"""
+
+
+@query(f"""WITH {_MIRROR} SELECT id, action, CASE WHEN action IN ('created', 'to note', 'same') THEN name WHEN action = 'unlinked' THEN name || ' (experiment deleted)' WHEN action <> 'removed' THEN name END AS title,
+CASE WHEN action IN ('created', 'to note', 'same') THEN '# ' || name || chr(10) || chr(10) || text || chr(10) WHEN action <> 'removed' THEN '# ' || name || chr(10) || chr(10) || said || chr(10) END AS body, CASE WHEN id % 11 = 0 THEN NULL WHEN action = 'to experiment' THEN said ELSE text END AS notes_md FROM a WHERE action IS NOT NULL""")
+def mirrored_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-11: notes and experiments brought together, and once more, which changes nothing"""
+    from scholiast.operators import mirror
+
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    said = lambda what: F.concat(F.lit(what), key)
+    experiments = s.filter(key % 11 != 0).select(key.alias("id"), F.col("s_name").alias("name"), F.when(key % 13 == 0, "").when(key % 5 == 0, said("Row ")).otherwise(said("Text ")).alias("notes_md"))
+    body = F.concat(F.lit("# "), "s_name", F.lit("\n\n"), F.when(key % 7 == 0, said("Note ")).otherwise(said("Text ")), F.lit("\n"))
+    notes = s.filter(key % 8 != 0).select(said(mirror.PREFIX).alias("note_id"), F.when(key % 9 != 0, key.cast("string")).alias("experiment"), F.lit("mine").alias("folder"), F.lit("2024-01-01").alias("date"), F.col("s_name").alias("title"), body.alias("body"))
+    base, now = s.select(key.alias("id"), F.md5(said("Text ")).alias("digest")), F.lit("2024-02-02T00:00:00")
+    rows, files, after, actions = mirror.mirrored(experiments, notes, base, now)
+    again, unchanged, _, _ = mirror.mirrored(rows, files, after, now)
+    ids = unchanged.withColumn("id", F.substr("note_id", F.lit(len(mirror.PREFIX) + 1)))
+    met = actions.join(ids, "id", "left").withColumn("id", F.col("id").cast("long")).join(again.select("id", "notes_md"), "id", "left")
+    return met.select("id", "action", "title", "body", "notes_md")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholiast.functions import text as T
@@ -41,6 +41,15 @@ def khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.expand(_edges(spark, sf_dir).filter("relation = 'R'"), spark.range(1, 2), 2)
 
 
+@query(f"""WITH e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM ({EDGES}) WHERE relation = 'R' UNION SELECT target_id, source_id FROM ({EDGES}) WHERE relation = 'R'), s AS (SELECT DISTINCT l_orderkey AS query_id, l_suppkey AS id FROM lineitem WHERE l_orderkey % 100 = 0),
+h1 AS (SELECT DISTINCT query_id, b AS id FROM s JOIN e ON a = s.id ANTI JOIN s t ON t.query_id = s.query_id AND t.id = b) SELECT query_id, id, 0 AS hop FROM s UNION ALL SELECT query_id, id, 1 FROM h1""".replace("ANTI JOIN s t ON t.query_id = s.query_id AND t.id = b", "WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.query_id = s.query_id AND t.id = b)"))
+def khop_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-04, RET-09: the neighbourhoods of many questions at once, the suppliers of every hundredth order and one step"""
+    x = table(spark, sf_dir, "lineitem")
+    seeds = x.filter("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("id")).distinct()
+    return G.expand_many(_edges(spark, sf_dir).filter("relation = 'R'"), seeds, 1)
+
+
 @query(f"""WITH r AS (SELECT source_id, target_id, count(*) AS weight FROM ({EDGES}) GROUP BY ALL), n AS (SELECT id, count(*) AS c FROM (SELECT source_id AS id FROM ({EDGES}) UNION ALL SELECT target_id FROM ({EDGES})) GROUP BY id ORDER BY c DESC, id LIMIT 300)
 SELECT source_id, target_id, weight FROM r WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) ORDER BY weight DESC, source_id, target_id LIMIT 500""")
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +72,10 @@ def entity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE s AS (SELECT md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS k, doc_id FROM documents), e AS (SELECT k, min(doc_id) AS component FROM s GROUP BY k HAVING count(*) > 1)
 SELECT doc_id AS id, component FROM s JOIN e USING (k)""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF-13: documents of equal content, each linked to the one before it"""
+    """GRF-13: documents of equal content, each linked to the first one"""
     s = table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("k"))
-    before = F.lag("doc_id").over(Window.partitionBy("k").orderBy("doc_id"))
-    return G.components(s.select(F.col("doc_id").alias("a"), before.alias("b")).filter("b is not null"))
+    first = s.groupBy("k").agg(F.min("doc_id").alias("b"))
+    return G.components(s.join(first, "k").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
 
 
 @query("SELECT md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")

@@ -98,3 +98,6 @@ def test_names_of_a_sentence(spark):
     assert {(x.sentence, x.name) for x in found.collect()} == {(0, "Ann Lee"), (0, "Group"), (0, "Bo"), (0, "May"), (1, "ANN LEE"), (1, "Bo")}
     pairs = Mo.co_occurrences(found, "id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(pairs) == 7
+    said = spark.createDataFrame([(1, "We saw Ann Lee and Bo there at noon. Then Cy watching Dee Fox was seen walking with Bo again. " + "x" * 60)], "id int, t string")
+    named = Mo.verb_relations(Mo.named_entities(said, "id", "t"), said, "id", "t")
+    assert {(x.a, x.b, x.relation) for x in named.collect()} == {("Bo", "Cy", "watching"), ("Bo", "Dee Fox", "watching"), ("Cy", "Dee Fox", "watching")}

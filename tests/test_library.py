@@ -84,3 +84,23 @@ def test_title_reconciliation_on_the_literal_cases(spark):
     assert M.reconciled_titles(paper, other).filter("changed").count() == 0
     by_doi = spark.createDataFrame([(None, "10.123/TEST", None, "Title by its DOI")], source)
     assert M.reconciled_titles(paper, by_doi).first().title == "Title by its DOI"
+
+
+def test_notes_and_experiments_meet(spark):
+    from scholiast.operators import mirror
+
+    x = spark.createDataFrame([("a", " A\n name ", "text"), ("b", None, " "), ("c", "C", "row"), ("d", "D", "same"), ("e", "E", "old"), ("f", "F", "both row"), (None, "N", "x"), ("g", "G", None), ("h", "H", "fresh")], "id string, name string, notes_md string")
+    note = lambda i, experiment, title, body: (f"experiment-{i}", experiment, None, "d0", title, body)
+    n = spark.createDataFrame([note("b", "b", "B", "# B\n\nwas\n"), note("c", "c", "C", "was"), note("d", "d", "D", "\n# Other\nsame"), note("e", "e", "E", "# E\n\nnew from note\n\n"), note("f", "f", "F", "both note"), note("g", "g", "G", "edited"), note("z", "z", " Z  z ", "body"), note("y", None, "Y", "mine"), ("free", None, "x", None, "T", "B")], "note_id string, experiment string, folder string, date string, title string, body string")
+    base = spark.createDataFrame([("b", "was"), ("c", "was"), ("d", "gone"), ("e", "old"), ("f", "was"), ("g", "was")], "id string, t string").selectExpr("id", "md5(t) AS digest")
+    rows, notes, after, actions = mirror.mirrored(x, n, base, F.lit("now"))
+    assert {r.id: r.action for r in actions.collect()} == {"a": "created", "b": "removed", "c": "to note", "d": "conflict", "e": "to experiment", "f": "conflict", "g": "conflict", "z": "unlinked", "y": "kept", "h": "created"}
+    got = {r.note_id: r for r in notes.collect()}
+    assert tuple(got["experiment-a"]) == ("experiment-a", "a", "experiments", "now", "A name", "# A name\n\ntext\n") and "experiment-b" not in got
+    assert (got["experiment-c"].body, got["experiment-c"].date) == ("# C\n\nrow\n", "d0") and got["experiment-f"].body == "both note"
+    assert (got["experiment-z"].title, got["experiment-z"].experiment, got["experiment-z"].body) == ("Z z (experiment deleted)", None, "body") and got["free"].folder == "x"
+    assert {r.id: r.notes_md for r in rows.collect()}["e"] == "new from note"
+    again = mirror.mirrored(rows, notes, after, F.lit("later"))
+    assert {r.id: r.action for r in again[3].collect()} == {"a": "same", "c": "same", "d": "conflict", "e": "same", "f": "conflict", "g": "conflict", "z": "kept", "y": "kept", "h": "same"}
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(again[0]) == key(rows) and {r.note_id: r.title for r in again[1].collect()} == {r.note_id: r.title for r in got.values()}

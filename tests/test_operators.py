@@ -1,6 +1,7 @@
 """Literal fixtures: nulls, ties, empty input and the edge cases that the test tables lack."""
 
 import difflib
+import random
 import re
 
 import pytest
@@ -250,6 +251,38 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 8
 
 
+def test_many_neighbourhoods_equal_one_at_a_time(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(70)]
+    seeds = [(f"q{q}", r.randrange(60)) for q in range(130) for _ in range(r.randrange(1, 4))]
+    near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(60)}
+    e, s = spark.createDataFrame(edges, "source_id long, target_id long"), spark.createDataFrame(seeds, "query_id string, id long")
+    expected = {}
+    for q in {q for q, _ in seeds}:
+        found = {i: 0 for p, i in seeds if p == q}
+        for hop in (1, 2, 3):
+            for i in [x for i, h in found.items() if h == hop - 1 for x in near[i]]:
+                found.setdefault(i, hop)
+        expected |= {(q, i): h for i, h in found.items()}
+    assert {(x.query_id, x.id): x.hop for x in G.expand_many(e, s, 3).collect()} == expected
+
+
+def test_numbers_follow_the_order_over_ranges(spark):
+    rows = spark.range(0, 5000, 1, 7).withColumn("k", F.xxhash64("id"))
+    got = sorted((x.n, x.k) for x in G.numbered(rows, ["k"], "n").collect())
+    assert [n for n, _ in got] == list(range(1, 5001)) and [k for _, k in got] == sorted(k for _, k in got)
+
+
+def test_queries_beyond_the_broadcast_meet_in_cells(spark):
+    from scholiast.operators import retrieval as R
+
+    r = random.Random(2)
+    v = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "id int, v array<double>")
+    q = v.filter("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    few, many = (sorted(map(tuple, R.knn(v, "id", "v", q, most).collect())) for most in (100, 5))
+    assert few == many and len(few) == 60 * 12
+
+
 def test_budget_skips_and_goes_on(spark):
     rows = spark.createDataFrame([("k", 1, 60), ("k", 2, 50), ("k", 3, 40), ("k", 4, None)], "key string, place int, size int")
     assert sorted(r.place for r in S.first_fitting(rows.filter("size is not null"), "key", "place", "size", 100).collect()) == [1, 3]

@@ -56,7 +56,10 @@ def test_models(spark):
     t = spark.createDataFrame([(1, None, None), (2, [1.0], None), (3, [1.0], "old"), (4, [1.0], "new")], "id int, v array<double>, m string")
     assert {r.id for r in M.stale(t, "v", "m", "new").collect()} == {1, 3}
     names = spark.createDataFrame([("b:1",), ("a:2",), ("c-x",)], "name string")
-    assert M.chosen_model(names, "a:1", []) == "a:2" and M.chosen_model(names, "z", ["x"]) == "c-x" and M.chosen_model(names, "z", []) == "a:2"
+    asked = spark.createDataFrame([(1, "a:1"), (2, "z"), (3, "b:1"), (4, None)], "asked int, pinned string")
+    got = lambda known, preferences: {r.asked: r.model for r in M.resolved_models(asked, known, preferences).collect()}
+    assert got(names, []) == {1: "a:2", 2: "a:2", 3: "b:1", 4: "a:2"} and got(names, ["q", "x"]) == {1: "a:2", 2: "c-x", 3: "b:1", 4: "c-x"}
+    assert got(names.limit(0), ["x"]) == {}
     items = spark.createDataFrame([(1, 1, "heading", "Intro", 1), (1, 2, "text", "one", 1), (1, 3, "page_footer", "9", 1), (1, 4, "text", "two", 2), (1, 5, "heading", "References", 3), (1, 6, "text", "[1] A", 3)], "k int, pos int, kind string, text string, page int")
     r = M.parsed_sections(items, "k").first()
     assert [tuple(s) for s in r.sections] == [("Intro", "one\ntwo", 1, 2)] and r.references_raw == "[1] A"
