@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholiast.functions import models as Mo
@@ -14,7 +14,9 @@ from scholiast.operators.graph import shared_folder
 from scholiast.plans.papers import CLEAN, PAPERS, doi_sql, papers, title_sql
 from scholiast.plans.registry import query, table
 from scholiast.sources import bibliography as B
+from scholiast.sources import paged as Pg
 from scholiast.sources.files import write_files
+from scholiast.streaming.windows import append
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -261,6 +263,40 @@ def _day(n: Column) -> Column:
     return F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
 
 
+def _pages(spark: SparkSession, sf_dir: str, folder: str, rows: Column) -> None:
+    """Adds pages of up to 20 works of each source for the documents that `rows` picks; the first number of a page comes from what is there."""
+    d = table(spark, sf_dir, "documents").filter(rows)
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    pages = d.withColumn("page", (place / 20).cast("int")).groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("doc_id", _day(F.col("doc_id") % 60).cast("string").alias("day"), F.char_length("text").alias("size")))).alias("w"))
+    done = {k: int(Pg.FolderService(folder).newest(k)) for k in Pg.FolderService(folder).keys()}
+    first = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in done.items() for x in kv]) if done else F.create_map().cast("map<string,int>"), F.col("source")), F.lit(0))
+    line = F.transform("w", lambda x: F.concat(F.lit('["'), x["day"], F.lit('",'), x["doc_id"], F.lit(","), x["size"], F.lit("]")))
+    write_files(pages.select(F.concat("source", F.lit("-"), first + F.col("page"), F.lit(".json")).alias("name"), F.concat(F.lit("["), F.array_join(line, ","), F.lit("]")).alias("text")), folder)
+
+
+@query("""WITH k AS (SELECT source, doc_id, length(text) AS size, DATE '2024-01-01' + (doc_id % 60)::INT AS published FROM documents), s AS (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 3)
+SELECT source AS key, published, doc_id, size FROM k WHERE published >= DATE '2024-01-15' AND source IN (SELECT source FROM s)""")
+def works_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10, SRC-11: a service of pages asked for three keys and a first day, both pushed to it"""
+    folder = _folder(spark, "service")
+    _pages(spark, sf_dir, folder, F.lit(True))
+    keys = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().orderBy("source").limit(3).collect()]
+    works = Pg.read_service(spark, Pg.FolderService(folder), "doc_id long, size int")
+    return works.filter(F.col("key").isin(keys) & (F.col("published") >= F.lit("2024-01-15").cast("date")))
+
+
+@query("""SELECT source AS key, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS run, count(*) AS works, sum(length(text))::BIGINT AS size FROM documents GROUP BY ALL""")
+def works_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10, SRC-11, STM-03: the same service as a stream; a second run takes only the pages that have come since"""
+    folder, out = _folder(spark, "service"), None
+    for run, rows in enumerate((F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 != 0)):
+        _pages(spark, sf_dir, folder, rows)
+        stream = Pg.stream_service(spark, Pg.FolderService(folder), "doc_id long, size int")
+        append(stream, f"{folder}-out/run={run}", f"{folder}-checkpoint")
+    found = spark.read.parquet(f"{folder}-out")
+    return found.groupBy("key", "run").agg(F.count(F.lit(1)).alias("works"), F.sum("size").alias("size"))
+
+
 @query("""WITH w AS (SELECT doc_id, text, DATE '2024-01-01' + (doc_id % 60)::INT AS published FROM documents WHERE text <> '' AND doc_id % 5 <> 0), k AS (SELECT doc_id, published, array_to_string(list_transform(string_split_regex(trim(text), '\\s+')[1:12], lambda x: x), ' ') AS abstract, row_number() OVER (ORDER BY doc_id) AS n FROM w WHERE published >= DATE '2024-01-15')
 SELECT doc_id, published, abstract, 'c0,c1,c2,c3,c4' AS topics FROM k""".replace(", row_number() OVER (ORDER BY doc_id) AS n", ""))
 def works_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,13 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuse([_bm25(spark, sf_dir), _knn(spark, sf_dir)], "doc_id")
 
 
+@query(f"SELECT token, count(DISTINCT doc_id) AS documents, count(*) AS uses FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY token")
+def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-20: the stored index that the other queries search, written at its first use: documents and uses of each token"""
+    uses = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    return index(spark, sf_dir).postings().groupBy("token").agg(F.sum("n").alias("documents"), F.sum(uses).alias("uses"))
+
+
 @query(f"WITH {BM25} SELECT * FROM bmr")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-01, FLT-01, SRT-03"""

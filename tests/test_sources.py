@@ -1,6 +1,9 @@
 """Files, feeds and table functions."""
 
+import datetime
 import json
+import pathlib
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from scholiast.functions import citations as C
 from scholiast.functions.tables import register
 from scholiast.sources.feeds import read_feeds
 from scholiast.sources.files import write_files
+from scholiast.sources.paged import FolderService, read_service, stream_service
+from scholiast.streaming.windows import append
 
 
 def files_of(folder):
@@ -56,3 +61,46 @@ def test_table_functions_in_sql(spark):
     assert sorted(sql("SELECT id, used FROM first_within(TABLE({rows}) PARTITION BY key ORDER BY (id), 'size', 12)")) == [(1, 5), (2, 12), (3, 9)]
     with pytest.raises(Exception, match="must be a table"):
         sql("SELECT * FROM chunks('no', 'table')")
+
+
+class Asked:
+    """A service that notes what it was asked for, in files that tasks share."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def keys(self):
+        return ["a", "b", "c"]
+
+    def newest(self, key):
+        return "2"
+
+    def page(self, key, cursor, since):
+        (pathlib.Path(self.folder) / f"{key}{cursor}{since}-{uuid.uuid4().hex}").touch()
+        rows = [(datetime.date(2024, 1, 1 + i + 10 * int(cursor)), f"{key}{cursor}{i}") for i in range(3)] + [(None, "undated")]
+        return rows, None if cursor == "1" else str(int(cursor) + 1)
+
+
+def test_filters_reach_the_service(spark, tmp_path):
+    works = read_service(spark, Asked(tmp_path), "name string")
+    day = datetime.date(2024, 1, 11)
+    got = works.filter(F.col("key").isin("a", "c") & (F.col("published") >= F.lit(day)) & (F.col("name") != "c11"))
+    assert sorted(r.name for r in got.collect()) == ["a10", "a11", "a12", "c10", "c12"]
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {f"{k}{c}{day}" for k in "ac" for c in "01"}
+    assert sorted(r.name for r in read_service(spark, Asked(tmp_path), "name string", most=2).filter("key = 'b'").collect()) == ["b00", "b01"]
+    assert read_service(spark, Asked(tmp_path), "name string").filter("key = 'none'").count() == 0
+
+
+def test_a_stream_goes_on_at_its_cursors(spark, tmp_path):
+    service = FolderService(str(tmp_path / "pages"))
+    run = lambda: append(stream_service(spark, service, "n int"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    (tmp_path / "pages").mkdir()
+    pages = {"k-0": [["2024-01-01", 1], [None, 2]], "k-1": [["2024-01-02", 3]], "m-0": []}
+    for name, rows in pages.items():
+        (tmp_path / "pages" / f"{name}.json").write_text(json.dumps(rows))
+    run()
+    run()
+    for name, rows in {"k-2": [["2024-01-03", 4]], "m-1": [["2024-01-03", 5]], "n-0": [["2024-01-03", 6]]}.items():
+        (tmp_path / "pages" / f"{name}.json").write_text(json.dumps(rows))
+    run()
+    assert sorted((r.key, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("k", 1), ("k", 2), ("k", 3), ("k", 4), ("m", 5), ("n", 6)]
