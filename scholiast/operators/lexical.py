@@ -1,10 +1,10 @@
 """A stored inverted index with positions and block maxima, ranked search and phrases on it (SRC-20, RET-01, FLT-01, FLT-02).
 
-The folder of an index has three tables. `postings` has one row for a token and a slice of documents, laid
+The folder of an index has two tables. `postings` has one row for a token and a slice of documents, laid
 out in folders by hash of the token and sorted by it: the keys of the slice's documents that hold the token, how
 often, how long they are, where it stands, and for the whole row the largest frequency and the least
-length. `documents` has the key, length and slice of each document, `sizes` the number and summed length of each
-insertion's. Slices are the same for all tokens, so what a query can score at most in a slice is a sum over
+length. A row without token, in a folder of its own, has all documents of the slice. `sizes` has the number and
+summed length of each insertion's. Slices are the same for all tokens, so what a query can score at most in a slice is a sum over
 its tokens' rows, and slices that stay below what k documents score already are never unpacked.
 
 Inserting writes new slices beside the old ones and changes none of them. An insertion counts once its row
@@ -29,6 +29,8 @@ from scholiast.operators.retrieval import K1, B, top
 
 #: Documents of a slice, folders by token hash, slices that are scored before others are left out, rows of query tokens up to which a scan's filter names them.
 SLICE, CELLS, LEADING, NAMED = 1024, 64, 4, 1000
+#: Folder of the rows of all documents of a slice.
+EVERY = -1
 
 
 def _sliced(batch: int, slice_docs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -41,7 +43,7 @@ def _sliced(batch: int, slice_docs: int, batches: Iterator[pa.RecordBatch]) -> I
 
 
 def _postings(number: int, rows: pa.RecordBatch) -> pa.RecordBatch:
-    """The rows of one slice of documents (key, words), one for each of its tokens."""
+    """The rows of one slice of documents (key, words), one for each of its tokens and one for all of them."""
     words = rows.column("words")
     size = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
     coded = words.flatten().dictionary_encode()
@@ -59,8 +61,13 @@ def _postings(number: int, rows: pa.RecordBatch) -> pa.RecordBatch:
     places = pa.ListArray.from_arrays(offsets, pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(place.astype(np.int32))))
     most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(length, first)) if len(first) else (tf, length)
     n = np.diff(np.append(first, len(at)))
+    names = ["token", "slice", "n", "max_tf", "min_len", "keys", "tfs", "lens", "places"]
     columns = [coded.dictionary.take(pa.array(token[row_at])), pa.array(np.full(len(n), number)), pa.array(n.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32)), *lists, places]
-    return pa.RecordBatch.from_arrays(columns, ["token", "slice", "n", "max_tf", "min_len", "keys", "tfs", "lens", "places"])
+    one = pa.array([0, len(size)], pa.int32())
+    every = [pa.ListArray.from_arrays(one, x) for x in (rows.column("key"), pa.array(np.zeros(len(size), np.int32)), pa.array(size.astype(np.int32)))]
+    nowhere = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.list_(pa.int32())))
+    whole = [pa.nulls(1, pa.string()), pa.array([number]), pa.array([len(size)], pa.int32()), pa.array([0], pa.int32()), pa.array([size.min(initial=0)], pa.int32()), *every, nowhere]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([a.cast(b.type), b]) for a, b in zip(columns, whole, strict=True)], names)
 
 
 @dataclass
@@ -85,10 +92,12 @@ class LexicalIndex:
 
     def documents(self) -> DataFrame:
         """(key, len, slice) of all documents."""
-        return self._table("documents").filter(F.col("batch").isin(self._kept))
+        every = self._table("postings").filter(F.col("batch").isin(self._kept) & (F.col("cell") == EVERY))
+        return every.select("slice", F.explode(F.arrays_zip("keys", "lens")).alias("d")).select(F.col("d.keys").alias("key"), F.col("d.lens").alias("len"), "slice")
 
     def postings(self) -> DataFrame:
-        return self._table("postings").filter(F.col("batch").isin(self._kept))
+        """(token, slice, n, max_tf, min_len, keys, tfs, lens, places, batch, cell) of all tokens."""
+        return self._table("postings").filter(F.col("batch").isin(self._kept) & (F.col("cell") != EVERY))
 
     def insert(self, docs: DataFrame, text: str, cells: int = CELLS, slice_docs: int = SLICE) -> LexicalIndex:
         """The index with the documents (key, text) whose key it doesn't have yet (FLT-16).
@@ -111,16 +120,13 @@ class LexicalIndex:
             for number, part in _sliced(batch, slice_docs, batches):
                 yield _postings(number, part)
 
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for number, part in _sliced(batch, slice_docs, batches):
-                size = part.column("words").value_lengths().fill_null(0).cast(pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("key"), size, pa.array(np.full(part.num_rows, number))], ["key", "len", "slice"])
-
         found = words.mapInArrow(make, f"token string, slice long, n int, max_tf int, min_len int, keys array<{kind}>, tfs array<int>, lens array<int>, places array<array<int>>")
-        found = found.withColumn("cell", F.pmod(F.xxhash64("token"), F.lit(cells)).cast("int")).hint("rebalance", "cell").sortWithinPartitions("cell", "token", "slice")
+        cell = F.when(F.col("token").isNull(), EVERY).otherwise(F.pmod(F.xxhash64("token"), F.lit(cells)))
+        found = found.withColumn("cell", cell.cast("int")).hint("rebalance", "cell").sortWithinPartitions("cell", "token", "slice")
         found.write.partitionBy("cell").parquet(f"{self.path}/postings/batch={batch}")
-        words.mapInArrow(measure, f"key {kind}, len int, slice long").write.parquet(f"{self.path}/documents/batch={batch}")
-        size = self._table(f"documents/batch={batch}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
+        every = self.spark.read.schema(found.schema).parquet(f"{self.path}/postings/batch={batch}").filter(F.col("cell") == EVERY)
+        length = F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x)
+        size = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"))
         size.withColumn("cells", F.lit(cells)).coalesce(1).write.parquet(f"{self.path}/sizes/batch={batch}")
         return LexicalIndex(self.spark, self.path, self.key)
 

@@ -113,7 +113,7 @@ def test_phrases_equal_counting_in_all_texts(spark, built):
 def test_unfinished_insertions_and_empty_ones_do_not_count(spark, built, tmp_path):
     docs, index, path = built
     assert index.documents().count() == len(docs) and index.insert(spark.createDataFrame([], "doc_id long, body string"), "body").documents().count() == len(docs)
-    spark.createDataFrame([(7000, 3, 1)], "key long, len int, slice long").write.parquet(f"{path}/documents/batch=77")
+    spark.read.parquet(f"{path}/postings/batch=0").write.partitionBy("cell").parquet(f"{path}/postings/batch=77")
     fresh = LexicalIndex(spark, str(path), "doc_id")
     assert fresh.documents().count() == len(docs)
     q = spark.createDataFrame([(1, "nano")], "query_id int, query string")
