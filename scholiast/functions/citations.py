@@ -31,6 +31,7 @@ def invalid_citations(text: Column | str, most: Column) -> Column:
     return F.array_sort(F.array_distinct(bad))
 
 
+# fixed values: the grammar of citation tokens and links
 CITE = r"(?<![\w.\-])@([A-Za-z0-9_\-]+)"
 WIKI = r"\[\[\s*([A-Za-z0-9_\-]+)(?:\s*\|\s*([^\[\]]+?))?\s*\]\]"
 FILE = r"\[[^\]]+\]\(([\w\-]+)\.md\)"
