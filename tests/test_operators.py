@@ -16,7 +16,6 @@ from scholiast.operators import retrieval as RT
 from scholiast.operators import style as S
 from scholiast.operators import tracker as K
 from scholiast.sources import bibliography as B
-from scholiast.sources.rest import read_paged
 from scholiast.streaming import ingest as I
 
 
@@ -229,16 +228,6 @@ def test_files_feeds_and_inverted_index(spark, tmp_path):
     assert one(spark, B.text_of_inverted_index(index)) == "a b a"
 
 
-def fetch(key, cursor):
-    pages = {None: ([(f"{key}-1", 1), (f"{key}-2", 2)], "next"), "next": ([(f"{key}-3", 3)], None)}
-    return pages[cursor]
-
-
-def test_paged_source(spark):
-    got = read_paged(spark, ["i", "j"], "title string, n int", fetch)
-    assert got.count() == 6 and read_paged(spark, ["i"], "title string, n int", fetch, limit=2).count() == 2
-
-
 def test_ingest_takes_each_file_once(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     spark.range(5).coalesce(1).write.parquet(src)
