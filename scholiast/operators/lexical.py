@@ -86,18 +86,23 @@ class LexicalIndex:
         """(batch, n, total, cells) of the insertions that are whole; they are as many as insertions, not as documents."""
         return self._table("sizes").collect() if path_exists(self.spark, f"{self.path}/sizes") else []
 
+    @functools.cached_property
+    def _rows(self) -> DataFrame:
+        """All rows of whole insertions; the folders are listed once, an insertion gives a new index."""
+        return self._table("postings").filter(F.col("batch").isin(self._kept))
+
     @property
     def _kept(self) -> list[int]:
         return [r["batch"] for r in self._sizes]
 
     def documents(self) -> DataFrame:
         """(key, len, slice) of all documents."""
-        every = self._table("postings").filter(F.col("batch").isin(self._kept) & (F.col("cell") == EVERY))
+        every = self._rows.filter(F.col("cell") == EVERY)
         return every.select("slice", F.explode(F.arrays_zip("keys", "lens")).alias("d")).select(F.col("d.keys").alias("key"), F.col("d.lens").alias("len"), "slice")
 
     def postings(self) -> DataFrame:
         """(token, slice, n, max_tf, min_len, keys, tfs, lens, places, batch, cell) of all tokens."""
-        return self._table("postings").filter(F.col("batch").isin(self._kept) & (F.col("cell") != EVERY))
+        return self._rows.filter(F.col("cell") != EVERY)
 
     def insert(self, docs: DataFrame, text: str, cells: int = CELLS, slice_docs: int = SLICE) -> LexicalIndex:
         """The index with the documents (key, text) whose key it doesn't have yet (FLT-16).
