@@ -1,12 +1,13 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, exact.
 
 A vector is stored as one code from each of several full-dimensional codebooks whose sum approaches it,
-found by beam search, and the squared norm of that sum. A query is scored against codes alone: its
-products with all codewords make a table, and |q - x|^2 is |q|^2 + norm - 2 * (sum of looked-up
-products). The best of all by code are scored exactly on the original vectors.
+found by beam search, with the squared norm of that sum and the vector's distance from it, its error. A
+query is scored against codes alone: its products with all codewords make a table, and |q - x|^2 is
+|q|^2 + norm - 2 * (sum of looked-up products). The best by code are measured on the original vectors; the
+k-th of them bounds the result, and every vector that this distance by code less its error doesn't exclude is measured too.
 
-Codebooks are learned on a bounded sample; every row is indexed. Equal vectors are indexed once, with the
-smallest ids that any query could ask for.
+Codebooks are learned on a bounded sample; every row is indexed, and the result doesn't depend on them. Equal
+vectors are indexed once, with the smallest ids that any query could ask for.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from scholiast.llm.store import hashed_sample, stored, tidy
 BOOKS, CODES, BEAM = 16, 256, 4
 #: Rows from which codebooks are learned: those with the smallest hashed ids.
 SAMPLE = 8192
-#: Queries in one cell of the search, and the least and most codes in one.
-QUERY_BLOCK, LEAST_SLICE, MOST_SLICE = 2048, 1 << 12, 1 << 18
-#: Distinct vectors that are scored exactly for a query.
+#: Fewest rows in a slice of a cell of the search, and most bytes of its vectors and of its queries.
+LEAST_SLICE, MOST_BYTES = 1 << 12, 1 << 25
+#: Distinct vectors of a slice that are measured first for a query.
 SHORTLIST = 100
+#: Shares by which bounds are widened for rounding: of distances, and of the vectors' own size in distances by code.
+WIDER, SLACK = 1e-9, 1e-12
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -71,8 +74,13 @@ def learn_codebooks(sample: np.ndarray, books: int = BOOKS, codes: int = CODES,
     return out
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, squared norm of their sum) by beam search: after each codebook the `beam` partial sums nearest to the vector stay."""
+def reach(books: np.ndarray) -> float:
+    """The longest that a sum of codewords can be."""
+    return float(np.sqrt((books * books).sum(2)).max(1).sum())
+
+
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, squared norm of their sum, distance from it) by beam search: after each codebook the `beam` partial sums nearest to the vector stay."""
     n, k = len(x), books.shape[1]
     codes, rest = np.zeros((n, 1, 0), np.int64), x[:, None, :].copy()
     for book in books:
@@ -84,9 +92,10 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         rows = np.arange(n)[:, None]
         codes = np.concatenate([codes[rows, parent], code[:, :, None]], 2)
         rest = rest[rows, parent] - book[code]
-    best = np.argmin((rest * rest).sum(2), 1)
-    total = x - rest[np.arange(n), best]
-    return codes[np.arange(n), best], (total * total).sum(1)
+    codes = codes[np.arange(n), np.argmin((rest * rest).sum(2), 1)]
+    total = sum(book[codes[:, m]] for m, book in enumerate(books))
+    length = lambda v: np.sqrt((v * v).sum(1))
+    return codes, (total * total).sum(1), length(x - total) * (1 + WIDER) + SLACK * (length(x) + reach(books))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -97,71 +106,109 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.withColumn("size", F.size("embedding"))
 
 
-def build_index(v: DataFrame, copies: int, sample: int = SAMPLE, books: int = BOOKS) -> tuple[DataFrame, np.ndarray]:
-    """The codebooks, and (row, embedding, ids, codes, norm) of each distinct vector of `v` (vec_id, embedding), all of one length, with the `copies` smallest ids that have it; row is the smallest."""
-    codebooks = learn_codebooks(_matrix(hashed_sample(v.select("vec_id", "embedding"), ["vec_id", "embedding"], sample).column("embedding").combine_chunks()), books)
-    shared = v.sparkSession.sparkContext.broadcast(codebooks)
-    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    distinct = v.withColumn("place", place).filter(F.col("place") <= copies).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+def build_index(v: DataFrame, k: int, sample: int = SAMPLE, books: int = BOOKS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(index, codebooks, centre) of `v` (vec_id, embedding), all of one length.
+
+    The index has (row, other, embedding, ids, codes, norm, error) of each distinct vector; row has the smallest of its ids and other
+    the next one, if any. ids are the smallest that have it, at most `k` times each and so many that k are left without any one.
+    Codes are of the vector less the centre, the mean of the sample, so that they keep their digits far from zero.
+    """
+    taken = _matrix(hashed_sample(v.select("vec_id", "embedding"), ["vec_id", "embedding"], sample).column("embedding").combine_chunks())
+    centre = taken.mean(0)
+    codebooks = learn_codebooks(taken - centre, books)
+    shared = v.sparkSession.sparkContext.broadcast((codebooks, centre))
+    of_id = v.withColumn("place", F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))).filter(F.col("place") <= k)
+    of_vector = of_id.withColumn("place", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("place") <= 2 * k)
+    distinct = of_vector.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                codes, norms = encode(_matrix(part.column("embedding")), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column("embedding"), part.column("ids"), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms)], ["embedding", "ids", "codes", "norm"])
+                codes, norms, errors = encode(_matrix(part.column("embedding")) - shared.value[1], shared.value[0])
+                yield pa.RecordBatch.from_arrays([part.column("embedding"), part.column("ids"), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms), pa.array(errors)], ["embedding", "ids", "codes", "norm", "error"])
 
-    coded = distinct.mapInArrow(run, "embedding array<double>, ids array<long>, codes binary, norm double")
+    coded = distinct.mapInArrow(run, "embedding array<double>, ids array<long>, codes binary, norm double, error double")
     # rows of one id with different vectors have the same smallest id: the hash of the vector tells them apart
-    coded = coded.select(F.struct(F.get("ids", F.lit(0)).alias("id"), F.xxhash64("embedding").alias("hash")).alias("row"), "embedding", "ids", "codes", "norm")
-    return stored(coded, "index"), codebooks
+    coded = coded.select(F.struct(F.get("ids", F.lit(0)).alias("id"), F.xxhash64("embedding").alias("hash")).alias("row"), F.array_min(F.filter("ids", lambda i: i > F.get("ids", F.lit(0)))).alias("other"), "embedding", "ids", "codes", "norm", "error")
+    return stored(coded, "index"), codebooks, centre
 
 
-def short_lists(index: DataFrame, asked: DataFrame, codebooks: np.ndarray, keep: int) -> DataFrame:
-    """(query_id, row): for each query of `asked` (query_id, embedding) the `keep` rows of the index that its codes say are nearest.
+def _nearest_in(x: np.ndarray, q: np.ndarray, first: np.ndarray, near: np.ndarray, slack: float, error: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the `k` vectors of `x` nearest to `q`, ties to the smaller `first`; near are squared distances by code, right up to `slack`.
 
-    Cells of a slice of the codes and a block of the queries are dealt to tasks; a code is 32 bytes and a query its
-    table's vector. A cell returns its own `keep` best, so the result is that of one pass over all codes,
-    however rows are dealt.
+    Distances that decide add up components in their order, as Spark's do.
     """
-    shared = index.sparkSession.sparkContext.broadcast(codebooks)
+    few = max(k, shortlist)
+    if few < len(x):
+        some = np.argpartition(near, few - 1)[:few]
+        bound = np.sqrt(np.partition(((x[some] - q) ** 2).sum(1), k - 1)[k - 1]) * (1 + WIDER)
+        places = np.flatnonzero(~(near - slack > (bound + error) ** 2))  # what is not a number is measured
+    else:
+        places = np.arange(len(x))
+    about = np.concatenate([((x[p] - q) ** 2).sum(1) for p in np.array_split(places, 1 + len(places) // 4096)])
+    if k < len(places):
+        places = places[about <= np.partition(about, k - 1)[k - 1] * (1 + WIDER)]
+    exact = np.sqrt(np.cumsum((x[places] - q) ** 2, 1)[:, -1])
+    order = np.lexsort((first[places], exact))[:k]
+    return places[order], exact[order]
+
+
+def nearest_rows(index: DataFrame, asked: DataFrame, codebooks: np.ndarray, centre: np.ndarray, k: int, shortlist: int) -> DataFrame:
+    """(query_id, row): for each query of `asked` (query_id, embedding) the rows of the index that hold its `k` nearest candidates, other than itself.
+
+    Cells of a slice of the rows and a block of the queries are dealt to tasks. A cell returns its own `k`
+    nearest, so the result is that of one pass over all rows, however they are dealt.
+    """
+    shared = index.sparkSession.sparkContext.broadcast((codebooks, centre))
     n, n_queries = index.count(), asked.count()
-    slices = max(1, -(-n // max(LEAST_SLICE, min(MOST_SLICE, n // 64))))
-    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    columns = ["slice", "block", "asked", "row", "query_id", "embedding", "codes", "norm"]
+    most = max(1 << 10, MOST_BYTES // (8 * len(centre)))
+    slices = max(1, -(-n // min(most, max(LEAST_SLICE, n // 64))))
+    n_blocks = max(1, -(-n_queries // most))
+    columns = ["slice", "block", "asked", "row", "other", "query_id", "embedding", "codes", "norm", "error"]
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    codes = index.select("row", "codes", "norm", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), every(n_blocks, "block"))
-    codes = codes.select("slice", "block", F.lit(False).alias("asked"), "row", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("embedding"), "codes", "norm")
-    none = F.lit(None).cast(index.schema["row"].dataType)
+    none = lambda name: F.lit(None).cast(index.schema[name].dataType).alias(name)
+    rows = index.select("row", "other", "embedding", "codes", "norm", "error", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), every(n_blocks, "block"))
+    rows = rows.withColumns({"asked": F.lit(False), "query_id": F.lit(None).cast("long")})
     queries = asked.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"), every(slices, "slice"))
-    queries = queries.select("slice", "block", F.lit(True).alias("asked"), none.alias("row"), "query_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"))
-    dealt = codes.unionByName(queries).repartition(slices * n_blocks, "slice", "block").sortWithinPartitions("slice", "block", F.desc("asked"), "query_id")
+    queries = queries.select("slice", "block", F.lit(True).alias("asked"), none("row"), none("other"), "query_id", "embedding", none("codes"), none("norm"), none("error"))
+    dealt = rows.select(*columns).unionByName(queries).repartition(slices * n_blocks, "slice", "block").sortWithinPartitions("slice", "block", F.desc("asked"), "query_id")
+    kind = index.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, questions, rows, codes, norms = None, [], [], [], []
+        books, middle = shared.value
+        farthest = reach(books)
+        cell, questions, held = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if not questions or not rows:
+            if not questions or not held:
                 return
-            ids = np.concatenate([q.column("query_id").to_numpy(zero_copy_only=False) for q in questions])
-            vectors = np.concatenate([_matrix(q.column("embedding")) for q in questions])
-            row = pa.concat_arrays(rows)
-            code, norm = np.concatenate(codes), np.concatenate(norms).astype(np.float32)
-            # ties at the end of a list go to the smaller row
-            order = np.lexsort((row.field("hash").to_numpy(), row.field("id").to_numpy()))
-            code, norm, row = np.ascontiguousarray(code[order].T), norm[order], row.take(pa.array(order))
-            for i, q in zip(ids, vectors, strict=True):
-                table = (2 * (shared.value @ q)).astype(np.float32)
-                near = norm.copy()
-                for m in range(len(code)):
-                    near -= table[m][code[m]]
-                if keep < len(near):
-                    bound = np.partition(near, keep - 1)[keep - 1]
-                    short = np.flatnonzero(near <= bound)
-                    short = short[np.argsort(near[short], kind="stable")[:keep]]
-                else:
-                    short = np.arange(len(near))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), i)), row.take(pa.array(short)), pa.array(near[short])], ["query_id", "row", "near"])
+            x = np.concatenate([_matrix(h.column("embedding")) for h in held])
+            code = np.concatenate([np.frombuffer(b"".join(h.column("codes").to_pylist()), np.uint8).reshape(len(h), -1) for h in held])
+            code = np.ascontiguousarray(code.T).astype(np.intp)
+            norm, error = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("norm", "error"))
+            row, other = (pa.concat_arrays([h.column(c) for h in held]) for c in ("row", "other"))
+            ids, lone, other = row.field("id").to_numpy(), pc.is_null(other).to_numpy(zero_copy_only=False), pc.fill_null(other, 0).to_numpy()
+            for part in questions:
+                found = []
+                for i, q in zip(part.column("query_id").to_numpy(zero_copy_only=False), _matrix(part.column("embedding")), strict=True):
+                    table = 2 * (books @ (q - middle))
+                    near = norm + ((q - middle) ** 2).sum()
+                    for m in range(len(code)):
+                        near -= table[m].take(code[m])
+                    slack = SLACK * (np.sqrt(((q - middle) ** 2).sum()) + farthest) ** 2
+                    # of vectors of this id the next id counts; those that only it has take up places and go
+                    own = np.flatnonzero(ids == i)
+                    first, alone = ids, own[lone[own]]
+                    if len(own):
+                        first = ids.copy()
+                        first[own] = other[own]
+                    places, far = _nearest_in(x, q, first, near, slack, error, k + len(alone), shortlist)
+                    able = np.flatnonzero(~np.isin(places, alone))[:k]
+                    places, far = places[able], far[able]
+                    found.append((np.full(len(places), i, np.int64), places, first[places], far))
+                query, places, first, far = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(query), row.take(pa.array(places)), pa.array(first), pa.array(far)], ["query_id", "row", "first", "far"])
 
         for batch in batches:
             if not len(batch):
@@ -171,22 +218,17 @@ def short_lists(index: DataFrame, asked: DataFrame, codebooks: np.ndarray, keep:
             for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
                 if keys[a] != cell:
                     yield from done()
-                    cell, questions, rows, codes, norms = keys[a], [], [], [], []
+                    cell, questions, held = keys[a], [], []
                 part = batch.slice(a, b - a)
                 kinds = part.column("asked")
-                asks, holds = part.filter(kinds), part.filter(pc.invert(kinds))
-                if len(asks):
-                    questions.append(asks)
-                if len(holds):
-                    rows.append(holds.column("row"))
-                    codes.append(np.frombuffer(b"".join(holds.column("codes").to_pylist()), np.uint8).reshape(len(holds), -1))
-                    norms.append(holds.column("norm").to_numpy())
+                for rows, to in ((part.filter(kinds), questions), (part.filter(pc.invert(kinds)), held)):
+                    if len(rows):
+                        to.append(rows)
         yield from done()
 
-    kind = index.schema["row"].dataType.simpleString()
-    found = dealt.select(*columns).mapInArrow(run, f"query_id long, row {kind}, near float")
-    order = Window.partitionBy("query_id").orderBy("near", "row")
-    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep).select("query_id", "row")
+    found = dealt.mapInArrow(run, f"query_id long, row {kind}, first long, far double")
+    order = Window.partitionBy("query_id").orderBy("far", "first", "row")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("query_id", "row")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -201,7 +243,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int =
     Null, zero and non-finite vectors take no part. Vectors of different lengths have no distance: each length is a
     space of its own, with its own queries, candidates and codebooks. Fewer than k candidates give fewer rows; of rows with one id each
     is a candidate and the query of that id is the one whose vector is shortest, then sorts first. Codes choose the
-    `shortlist` nearest distinct vectors of each query, whose originals are then compared exactly. Extra columns are ignored.
+    `shortlist` vectors that are measured first and exclude others by their errors; what they don't exclude is measured, so the
+    result is exact on any rows, and where codes tell little apart nearly all are measured. Extra columns are ignored.
     """
     spark = vectors.sparkSession
     v = stored(usable(vectors), "vectors")
@@ -209,8 +252,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int =
     found = spark.createDataFrame([], "query_id long, vec_id long, score double")
     for row in asked.select("size").distinct().orderBy("size").collect():  # lengths, not rows
         own, same = asked.filter(F.col("size") == row["size"]).drop("size"), v.filter(F.col("size") == row["size"]).drop("size")
-        index, codebooks = build_index(same, k + 1)
-        short = stored(short_lists(index, own, codebooks, shortlist), "short")
+        index, codebooks, centre = build_index(same, k)
+        short = stored(nearest_rows(index, own, codebooks, centre, k, shortlist), "short")
         near = short.join(index.select("row", "embedding", "ids"), "row").join(own.withColumnRenamed("embedding", "query"), "query_id")
         near = near.select("query_id", F.explode("ids").alias("vec_id"), _distance("embedding", "query").alias("score")).filter("vec_id <> query_id")
         found = found.unionByName(near)

@@ -136,6 +136,29 @@ def test_short_lists_of_two_per_cent_and_batches(spark):
     assert sorted(map(tuple, found)) == sorted(map(tuple, again))
 
 
+def test_nearest_is_exact_on_rows_that_codes_tell_little_about(spark):
+    """Rows far from zero, narrow clusters, heavy tails, grids full of ties and copies of one id, in several slices."""
+    r = np.random.default_rng(11)
+    n = 9000
+    kinds = {
+        "far": 1e4 + 0.1 * r.standard_normal((n, 8)),
+        "narrow": r.standard_normal((5, 24))[r.integers(0, 5, n)] + 1e-3 * r.standard_normal((n, 24)),
+        "heavy": r.standard_cauchy((n, 12)),
+        "grid": r.integers(0, 4, (n, 5)) + 0.5,
+    }
+    for kind, x in kinds.items():
+        ids = np.concatenate([np.arange(n), np.zeros(30, int)])
+        x = np.concatenate([x, np.tile(x[0], (30, 1))])  # 31 rows of one id and vector: none is a candidate of its own query
+        table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+        found = sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in ann.nearest(table).collect())
+        want = []
+        for i in range(0, n, 100):
+            d = np.sqrt(np.cumsum((x - x[i]) ** 2, 1)[:, -1])
+            order = [j for j in np.lexsort((ids, d)) if ids[j] != i][:10]
+            want += [(i, rank, int(ids[j]), float(d[j])) for rank, j in enumerate(order, 1)]
+        assert found == want, kind
+
+
 def test_vectors_of_several_lengths(spark):
     r = np.random.default_rng(3)
     rows = [(i, r.standard_normal(4).tolist()) for i in range(1, 90)] + [(0, [1.0, 2.0]), (100, [2.0, 1.0]), (200, r.standard_normal(4).tolist()), (101, [1.0, 1.0])]
