@@ -1,9 +1,10 @@
 """Fuzzy passages that repeat across documents, by collinear chaining.
 
 Every document emits the k-word seeds that are minimal in some window of W seeds, so any equal run of
-k + W - 1 words in two documents yields a common seed. Seeds that occur once go; every other occurrence is
-matched with the earliest one of its seed, never with all of them. The matches of two documents that
-follow each other on one diagonal, with equal hashes of the words between, are joined to exact fragments.
+k + W - 1 words in two documents yields a common seed. A seed's first places are matched with each other, all
+pairs of them; each further one with the earliest, and with the first places that share the next 18 or 30 words with it,
+which tells places of frequent seeds apart by more of their text. The matches of two documents that
+overlap or meet on one diagonal are joined to exact fragments.
 Fragments are chained in order of both documents: a chain's score is its words less a cost for the gaps
 on both sides, and the best predecessor of a fragment is the maximum of a prefix, kept in a Fenwick
 tree. The words before, between and after the fragments of a chain are then aligned, which extends it to
@@ -23,18 +24,20 @@ from pyspark.sql import functions as F
 from scholiast.llm.store import stored, tidy
 from scholiast.llm.tokens import U64, blocks, cached_powers, grams, mix, word_hashes
 
-SEED, WINDOW = 6, 16
+SEED, WINDOW = 6, 4
+#: Places of a seed, or of a seed with the words ahead of it, that are matched with all before them; and how many words tell those of more apart.
+PLACES, AHEAD = 8, (18, 30)
 #: Cost of one unmatched word on either side of a gap, and the longest gap within a chain.
 GAP_COST, MOST_GAP = 0.15, 40
-#: Words that a chain must match to be aligned.
+#: Words that a single fragment must match when it is aligned.
 CHAIN_WORDS = 12
-#: Words on either side of a chain that alignment may add: what winnowing can leave out on both sides of an edit.
-REACH = 2 * (SEED + WINDOW)
+#: Words on either side of a chain that alignment may add, and of a single fragment of under CHAIN_WORDS words.
+REACH, LONE_REACH = 44, 24
 _BASE = 0xB5026F5AA96619E9
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, hash of the words from it to the next seed or the end) of the winnowed seeds of one document."""
+    """(hash, position, half a hash of each number of words in AHEAD from it on) of the winnowed seeds of one document."""
     g = grams(words, SEED)
     if not len(g):
         return g, np.zeros(0, np.int64), g
@@ -44,13 +47,13 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         view = np.lib.stride_tricks.sliding_window_view(g[::-1], WINDOW)  # the last of equal minima, as runs of one seed then give few
         at = np.unique(len(g) - 1 - (np.argmin(view, 1) + np.arange(len(view))))
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(words * cached_powers(_BASE, len(words)), dtype=U64)])
-    end = np.concatenate([at[1:], [len(words)]])
-    between = mix((sums[end] - sums[at]) * cached_powers(pow(_BASE, -1, 1 << 64), len(words))[at])
-    return g[at], at, between
+    back = cached_powers(pow(_BASE, -1, 1 << 64), len(words))[at]
+    near, far = (mix((sums[np.minimum(at + n, len(words))] - sums[at]) * back) for n in AHEAD)
+    return g[at], at, near >> U64(32) << U64(32) | far >> U64(32)
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, at, next): all winnowed seeds of all documents."""
+    """(seed, doc_id, at, ahead): all winnowed seeds of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,9 +61,70 @@ def seed_table(docs: DataFrame) -> DataFrame:
                 words, word_at, _, _ = word_hashes(raw, at)
                 found = [seeds(words[word_at[i] : word_at[i + 1]]) for i in range(end - first)]
                 rows = np.repeat(np.arange(first, end), [len(x[0]) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in found]).view(np.int64)), batch.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate([x[1] for x in found]).astype(np.int32)), pa.array(np.concatenate([x[2] for x in found]).view(np.int64))], ["seed", "doc_id", "at", "next"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in found]).view(np.int64)), batch.column("doc_id").take(pa.array(rows)), pa.array(np.concatenate([x[1] for x in found]).astype(np.int32)), pa.array(np.concatenate([x[2] for x in found]).view(np.int64))], ["seed", "doc_id", "at", "ahead"])
 
-    return docs.mapInArrow(run, "seed long, doc_id long, at int, next long")
+    return docs.mapInArrow(run, "seed long, doc_id long, at int, ahead long")
+
+
+_PLACES = "seed long, doc_id long, at int, ahead long, ref_id long, ref_at int, earliest boolean"
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of places (seed, doc_id, at, ahead) that come sorted: each of a seed's first PLACES + 1 with all before it, each further one with the earliest.
+
+    Of a seed with more places every place is also given without a ref, if ahead isn't 0; seed and ahead are given only there. A place that comes twice counts once.
+    """
+    names = ["seed", "doc_id", "at", "ahead"]
+    kept = {n: np.zeros(0, np.int64) for n in names}  # the first places of the seed that is open, and the number of its places
+    count, last = 0, (0, 0)
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = {n: batch.column(n).to_numpy().astype(np.int64) for n in names}
+        old = len(kept["seed"]) if len(kept["seed"]) and kept["seed"][0] == own["seed"][0] else 0
+        if old and count > old:  # a repeat of the last place would not be seen among the first ones
+            fresh = (own["seed"] != kept["seed"][0]) | (own["doc_id"] != last[0]) | (own["at"] != last[1])
+            own = {n: c[fresh] for n, c in own.items()}
+            if not len(own["seed"]):
+                continue
+        cols = {n: np.concatenate([kept[n][:old], own[n]]) for n in names}
+        if not old:
+            count = 0
+        fresh = np.concatenate([[True], (np.diff(cols["seed"]) != 0) | (np.diff(cols["doc_id"]) != 0) | (np.diff(cols["at"]) != 0)]) if len(cols["seed"]) else np.zeros(0, bool)
+        fresh[:old] = True
+        cols = {n: c[fresh] for n, c in cols.items()}
+        n = len(cols["seed"])
+        first = np.flatnonzero(np.concatenate([[True], np.diff(cols["seed"]) != 0]))
+        size = np.diff(np.concatenate([first, [n]]))
+        begin = np.repeat(first, size)
+        place = np.arange(n) - begin
+        place[old : size[0]] += max(count - old, 0)
+        new = np.arange(n) >= old
+        pairs = [(at, at - back) for back in range(1, PLACES + 1) for at in [np.flatnonzero(new & (place >= back) & (place <= PLACES))]]
+        late = np.flatnonzero(new & (place > PLACES))
+        pairs.append((late, begin[late]))
+        x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        # when a seed turns out to have more places its first ones follow; they lie in this batch or are kept
+        many = np.concatenate([late, *(begin[late[place[late] == PLACES + 1]] + i for i in range(PLACES + 1))])
+        many = many[cols["ahead"][many] != 0]
+        rows = np.concatenate([x, many])
+        none = np.arange(len(rows)) >= len(x)
+        ref = np.concatenate([y, np.zeros(len(many), np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(cols["seed"][rows], mask=~none), pa.array(cols["doc_id"][rows]), pa.array(cols["at"][rows].astype(np.int32)), pa.array(cols["ahead"][rows], mask=~none), pa.array(cols["doc_id"][ref], mask=none), pa.array(cols["at"][ref].astype(np.int32), mask=none), pa.array(ref == begin[rows])], ["seed", "doc_id", "at", "ahead", "ref_id", "ref_at", "earliest"])
+        count = int(place[-1]) + 1
+        last = int(cols["doc_id"][-1]), int(cols["at"][-1])
+        kept = {c: v[first[-1] : first[-1] + PLACES + 1] for c, v in cols.items()}
+
+
+def matches(table: DataFrame) -> DataFrame:
+    """(doc_id, ref_id, at, ref_at, earliest) of the places (seed, doc_id, at, ahead); earliest: ref is the first place of the seed."""
+    dealt = lambda t: t.repartition("seed").sortWithinPartitions("seed", "doc_id", "at").mapInArrow(_places, _PLACES)
+    found = stored(dealt(table), "places")
+    near, far = F.shiftrightunsigned("ahead", 32), F.col("ahead").bitwiseAND((1 << 32) - 1)
+    longer = found.filter("ref_id is null").withColumn("key", F.explode(F.array(F.xxhash64("seed", F.lit(AHEAD[0]), near), F.xxhash64("seed", F.lit(AHEAD[1]), far))))
+    again = dealt(longer.select(F.col("key").alias("seed"), "doc_id", "at", F.lit(0).cast("long").alias("ahead")))
+    columns = ["doc_id", "ref_id", "at", "ref_at", "earliest"]
+    return found.filter("ref_id is not null").select(*columns).unionByName(again.select(*columns).withColumn("earliest", F.lit(False)))
 
 
 class Fenwick:
@@ -84,12 +148,11 @@ class Fenwick:
         return out
 
 
-def fragments(x: np.ndarray, y: np.ndarray, x_next: np.ndarray, y_next: np.ndarray) -> list[tuple[int, int, int]]:
-    """Exact fragments (begin in x, begin in y, words) of matches sorted by x: runs on one diagonal in which the words up to the next seed are equal."""
+def fragments(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """Exact fragments (begin in x, begin in y, words) of matches: runs on one diagonal whose seeds overlap or meet."""
     order = np.lexsort((x, x - y))
-    x, y, x_next, y_next = x[order], y[order], x_next[order], y_next[order]
-    gap = np.diff(x)
-    joined = (np.diff(x - y) == 0) & ((gap <= SEED) | (x_next[:-1] == y_next[:-1]) & (gap <= SEED + WINDOW))
+    x, y = x[order], y[order]
+    joined = (np.diff(x - y) == 0) & (np.diff(x) <= SEED)
     first = np.flatnonzero(np.concatenate([[True], ~joined]))
     last = np.concatenate([first[1:] - 1, [len(x) - 1]])
     return sorted(zip(x[first].tolist(), y[first].tolist(), (x[last] - x[first] + SEED).tolist(), strict=True))
@@ -143,35 +206,35 @@ def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions to align of the chains of each pair of documents; rows come sorted by pair."""
-    names = ["doc_id", "ref_id", "chain", "part", "a", "b", "ra", "rb", "words"]
+    names = ["doc_id", "ref_id", "chain", "part", "a", "b", "ra", "rb", "words", "main"]
     held: list[dict[str, np.ndarray]] = []
     pair = None
 
     def done() -> list[tuple]:
         cols = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         rows = []
-        parts = fragments(cols["at"], cols["ref_at"], cols["next"], cols["ref_next"])
+        parts, earliest = fragments(cols["at"], cols["ref_at"]), bool(cols["earliest"].any())
         number = 0
         for chain in chains(parts) if len(parts) > 1 else [parts]:
-            if sum(w for _, _, w in chain) < CHAIN_WORDS and len(chain) < 2:
-                continue
-            x, y, _ = chain[0]
-            rows.append((*pair, number, 0, max(0, x - REACH), x, max(0, y - REACH), y, 0))
+            x, y, w = chain[0]
+            long = len(chain) > 1 or w >= CHAIN_WORDS
+            side, main = REACH if long else LONE_REACH, earliest and long
+            rows.append((*pair, number, 0, max(0, x - side), x, max(0, y - side), y, 0, main))
             for i, (x, y, w) in enumerate(chain):
-                to_x, to_y = chain[i + 1][:2] if i + 1 < len(chain) else (x + w + REACH, y + w + REACH)
-                rows.append((*pair, number, i + 1, x + w, to_x, y + w, to_y, w))
+                to_x, to_y = chain[i + 1][:2] if i + 1 < len(chain) else (x + w + side, y + w + side)
+                rows.append((*pair, number, i + 1, x + w, to_x, y + w, to_y, w, main))
             number += 1
         return rows
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 7]
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 7, pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     rows: list[tuple] = []
     for batch in batches:
         if not len(batch):
             continue
-        cols = {c: batch.column(c).to_numpy() for c in ("doc_id", "ref_id", "at", "next", "ref_at", "ref_next")}
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "ref_id", "at", "ref_at", "earliest")}
         cuts = np.flatnonzero(np.concatenate([[True], (np.diff(cols["doc_id"]) != 0) | (np.diff(cols["ref_id"]) != 0)]))
         for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
             now = int(cols["doc_id"][a]), int(cols["ref_id"][a])
@@ -220,14 +283,46 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _passing(regions: list[tuple], identity: float) -> list[tuple[int, int, int, int, int]]:
+def _filled(found: tuple[int, int, int, int, int], before: tuple, behind: tuple, identity: float, min_words: int) -> tuple[int, int, int, int, int]:
+    """A part moved out, word against word, to equal words that make it `min_words` long, if it still reaches `identity`; of several the one with most equal words for its length.
+
+    before and behind are the words of both documents from the part's ends outwards.
+    """
+    start, end, ref_start, ref_end, equal = found
+    if end - start >= min_words:
+        return found
+    steps, gains = [], []
+    for x, y in (before, behind):
+        n = min(len(x), len(y))
+        at = np.flatnonzero(x[:n] == y[:n])
+        steps.append(np.concatenate([[0], at + 1]))
+        gains.append(np.arange(len(at) + 1))
+    moved, agree = steps[0][:, None] + steps[1], equal + gains[0][:, None] + gains[1]
+    most = max(end - start, ref_end - ref_start) + moved
+    short = (end - start + moved < min_words) | (agree < identity * most)
+    if short.all():
+        return found
+    i, j = np.unravel_index(np.argmax(np.where(short, -1.0, agree / most)), short.shape)
+    left, right = int(steps[0][i]), int(steps[1][j])
+    return start - left, end + right, ref_start - left, ref_end + right, int(agree[i, j])
+
+
+def _passing(regions: list[tuple], identity: float, min_words: int = 0) -> list[tuple[int, int, int, int, int]]:
     """(start, end, start in ref, end in ref, equal words) of the parts of a chain that reach `identity`.
 
     A chain that fails is cut at the gap that lacks most equal words, and so on; a single fragment passes at the latest
-    without what alignment adds at its ends. Single fragments of parts so cut need CHAIN_WORDS words, as whole chains do.
+    without what alignment adds at its ends. Single fragments need CHAIN_WORDS equal words with what alignment adds.
+    Parts of under `min_words` words are moved out to that length where their words allow it.
     """
     flat = [(x, y) for *_, x, y in regions]
     core = [(a - w, a, ra - w, ra, w) for _, a, _, ra, _, w, _, _ in regions[1:]]
+    if len(core) == 1 and core[0][4] < CHAIN_WORDS:  # not aligned where too few words occur on both sides
+        words = core[0][4]
+        for x, y in flat:
+            other = set(y.tolist())
+            words += sum(z in other for z in x.tolist())
+        if words < CHAIN_WORDS:
+            return []
     common = [_common(x, y) for x, y in flat[1:-1]]
     lack = [identity * max(len(x), len(y)) - c for (x, y), c in zip(flat[1:-1], common, strict=True)]
     share = lambda start, end, ref_start, ref_end, equal: equal >= identity * max(end - start, ref_end - ref_start)
@@ -241,7 +336,10 @@ def _passing(regions: list[tuple], identity: float) -> list[tuple[int, int, int,
         good = [w for w in ways if share(*w)]
         if good:
             best = max(good, key=lambda w: w[1] - w[0])
-            if len(core) == 1 or i < j or best[4] >= CHAIN_WORDS:
+            before = [z[::-1][n:] for z, n in zip(flat[i], (core[i][0] - best[0], core[i][2] - best[2]), strict=True)]
+            behind = [z[n:] for z, n in zip(flat[j + 1], (best[1] - core[j][1], best[3] - core[j][3]), strict=True)]
+            best = _filled(best, before, behind, identity, min_words)
+            if i < j or best[4] >= CHAIN_WORDS:
                 out.append(best)
         elif i < j:
             cut = max(range(i, j), key=lambda g: lack[g])
@@ -249,15 +347,18 @@ def _passing(regions: list[tuple], identity: float) -> list[tuple[int, int, int,
     return out
 
 
-def _aligned(identity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _aligned(identity: float, min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The parts of each chain that reach `identity`, from its regions, which come sorted by chain and part."""
-    names = ["doc_id", "ref_id", "start", "end", "ref_start", "ref_end", "equal_words"]
-    keys = ("doc_id", "ref_id", "chain", "part", "a", "b", "ra", "rb", "words", "x", "y")
+    names = ["doc_id", "ref_id", "start", "end", "ref_start", "ref_end", "equal_words", "main"]
+    keys = ("doc_id", "ref_id", "chain", "part", "a", "b", "ra", "rb", "words", "x", "y", "main")
     held: list[tuple] = []
 
     def done() -> list[tuple]:
-        regions = [(*r[3:9], *(np.frombuffer(z or b"", U64) for z in r[9:11])) for r in held]
-        return [(*held[0][:2], *part) for part in _passing(regions, identity)]
+        regions = [(*r[3:9], *(np.frombuffer(z or b"", np.uint32) for z in r[9:11])) for r in held]
+        return [(*held[0][:2], *part, held[0][11]) for part in _passing(regions, identity, min_words)]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(7)), pa.array([r[7] for r in rows], pa.bool_())], names)
 
     rows: list[tuple] = []
     for batch in batches:
@@ -267,16 +368,16 @@ def _aligned(identity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 held = []
             held.append(row)
         if len(rows) > 4096:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names)
+            yield out(rows)
             rows = []
     if held:
         rows += done()
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names)
+        yield out(rows)
 
 
 def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(owner, a, b, words): the word hashes a..b of the documents that `wanted` (owner, a, b) names."""
+    """(owner, a, b, words): the word hashes a..b, of 32 bits, of the documents that `wanted` (owner, a, b) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +387,7 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for first, end, raw, at in blocks(batch.column("text")):
                 words, word_at, _, _ = word_hashes(raw, at)
                 for i in range(first, end):
-                    own = words[word_at[i - first] : word_at[i - first + 1]]
+                    own = words[word_at[i - first] : word_at[i - first + 1]].astype(np.uint32)
                     rows += [(ids[i], s["a"], s["b"], own[s["a"] : s["b"]].tobytes()) for s in asked[i]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], ["owner", "a", "b", "words"])
 
@@ -301,27 +402,25 @@ def repeated_passages(docs: DataFrame, min_words: int = 30, identity: float = 0.
     Word positions count from 0, `end` is behind the last word; words are compared without the case of A-Z. A row is
     one aligned chain, or a part of one that fails as a whole: at least the share `identity` of its words agree, and it lies in a stretch of at least
     `min_words` words of its document that such chains cover without a break of more than SEED words, so a passage put
-    together from several sources is found too. Where the earliest places of a passage's seeds lie in several documents,
-    fewer than SEED + WINDOW of its words may be left out at an end. ref is the place of an earlier occurrence in order of doc_id and
+    together from several sources is found too. ref is the place of an earlier occurrence in order of doc_id and
     position, maybe in the same document. Null, empty and shorter texts give no rows; a repeated row with the same
     doc_id is the same document; a null doc_id takes no part; extra columns are ignored.
     """
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = seed_table(source)
-    several = table.groupBy("seed").agg(F.min(F.struct("doc_id", "at", "next")).alias("e"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("seed", F.col("e.doc_id").alias("ref_id"), F.col("e.at").alias("ref_at"), F.col("e.next").alias("ref_next"))
-    # a table of its own, so that the join below stands between two exchanges and a very common seed can be split
-    several = stored(several, "several")
-    hits = table.join(several, "seed").filter((F.col("doc_id") != F.col("ref_id")) | (F.col("at") != F.col("ref_at")))
-    hits = hits.select("doc_id", "ref_id", "at", "next", "ref_at", "ref_next").repartition("doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id", "at", "ref_at")
-    regions = hits.mapInArrow(_chained, "doc_id long, ref_id long, chain int, part int, a int, b int, ra int, rb int, words int")
+    hits = matches(seed_table(source)).repartition("doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id", "at", "ref_at")
+    regions = hits.mapInArrow(_chained, "doc_id long, ref_id long, chain int, part int, a int, b int, ra int, rb int, words int, main boolean")
     regions = stored(regions, "regions")
     wanted = regions.select(F.col("doc_id").alias("owner"), "a", "b").unionByName(regions.select(F.col("ref_id").alias("owner"), F.col("ra").alias("a"), F.col("rb").alias("b"))).filter("b > a").distinct()
     slices = stored(_slices(source, wanted), "slices").distinct()
     x = slices.select(F.col("owner").alias("doc_id"), "a", "b", F.col("words").alias("x"))
     y = slices.select(F.col("owner").alias("ref_id"), F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("words").alias("y"))
-    met = regions.join(x, ["doc_id", "a", "b"], "left").join(y, ["ref_id", "ra", "rb"], "left").select("doc_id", "ref_id", "chain", "part", "a", "b", "ra", "rb", "words", "x", "y")
-    aligned = met.repartition("doc_id", "ref_id", "chain").sortWithinPartitions("doc_id", "ref_id", "chain", "part").mapInArrow(partial(_aligned, identity), "doc_id long, ref_id long, start long, end long, ref_start long, ref_end long, equal_words long")
+    met = regions.join(x, ["doc_id", "a", "b"], "left").join(y, ["ref_id", "ra", "rb"], "left").select("doc_id", "ref_id", "chain", "part", "a", "b", "ra", "rb", "words", "x", "y", "main")
+    aligned = met.repartition("doc_id", "ref_id", "chain").sortWithinPartitions("doc_id", "ref_id", "chain", "part").mapInArrow(partial(_aligned, identity, min_words), "doc_id long, ref_id long, start long, end long, ref_start long, ref_end long, equal_words long, main boolean")
     good = aligned.filter(F.col("equal_words") >= F.lit(identity) * F.greatest(F.col("end") - F.col("start"), F.col("ref_end") - F.col("ref_start")))
+    good = good.filter("ref_id <> doc_id or ref_start < start")  # ends may meet on the passage itself
+    # a row of a short fragment, or without a seed's earliest place, stays where it tells of more words than the others that begin no later
+    inner = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("main"), "ref_id", "ref_start").rowsBetween(Window.unboundedPreceding, -1)
+    good = good.withColumn("within", F.max("end").over(inner)).filter("main or within is null or end > within")
     ahead = Window.partitionBy("doc_id").orderBy("start", "end", "ref_id", "ref_start")
     reach = F.max("end").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
     stretch = good.withColumn("fresh", F.coalesce(F.col("start") > reach + SEED, F.lit(True)).cast("int")).withColumn("stretch", F.sum("fresh").over(ahead))

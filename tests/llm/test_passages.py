@@ -113,3 +113,49 @@ def test_failing_chain_is_cut_at_its_weakest_gap():
     assert sd._passing(regions, 0.8) == [(40, 92, 40, 92, 52)]
     regions[2] = (2, 137, 137, 137, 137, 20, none, none)
     assert sd._passing(regions, 0.8) == [(40, 92, 40, 92, 52), (117, 137, 117, 137, 20)]
+
+
+def test_passages_that_meet_the_threshold_are_linked(spark):
+    """Replaced words at rates up to what identity allows, and passages all of whose phrases occur earlier, apart, in few or in many documents."""
+    r, rows, plants = random.Random(5), [], {}
+    w = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+    def plant(kind, passage, changed):
+        i = 1 + len(rows)
+        plants.setdefault(kind, []).append((i + 100000, i))
+        rows.extend([(i, " ".join(w(40) + passage + w(40))), (i + 100000, " ".join(w(50) + changed + w(30)))])
+
+    for n, rate in [(30, 0), (30, 0.1), (60, 0.1), (60, 0.2), (100, 0.2)]:
+        for _ in range(40):
+            passage = w(n)
+            changed = passage[:]
+            for j in r.sample(range(n), round(rate * n)):
+                changed[j] = f"x{r.randrange(10**6)}"
+            plant((n, rate), passage, changed)
+    common = [w(8) for _ in range(20)]
+    for k in range(20):
+        few, many = [w(9) for _ in range(4)], sum((r.choice(common) for _ in range(4)), [])
+        rows += [(-10 * k - z - 1, " ".join(w(30) + x + w(30))) for z, x in enumerate(few)]
+        plant("few", sum(few, []), sum(few, []))
+        plant("many", many, many)
+    rows += [(-1000 - z, " ".join(w(30) + common[z % 20] + w(30))) for z in range(400)]
+    found = {(x.doc_id, x.ref_id) for x in sd.repeated_passages(frame(spark, rows)).collect()}
+    share = {kind: sum(p in found for p in pairs) / len(pairs) for kind, pairs in plants.items()}
+    least = {(30, 0): 1, (30, 0.1): 0.7, (60, 0.1): 1, (60, 0.2): 0.95, (100, 0.2): 1, "few": 1, "many": 1}
+    assert all(share[kind] >= least[kind] for kind in least), share
+
+
+def test_places_do_not_depend_on_batches():
+    r = random.Random(3)
+    table = sorted((r.randrange(6) ** 2, r.randrange(12), r.randrange(4)) for _ in range(300))
+    places = {}
+    for seed, *place in dict.fromkeys(table):
+        places.setdefault(seed, []).append(tuple(place))
+    want = sorted((s, *p, *q) for s, own in places.items() for i, p in enumerate(own) for q in (own[:i] if i <= sd.PLACES else own[:1]))
+    many = sorted((s, *p) for s, own in places.items() if len(own) > sd.PLACES + 1 for p in own)
+    for size in (1, 2, 7, 64, 300):
+        batches = [sd.pa.record_batch([sd.pa.array([x[c] for x in table[i : i + size]], sd.pa.int64()) for c in range(3)] + [sd.pa.array([1] * len(table[i : i + size]))], ["seed", "doc_id", "at", "ahead"]) for i in range(0, 300, size)]
+        rows = [tuple(x.values()) for b in sd._places(iter(batches)) for x in b.to_pylist()]
+        assert sorted((x[1], x[2], x[4], x[5]) for x in rows if x[4] is not None) == sorted(x[1:] for x in want)
+        assert sorted(x[:3] for x in rows if x[4] is None) == many
+        assert sum(x[6] for x in rows if x[4] is not None) == sum(len(own) - 1 for own in places.values())
