@@ -1,4 +1,5 @@
 import random
+import time
 
 import scholiast.llm.substring_dedup as sd
 from tests.llm.helpers import frame, sample, words
@@ -159,3 +160,108 @@ def test_places_do_not_depend_on_batches():
         assert sorted((x[1], x[2], x[4], x[5]) for x in rows if x[4] is not None) == sorted(x[1:] for x in want)
         assert sorted(x[:3] for x in rows if x[4] is None) == many
         assert sum(x[6] for x in rows if x[4] is not None) == sum(len(own) - 1 for own in places.values())
+
+
+def _extension(x, y):
+    """Ungapped stretches with most equal less twice unequal words, one after another, over up to three words left out on one side."""
+    i = j = equal = 0
+    while True:
+        best = (0, 0, 0, 0, 0)
+        for shift in (0, 1, -1, 2, -2, 3, -3):
+            a, b, total, same = i + max(shift, 0), j + max(-shift, 0), 0, 0
+            tops = []
+            for k in range(min(len(x) - a, len(y) - b)):
+                same += x[a + k] == y[b + k]
+                total = 3 * same - 2 * (k + 1)
+                tops.append((total, -k, same))
+            if tops:
+                total, k, same = max(tops)
+                best = max(best, (total - 2 * abs(shift), -abs(shift), a - k + 1, b - k + 1, same))
+        if best[0] <= 0:
+            return i, j, equal
+        i, j, equal = best[2], best[3], equal + best[4]
+
+
+def _common(x, y):
+    row = [0] * (len(y) + 1)
+    for w in x:
+        new = [0]
+        for k, z in enumerate(y):
+            new.append(max(row[k] + (w == z), row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+def _plain_passing(regions, identity, min_words):
+    """One chain at a time, with a way of its own for ends, gaps and cuts."""
+    flat = [(r[6].tolist(), r[7].tolist()) for r in regions]
+    core = [(a - w, a, ra - w, ra, w) for _, a, _, ra, _, w, _, _ in regions[1:]]
+    if len(core) == 1 and core[0][4] + sum(z in y for x, y in flat for z in x) < sd.CHAIN_WORDS:
+        return []
+    common = [_common(x, y) for x, y in flat[1:-1]]
+    lack = [identity * max(len(x), len(y)) - c for (x, y), c in zip(flat[1:-1], common, strict=True)]
+    out, todo = [], [(0, len(core) - 1)]
+    while todo:
+        i, j = todo.pop()
+        left, right = _extension(flat[i][0][::-1], flat[i][1][::-1]), _extension(*flat[j + 1])
+        equal, none = sum(c[4] for c in core[i : j + 1]) + sum(common[i:j]), (0, 0, 0)
+        ways = [(core[i][0] - p[0], core[j][1] + q[0], core[i][2] - p[1], core[j][3] + q[1], equal + p[2] + q[2]) for p, q in ((left, right), (left, none), (none, right), (none, none))]
+        good = [w for w in ways if w[4] >= identity * max(w[1] - w[0], w[3] - w[2])]
+        if good:
+            best = max(good, key=lambda w: w[1] - w[0])
+            before = [sd.np.array(z[::-1][n:]) for z, n in zip(flat[i], (core[i][0] - best[0], core[i][2] - best[2]), strict=True)]
+            behind = [sd.np.array(z[n:]) for z, n in zip(flat[j + 1], (best[1] - core[j][1], best[3] - core[j][3]), strict=True)]
+            best = sd._filled(best, before, behind, identity, min_words)
+            if i < j or best[4] >= sd.CHAIN_WORDS:
+                out.append(best)
+        elif i < j:
+            cut = max(range(i, j), key=lambda g: lack[g])
+            todo += [(cut + 1, j), (i, cut)]
+    return sorted(out)
+
+
+def test_alignment_of_many_chains_equals_one_at_a_time():
+    r, number, chains = random.Random(8), 0, []
+    for _ in range(1500):
+        n, letters = r.choice([1, 1, 2, 3, 6]), r.choice([3, 8, 40])
+        x, y = r.randrange(50, 90), r.randrange(50, 90)
+        regions = []
+        for i in range(n + 1):
+            most = r.choice([0, 12, 44]) if i in (0, n) else r.choice([3, 15, 40])
+            own = [r.randrange(letters) for _ in range(r.randrange(most + 1))]
+            other = [z if r.random() < 0.7 else r.randrange(letters) for z in own if r.random() < 0.95][:most]
+            if not i:
+                own, other = own[::-1], other[::-1]
+            w = r.choice([6, 7, 11, 13, 25]) if i else 0
+            x, y = x + w, y + w
+            regions.append((i, x, x + len(own), y, y + len(other), w, sd.np.array(own, sd.np.int64), sd.np.array(other, sd.np.int64)))
+            if i:
+                x, y = x + len(own), y + len(other)
+        chains.append([(*c[:1], *(v for v in c[1:])) for c in regions])
+    for identity, min_words in ((0.8, 30), (0.9, 20)):
+        want = [_plain_passing(c, identity, min_words) for c in chains]
+        assert [sd._passing(c, identity, min_words) for c in chains] == want
+        number += sum(map(len, want))
+    assert number > 1000
+
+
+def test_spent_shuffles_and_tables_are_deleted(spark):
+    """While the result is still lazy, no shuffle file of seeds or matches is left, and of the tables only the chains, which are small beside the texts."""
+    files = lambda: [f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f]
+    docs = frame(spark, [(i, sample(300, i % 40, 10**6) + " " + sample(100, 1000 + i, 10**6)) for i in range(200)])
+    old = set(files())
+    out = sd.repeated_passages(docs)
+    for _ in range(40):
+        if not (left := set(files()) - old):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert {f.rsplit("/", 2)[-2].partition("-")[0] for f in out.inputFiles()} <= {"chains"}
+    assert out.select("doc_id").distinct().count() == 160
+
+
+def test_rows_of_one_document_that_differ(spark):
+    passage = sample(60, 77, 10**6)
+    rows = [(1, sample(100, 1, 10**6) + " " + passage), (1, "b " * 3), (2, "a"), (2, sample(90, 2, 10**6) + " " + passage), (3, passage), (4, passage)]
+    got = sd.repeated_passages(frame(spark, rows)).collect()
+    assert {tuple(x) for x in got} == {(2, 90, 150, 1, 100, 160, 60), (3, 0, 60, 1, 100, 160, 60), (4, 0, 60, 1, 100, 160, 60)}
