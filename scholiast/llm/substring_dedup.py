@@ -511,7 +511,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 30, identity: float = 0.
     good = aligned.filter(F.col("equal_words") >= F.lit(identity) * F.greatest(F.col("end") - F.col("start"), F.col("ref_end") - F.col("ref_start")))
     good = good.filter("ref_id <> doc_id or ref_start < start")  # ends may meet on the passage itself
     # a row of a short fragment, or without a seed's earliest place, stays where it tells of more words than the others that begin no later
-    inner = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("main"), "ref_id", "ref_start").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("main"), "ref_id", "ref_start", F.desc("equal_words"), "ref_end").rowsBetween(Window.unboundedPreceding, -1)
     good = good.withColumn("within", F.max("end").over(inner)).filter("main or within is null or end > within")
     ahead = Window.partitionBy("doc_id").orderBy("start", "end", "ref_id", "ref_start")
     reach = F.max("end").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
