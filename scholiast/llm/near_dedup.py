@@ -253,15 +253,16 @@ def postings(texts: DataFrame, k: int, numerator: int) -> DataFrame:
     at least as many shingles behind as both must share. The smaller set is posted under its first shingles with its
     size, the larger one under some more, for each class of sizes that a partner met there may have; `most` is the
     largest size of such a partner. A shingle that a whole crowd has comes late, so unlinked sets don't meet there.
+    Nobody is met under a shingle whose counter is 1, as no other text has it: it keeps its place in the order, but isn't posted.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(rarity(texts, k).astype(np.int32))
+    counters = texts.sparkSession.sparkContext.broadcast(rarity(texts, k).astype(np.int32))
     total = 100 + numerator
 
     def classes(n: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(n, 1)) / np.log(1.05)).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shared.value
+        count = counters.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for first, end, raw, at in blocks(batch.column("text")):
@@ -272,12 +273,14 @@ def postings(texts: DataFrame, k: int, numerator: int) -> DataFrame:
                     n = len(own)
                     if not n:
                         continue
-                    own = own[np.lexsort((own, count[(own & U64(CELLS - 1)).astype(np.int64)]))]
+                    held = count[(own & U64(CELLS - 1)).astype(np.int64)]
+                    order = np.lexsort((own, held))
+                    own, shared = own[order], held[order] > 1
                     left = n - np.arange(n)  # shingles from each place on
                     most = left * total // numerator - n
-                    small = np.flatnonzero(most >= n)
+                    small = np.flatnonzero((most >= n) & shared)
                     least = -(-numerator * n // 100)
-                    large = np.flatnonzero(np.minimum(most, n) >= least)
+                    large = np.flatnonzero((np.minimum(most, n) >= least) & shared)
                     low, high = int(classes(np.array([least]))[0]), classes(np.minimum(most, n)[large])
                     times = high - low + 1
                     at_class = low + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -289,6 +292,13 @@ def postings(texts: DataFrame, k: int, numerator: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "token long, bucket int, large boolean, id long, n long, most long")
 
 
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """The postings under which a smaller and a larger set of different ids stand; the others can make no meeting, whatever the components are."""
+    key = ["token", "bucket"]
+    groups = posted.groupBy(*key).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("large").alias("some_small"), F.max("large").alias("some_large"))
+    return posted.join(groups.filter((F.col("low") != F.col("high")) & ~F.col("some_small") & F.col("some_large")).select(*key), key)
+
+
 def meetings(posted: DataFrame, members: DataFrame, numerator: int, first: bool) -> DataFrame:
     """(a, b): sets of different components that meet under a rare shingle; with `first` only those of each posting with one partner of a kind."""
     seated = posted.join(members, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -390,8 +400,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
         open_pairs = open_pairs.join(now, ["a", "b"], "left_anti")
         members = grown(members, proved)
     # Then what crowds hide. Components only grow, so the crowd is found once and its texts move once.
-    seat = lambda: sets.join(members, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "signature")
-    inside = stored(crowded(seat(), numerator / 100), "inside")
+    seated = stored(sets.join(members, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "signature"), "seated")
+    inside = stored(crowded(seated, numerator / 100), "inside")
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def prove(asked: DataFrame, known: DataFrame | None = None) -> None:
@@ -406,13 +416,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, numerator: int = 85) -> DataFra
         members = grown(members, stored(confirmed(known, now, k, numerator), "proved"))
         tried = tried.unionByName(now)
 
-    prove(fellows(inside.filter(F.col("size") <= FEW), numerator))
+    near = fellows(inside.filter(F.col("size") <= FEW), numerator)
     inside = inside.filter(F.col("size") > FEW)
     crowd = stored(inside.select("id").distinct(), "crowd")
-    if not crowd.isEmpty():
+    if crowd.isEmpty():
+        prove(near)
+    else:
+        prove(near.unionByName(centres(inside, numerator)).distinct())
         texts = stored(whole.join(crowd.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
-        prove(centres(inside, numerator), texts)
-        posted = stored(postings(texts, k, numerator), "posted")
+        posted = stored(shared_postings(stored(postings(texts, k, numerator), "posted")), "shared")
         prove(meetings(posted, members, numerator, first=True), texts)
         prove(meetings(posted, members, numerator, first=False), texts)
     of_class = classes.join(members, "id", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component_id"))

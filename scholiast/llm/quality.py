@@ -12,6 +12,7 @@ from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +59,19 @@ def bags(raw: np.ndarray, at: np.ndarray) -> Bags:
         first, last = kind[starts].astype(U64), kind[ends - 1].astype(U64)
         second, before = kind[np.minimum(starts + 1, ends - 1)].astype(U64), kind[np.maximum(ends - 2, starts)].astype(U64)
         long = np.minimum(ends - starts, 12).astype(U64)
-        shapes = (mix((((first * U64(131) + second) * U64(131) + before) * U64(131) + last) * U64(16) + long) % U64(SHAPE_BUCKETS)).astype(np.int64)
+        shapes = (mix((((first * U64(131) + second) * U64(131) + before) * U64(131) + last) * U64(16) + long) % U64(SHAPE_BUCKETS)).astype(np.uint16)
         sums = np.zeros((len(raw) + 1, 4), np.int32)
         for j, test in enumerate((kind == 2, kind == 3, kind > 4, kind == 4)):
             np.cumsum(test, out=sums[1:, j])
         rows = np.column_stack([sums[ends] - sums[starts], np.minimum(ends - starts, 40), ends - starts == 1]).astype(np.float32)
     else:
-        shapes, rows = np.zeros(0, np.int64), np.zeros((0, len(_RATES)), np.float32)
+        shapes, rows = np.zeros(0, np.uint16), np.zeros((0, len(_RATES)), np.float32)
     total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, 0, dtype=np.float64)])
     many = np.maximum(1, np.diff(word_at))[:, None]
     rates = (total[word_at[1:]] - total[word_at[:-1]]) / many
     rates[:, :4] /= np.maximum(1, rates[:, 4:5])
     rates[:, 4] /= 8
-    return Bags((hashes % U64(WORD_BUCKETS)).astype(np.int64), shapes, rates.astype(np.float32), word_at, passage_at)
+    return Bags((hashes % U64(WORD_BUCKETS)).astype(np.uint16), shapes, rates.astype(np.float32), word_at, passage_at)
 
 
 def joined(parts: list[Bags]) -> Bags:
@@ -180,11 +181,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_mb: fl
             left -= row["size"]
     own = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")  # at most 2 * per_class pairs of numbers
     sample = texts.join(F.broadcast(own), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    sample = sample.toArrow().combine_chunks().sort_by([("doc_id", "ascending")])
-    label = np.asarray(sample.column("label").to_pylist(), np.int64)
-    texts = sample.column("text")
-    parts = [bags(raw, at) for chunk in texts.chunks for _, _, raw, at in blocks(chunk)]
-    return Model().fit(joined(parts), label)
+    sample = sample.toArrow()
+    order = pc.sort_indices(sample.column("doc_id"))
+    label = sample.column("label").take(order).to_numpy().astype(np.int64)
+    # some texts at a time: the driver holds the sample once, and of its words only their bucket numbers
+    parts = [bags(raw, at) for i in range(0, len(order), 256) for chunk in sample.column("text").take(order.slice(i, 256)).chunks for _, _, raw, at in blocks(chunk)]
+    del sample
+    whole = joined(parts)
+    del parts
+    pa.default_memory_pool().release_unused()
+    return Model().fit(whole, label)
 
 
 def score_quality(docs: DataFrame, model: Model | float) -> DataFrame:

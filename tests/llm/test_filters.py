@@ -174,6 +174,18 @@ def test_quality_scores_equal_a_plain_forward_pass():
         assert len(hidden) == max(1, -(-len(words(texts[i])) // q.PASSAGE))
 
 
+def test_quality_sample_takes_four_bytes_a_word():
+    """The driver holds the whole sample as bags; wide numbers give the same weights."""
+    texts = [sample(20 + 30 * i, i) for i in range(12)] + ["", "A1! b"]
+    (_, _, raw, at), *_ = blocks(pa.array(texts))
+    small = q.bags(raw, at)
+    assert small.words.nbytes + small.shapes.nbytes == 4 * sum(len(words(t)) for t in texts)
+    wide = q.Bags(small.words.astype(np.int64), small.shapes.astype(np.int64), small.rates, small.word_at, small.passage_at)
+    label = np.arange(len(texts)) % 2
+    a, b = (q.Model().fit(x, label, rounds=2).p for x in (small, wide))
+    assert all((a[k] == b[k]).all() for k in a)
+
+
 def test_quality_sample_is_bounded(spark):
     docs = frame(spark, [(i, sample(50, i) if i % 2 else sample(4000, i)) for i in range(60)] + [(7, "again")])
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")

@@ -144,3 +144,33 @@ def test_meetings_lose_no_linked_pair(spark, numerator):
     nobody = spark.createDataFrame([], "id long, component long")
     met = {tuple(x) for x in nd.meetings(nd.postings(docs, 5, numerator), nobody, numerator, first=False).collect()}
     assert len(linked) > 20 and linked <= met and len(met) < len(sets) * (len(sets) - 1) / 4
+
+
+def test_shingles_of_one_text_are_not_posted(spark):
+    """Postings grow with what texts share, not with their words; none that could make a meeting goes."""
+    data = crowd(200, 10) + [(1000 + i, sample(150, 1000 + i, 10**6)) for i in range(100)]
+    posted = nd.postings(frame(spark, data), 5, 85).collect()
+    own = sum(x.id >= 1000 for x in posted)
+    assert own < 0.1 * 100 * 146  # one for each shingle and class of sizes before; now those whose counter another one shares
+    met = nd.shared_postings(nd.postings(frame(spark, data), 5, 85)).collect()
+    ids = {}
+    for x in met:
+        ids.setdefault((x.token, x.bucket), set()).add(x.id)
+    assert ids and all(len(x) > 1 for x in ids.values())
+    assert {tuple(sorted(x)) for x in ids.values()} >= {(200 + 2 * i, 201 + 2 * i) for i in range(10)}
+
+
+def test_what_meets_the_components_is_shared(spark, monkeypatch):
+    """Ids of components are joined to postings under which others stand, not to all postings."""
+    seen = {}
+    real = nd.meetings
+
+    def spy(posted, *rest, **named):
+        seen["n"], seen["keys"] = posted.count(), posted.select("token", "bucket").distinct().count()
+        return real(posted, *rest, **named)
+
+    monkeypatch.setattr(nd, "meetings", spy)
+    data = crowd(150, 10)
+    got = {x.doc_id: x.component_id for x in nd.near_duplicates(frame(spark, data)).collect()}
+    assert sum(got[i] == i - (i - 150) % 2 for i in range(150, 170)) >= 19
+    assert 2 * seen["keys"] <= seen["n"] < 10 * len(data)
