@@ -2,85 +2,72 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import itertools
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from scholiast.functions import text as T
 from scholiast.operators.graph import components, cut_lineage
+from scholiast.operators.ratios import close_pairs, matched_characters  # noqa: F401
+
+
+#: Texts of a block, at least and at most, and cells that a comparison is cut into between these.
+BLOCK_ROWS, CELLS = (1 << 11, 1 << 15), 64
+#: Characters of equal texts that are taken as the best pair: no other pair's ratio rounds to 1 below that.
+CERTAIN = 500_000
+
 
+def alike(left: DataFrame, right: DataFrame, least: float, best: bool = False) -> DataFrame:
+    """(a, b, score): pairs of left (a, text) and right (b, text) whose ratio, to six places, is `least` or more; of each a only the `best`, with the smallest b.
 
-def matched_characters(a: str, b: str) -> int:
-    """Characters in the longest common run, the earliest in a and then in b, and in those left and right of it, and so on (MTH-05)."""
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
-    total, open_ = 0, [(0, len(x), 0, len(y))]
-    while open_:
-        i, j, k, m = open_.pop()
-        if i >= j or k >= m:
-            continue
-        # runs that end at each place of y, row by row of x
-        best, at, run = 0, (0, 0), np.zeros(m - k + 1, np.int32)
-        for p in range(i, j):
-            run[1:] = np.where(y[k:m] == x[p], run[:-1] + 1, 0)
-            q = int(run.argmax())
-            if run[q] > best:
-                best, at = int(run[q]), (p + 1 - int(run[q]), k + q - int(run[q]))
-            elif best and run[q] == best and p + 1 - best == at[0] and k + q - best < at[1]:
-                at = (at[0], k + q - best)
-        if best:
-            total += best
-            open_ += [(i, at[0], k, at[1]), (at[0] + best, j, at[1] + best, m)]
-    return total
-
-
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over the characters of both; 1 for two empty texts (MTH-05)."""
-    return pd.Series([None if x is None or y is None else 2 * matched_characters(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def _gram_pairs(left: DataFrame, right: DataFrame, least: float, q: int) -> DataFrame:
-    """(a, b): the pairs that can be alike by their common runs of q characters, of those pairs that `alike` looks for under q."""
-    partner = least / (2 - least)  # the shortest of a text of one character; the longest is its inverse
-    two = lambda total: F.ceil((1.5 * least - 1) * total - 1 - 1e-9)  # noqa: E731  matched less unmatched less one
-    need = two if q == 2 else lambda total: F.ceil(least * total / 2 - 1e-9)
-    low, high = F.ceil(F.col("n") * partner - 1e-9), F.floor(F.col("n") / partner + 1e-9)
-
-    def grams(rows: DataFrame, key: str) -> DataFrame:
-        sized = rows.select(F.col(key).alias("id"), "text", F.char_length("text").cast("long").alias("n"))
-        sized = sized.filter(two(F.col("n") + high) >= 1 if q == 2 else two(F.col("n") + low) < 1)
-        listed = sized.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("n") - q + 1, F.lit(1))), lambda i: F.substr("text", i.cast("int"), F.lit(q)))).alias("g"))
-        return listed.withColumn("g", F.xxhash64("g", F.row_number().over(Window.partitionBy("id", "g").orderBy("n"))))
-
-    own, other = cut_lineage(grams(left, "a")), cut_lineage(grams(right, "b"))
-    df = other.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-
-    def rare(rows: DataFrame) -> DataFrame:
-        """So many of a text's rarest runs that two texts with enough common ones share one of these."""
-        place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "g"))
-        return rows.join(df, "g", "left").withColumn("r", place).filter(F.col("r") <= F.col("n") - q + 2 - F.greatest(F.lit(1), need(F.col("n") + low))).select("id", "n", "g")
-
-    met = rare(own).select(F.col("id").alias("a"), "n", "g").join(rare(other).select(F.col("id").alias("b"), F.col("n").alias("m"), "g"), "g")
-    total = F.col("n") + F.col("m")
-    fit = (F.least("n", "m") * 2 >= least * total - 1e-9) & (two(total) >= 1 if q == 2 else two(total) < 1)
-    near = met.filter(fit).select("a", "b", "n", "m").distinct()
-    counted = near.join(own.select(F.col("id").alias("a"), "g"), "a").join(other.select(F.col("id").alias("b"), "g"), ["b", "g"]).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    return counted.filter(F.col("c") >= need(total)).select("a", "b")
-
-
-def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, score): pairs of left (a, text) and right (b, text) whose ratio is `least` or more; no other pair is compared.
-
-    Of two texts that are so alike, at most (1 - least) of all characters are unmatched, so their lengths are near, and there is at
-    most one more matched run than unmatched characters: so many pairs of neighbouring characters must agree. Numbered
-    pairs make that a set; texts meet only where their rarest ones agree, of which one at least is common, and all are counted before the
-    ratio is taken. Texts so short that no pair need be common meet by their single characters, as many of which as are matched must agree.
+    Equal texts are one. Any two of the others can be alike, and no index keeps many apart at such bounds, so all are compared: blocks
+    of the left ones meet blocks of the right ones cell by cell, where bounds from above leave few pairs for the ratio (`close_pairs`). A cell holds two
+    blocks of texts and nothing else; work grows as left times right texts, what is moved as their sum times the blocks.
     """
-    pairs = _gram_pairs(left, right, least, 2).unionByName(_gram_pairs(left, right, least, 1))
-    texts = pairs.join(left.select("a", F.col("text").alias("x")), "a").join(right.select("b", F.col("text").alias("y")), "b")
-    return texts.select("a", "b", F.round(sequence_ratio("x", "y"), 6).alias("score")).filter(F.col("score") >= least)
+    left, right = cut_lineage(left.select("a", "text").filter("text is not null")), cut_lineage(right.select("b", "text").filter("text is not null"))
+    own, other = left.select("text").distinct(), right.select("text").distinct()
+    if best:
+        own = own.join(other.filter(F.char_length("text") < CERTAIN), "text", "left_anti")
+    own, other = cut_lineage(own), cut_lineage(other)
+    n, m = own.count(), other.count()
+    rows = min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], math.ceil(math.sqrt(n * m / CELLS))))
+    down, across = max(1, -(-n // rows)), max(1, -(-m // rows))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    block = lambda count: F.pmod(F.xxhash64("text"), F.lit(count)).cast("int")
+    x = own.select(block(down).alias("i"), every(across).alias("j"), F.lit(0).alias("side"), "text")
+    y = other.select(every(down).alias("i"), block(across).alias("j"), F.lit(1).alias("side"), "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found, part = close_pairs(*sides, least, best), []
+            while part := list(itertools.islice(found, 1 << 13)):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)], ["x", "y", "score"])
+
+        for batch in batches:
+            for i, j, side, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (i, j):
+                    if now:
+                        yield from done()
+                    now, sides = (i, j), ([], [])
+                sides[side].append(text)
+        if now:
+            yield from done()
+
+    # more parts than cells, so that few share one
+    cells = x.unionByName(y).repartition(min(4 * down * across, 10_000), "i", "j").sortWithinPartitions("i", "j", "side")
+    met = cells.mapInArrow(compare, "x string, y string, score double")
+    if not best:
+        return met.join(left.withColumnRenamed("text", "x"), "x").join(right.withColumnRenamed("text", "y"), "y").select("a", "b", "score")
+    first = right.groupBy("text").agg(F.min("b").alias("b"))
+    near = met.join(first.withColumnRenamed("text", "y"), "y").groupBy("x").agg(F.min_by(F.struct("b", "score"), F.struct(-F.col("score"), "b")).alias("z")).select(F.col("x").alias("text"), "z.*")
+    same = first.filter(F.char_length("text") < CERTAIN).select("text", "b", F.lit(1.0).alias("score"))
+    return left.join(near.unionByName(same.join(left, "text", "left_semi")), "text").select("a", "b", "score")
 
 
 def fuzzy_match(records: DataFrame, catalog: DataFrame, matched: float = 0.96, review: float = 0.84) -> DataFrame:
@@ -93,7 +80,7 @@ def fuzzy_match(records: DataFrame, catalog: DataFrame, matched: float = 0.96, r
     c = catalog.withColumn("text", T.ascii_fold("title")).withColumn("cdoi", T.doi_key("doi"))
     by_doi = r.join(c.select("catalog_id", "cdoi"), r.rdoi == c.cdoi).groupBy("record_id").agg(F.min("catalog_id").alias("catalog_id")).withColumn("score", F.lit(1.0))
     left = r.join(by_doi, "record_id", "left_anti").filter("text <> ''").select(F.col("record_id").alias("a"), "text")
-    near = alike(left, c.filter("text <> ''").select(F.col("catalog_id").alias("b"), "text"), review)
+    near = alike(left, c.filter("text <> ''").select(F.col("catalog_id").alias("b"), "text"), review, best=True)
     best = near.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", F.negate("b"))).alias("x")).select(F.col("a").alias("record_id"), F.col("x.b").alias("catalog_id"), "x.score")
     found = r.select("record_id").join(by_doi.unionByName(best), "record_id", "left")
     status = F.when(F.col("score") >= matched, "matched").otherwise("review")
@@ -106,8 +93,8 @@ def metadata_match(files: DataFrame, records: DataFrame, least: float = 0.86, by
     r = records.withColumn("t", T.ascii_fold(F.coalesce("title", F.lit("")))).withColumn("p", T.ascii_fold(F.regexp_replace(F.regexp_replace("path", "^.*/", ""), r"(?<=.)\.[^.]*$", "")))
     titles = r.filter("t <> ''").select(F.col("record_id").alias("b"), F.col("t").alias("text"))
     same = f.join(r.filter("p <> ''").select("record_id", F.col("p").alias("s")), "s").select("file_id", "record_id", F.lit(1.0).alias("score"))
-    by_title = alike(f.filter("t <> ''").select(F.col("file_id").alias("a"), F.col("t").alias("text")), titles, least)
-    named = alike(f.filter("s <> ''").select(F.col("file_id").alias("a"), F.col("s").alias("text")), titles, least / by_stem).withColumn("score", F.col("score") * by_stem)
+    by_title = alike(f.filter("t <> ''").select(F.col("file_id").alias("a"), F.col("t").alias("text")), titles, least, best=True)
+    named = alike(f.filter("s <> ''").select(F.col("file_id").alias("a"), F.col("s").alias("text")), titles, least / by_stem, best=True).withColumn("score", F.col("score") * by_stem)
     both = same.unionByName(by_title.unionByName(named).select(F.col("a").alias("file_id"), F.col("b").alias("record_id"), "score")).filter(F.col("score") >= least)
     return both.groupBy("file_id").agg(F.max_by(F.struct("record_id", F.round("score", 6).alias("score")), F.struct("score", F.negate("record_id"))).alias("x")).select("file_id", "x.record_id", "x.score")
 
