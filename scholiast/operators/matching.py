@@ -6,12 +6,14 @@ import itertools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholiast.functions import text as T
 from scholiast.operators.graph import components, cut_lineage
+from scholiast.operators.retrieval import broadcast_if_few
 from scholiast.operators.ratios import close_pairs, matched_characters  # noqa: F401
 
 
@@ -166,26 +168,72 @@ def first_per_key(rows: DataFrame, key: list[Column | str], order: list[Column |
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+#: One text in so many is counted for the order of shingles, from so many of these on a shingle is common, and so many common ones are kept.
+COUNTED, COMMON, MOST_COMMON = 32, 4, 1_000_000
+#: Bytes of a table that is dealt out before its shingles are made, as a small file may be one task's.
+SMALL_BYTES = 1 << 28
+#: Rows of keys up to which they are broadcast.
+FEW_KEYS = 2_000_000
+
+
 def shingle_pairs(docs: DataFrame, key: str, text: str, k: int = 8, least: float = 0.7, length_ratio: float = 0.6) -> DataFrame:
     """(a, b, jaccard): pairs of distinct texts with at least `least` of their k-word shingles in common (JOI-07, MTH-03, ARR-02).
 
-    Equal contents are one text, represented by the smallest key. Only shingles that can decide are joined: in
-    order of rarity the first n - ceil(least * n) + 1 of a text, at least one of which two such texts share.
+    Equal contents are one text, represented by the smallest key. In one order of all shingles, the first n - ceil(least * n) + 1 of a text are
+    posted, at least one of which two such texts share; any order gives the same pairs. Here common shingles come last, as far as a part of the texts
+    shows them, the others by their hash, so that neither counts of all shingles nor the sets are moved. Places in the order
+    bound what two texts can share; only the sets of those whose posted shingles leave it open are made again and compared.
     """
-    base = docs.select(key, T.content_key(text).alias("c")).groupBy("c").agg(F.min(key).alias("id"))
-    # words are a column of their own: within the lambda an expression would be evaluated again for every shingle
-    words = base.select("id", F.split("c", " ").alias("w"), F.char_length("c").alias("chars"))
-    sets = cut_lineage(words.select("id", T.shingles(F.col("w"), k).alias("s"), "chars"))
-    grams = sets.select("id", F.explode("s").alias("g"))
-    df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = grams.join(df, "g", "left").select("id", "g", F.coalesce("df", F.lit(1)).alias("df"))
-    ordered = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-    prefix = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * F.lit(least) - 1e-9).cast("int") + 1)
-    posts = ordered.select("id", F.explode(prefix).alias("p")).filter("p.df > 1").select("id", F.col("p.g").alias("g"))
-    pairs = posts.select(F.col("id").alias("a"), "g").join(posts.select(F.col("id").alias("b"), "g"), "g").filter("a < b").select("a", "b").distinct()
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x"), F.col("chars").alias("m")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y"), F.col("chars").alias("n")), "b")
+    least_ = least - 1e-6  # what rounding can add
+    keyed = lambda rows: rows.select(F.col(key).alias("id"), T.content_key(text).alias("c")).filter("c is not null").withColumn("h", F.unhex(F.md5("c")))
+    repeated = cut_lineage(keyed(docs).groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "first"))
+    repeated = broadcast_if_few(repeated, FEW_KEYS)
+
+    def shingled(rows: DataFrame) -> DataFrame:
+        base = rows.join(repeated, "h", "left").filter("first is null or id = first")
+        # within the lambda the words would be cut again for every shingle
+        return base.select("id", T.once(F.split("c", " "), lambda w: T.shingles(w, k)).alias("s"), F.char_length("c").alias("chars"))
+
+    named = keyed(docs)
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
+        named = named.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "h")
+    sets = shingled(named)
+    counted = docs.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(COUNTED)) == 0)
+    seen = shingled(keyed(counted)).select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    rows = seen.orderBy(F.desc("n"), "g").limit(MOST_COMMON).toArrow()
+    order = np.argsort(g := rows["g"].to_numpy(), kind="stable")
+    common = docs.sparkSession.sparkContext.broadcast((g[order], rows["n"].to_numpy()[order]))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
+        for batch in batches:
+            lists = batch.column("s")
+            cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            parts = []
+            for first, end in itertools.pairwise(cuts.tolist()):
+                own = values[first:end]
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                often = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                parts.append(own[np.lexsort((own, often))[: len(own) - math.ceil(len(own) * least_) + 1]])
+            sizes = [len(x) for x in parts]
+            row = pa.array(np.repeat(np.arange(len(parts)), sizes))
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])
+            whole = pa.array(np.diff(cuts).astype(np.int32))
+            posted = pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]))
+            yield pa.record_batch([batch.column("id").take(row), whole.take(row), batch.column("chars").take(row), pa.array(place), posted], ["id", "n", "chars", "p", "g"])
+
+    posts = cut_lineage(sets.mapInArrow(post, f"id {docs.schema[key].dataType.simpleString()}, n int, chars int, p int, g long"))
+    left, right = (posts.select(F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("n", "chars", "p")], "g") for i in "ab")
+    need = (F.col("n_a") + F.col("n_b")) * (least_ / (1 + least_))
+    rest = lambda p_a, p_b: F.least(F.col("n_a") - p_a, F.col("n_b") - p_b)
+    fit = (F.least("chars_a", "chars_b") >= length_ratio * F.greatest("chars_a", "chars_b")) & (F.least("n_a", "n_b") >= least_ * F.greatest("n_a", "n_b")) & (F.least("p_a", "p_b") + rest(F.col("p_a"), F.col("p_b")) >= need)
+    shared = left.join(right, "g").filter("a < b").filter(fit).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("p_a").alias("l_a"), F.max("p_b").alias("l_b"))
+    pairs = cut_lineage(shared.filter(F.col("c") + rest(F.col("l_a"), F.col("l_b")) - 1 >= need).select("a", "b"))
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
+    asked = cut_lineage(shingled(keyed(docs.join(broadcast_if_few(ids, FEW_KEYS), key, "left_semi"))).select("id", "s").distinct())
+    met = pairs.join(asked.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(asked.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    near = met.filter(F.least("m", "n") >= length_ratio * F.greatest("m", "n")).select("a", "b", F.round(both / (F.size("x") + F.size("y") - both), 6).alias("jaccard"))
+    near = met.select("a", "b", F.round(both / (F.size("x") + F.size("y") - both), 6).alias("jaccard"))
     return near.filter(F.col("jaccard") >= least)
 
 
