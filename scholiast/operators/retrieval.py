@@ -5,6 +5,10 @@ Every function takes a batch of queries, so one plan serves all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +77,85 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, most: int
     return left.join(right, ["_slice", "_block"]).select("query_id", key, score)
 
 
+#: Scores of one product held at a time, pairs scored in double precision at a time, what 32-bit sums can be off at least, the most that rounding to six places moves.
+PRODUCT, PAIRS, OFF, ROUNDED = 1 << 22, 1 << 16, 2e-5, 1.1e-6
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
+    """(query_id, key, score, rank): of each query of `queries` (query_id, query_vector) the k vectors of other keys with the highest cosine, as `knn` and `top` give them.
+
+    Products of matrices in 32 bits leave out what can't be among the k best of a task; the rest is scored in double precision, in `dot`'s order. Vectors
+    that no product fits (other lengths, nulls, no numbers) and more than `most` queries take the way of `knn`.
+    """
+    plain = lambda c: F.coalesce(F.forall(c, lambda x: F.coalesce(F.abs(x) < 1e15, F.lit(False))), F.lit(False))
+    rest = lambda rows: knn(rows, key, vector, queries).filter(F.col(key) != F.col("query_id"))
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>"), plain("query_vector").alias("plain")).limit(most + 1).toArrow()
+    size = {len(x) for x in asked["query_vector"].to_pylist() if x is not None} if asked.num_rows <= most and all(asked["plain"].to_pylist()) else set()
+    if len(size) != 1 or not (width := size.pop()) or asked["query_id"].null_count:
+        return top(rest(vectors), key, k)
+    ids, q = asked["query_id"].to_numpy(), np.array(asked["query_vector"].to_pylist(), np.float64)
+    known = vectors.sparkSession.sparkContext.broadcast((ids, q))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = known.value
+        norm = lambda x: np.sqrt(_dots(x, x))
+        own = norm(q)
+        unit = (q / np.where(own > 0, own, 1)[:, None]).astype(np.float32)
+        least, off = np.full(len(ids), -np.inf, np.float32), max(OFF, 1.2e-7 * width)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def kept() -> tuple[np.ndarray, ...]:
+            """Per query the k best rows and those that rounding may make their equals; of exactly equal scores the k smallest keys."""
+            at, keys, score = map(np.concatenate, zip(*held, strict=True))
+            order = np.lexsort((keys, -score, at))
+            at, keys, score = at[order], keys[order], score[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at, "left")
+            same = np.concatenate([[True], (at[1:] != at[:-1]) | (score[1:] != score[:-1])])[: len(at)]
+            run = np.arange(len(at)) - np.maximum.accumulate(np.where(same, np.arange(len(at)), 0))
+            last = np.full(len(ids), -np.inf)
+            last[at[place == k - 1]] = score[place == k - 1]
+            stay = (score >= last[at] - ROUNDED) & (run < k)
+            np.copyto(least, (last - ROUNDED - off).astype(np.float32))
+            return at[stay], keys[stay], score[stay]
+
+        step, fresh = max(1, PRODUCT // max(1, len(ids))), 0
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            size = norm(rows)
+            flat = (rows / np.where(size > 0, size, 1)[:, None]).astype(np.float32)
+            for first in range(0, len(keys), step):
+                near = unit @ flat[first : first + step].T
+                near[ids[:, None] == keys[first : first + step]] = -np.inf
+                if near.shape[1] > k and np.count_nonzero(near >= least[:, None]) > 4 * k * len(ids):
+                    np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - np.float32(ROUNDED + 2 * off), out=least)
+                i, j = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                for at in range(0, len(i), PAIRS):
+                    p, r = i[at : at + PAIRS], j[at : at + PAIRS] + first
+                    whole = own[p] * size[r]
+                    score = np.where(whole > 0, _dots(rows[r], q[p]) / np.where(whole > 0, whole, 1), -2.0)  # -2: no score
+                    held.append((p, keys[r], score))
+                    fresh += len(p)
+                    if fresh > max(PAIRS, 2 * k * len(ids)):
+                        held[:], fresh = [kept()], 0
+        if held:
+            at, keys, score = kept()
+            yield pa.record_batch([pa.array(ids[at]), pa.array(keys), pa.array(score, mask=score < -1.5)], ["query_id", key, "score"])
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    fits = plain(vector) & (F.size(vector) == width) & F.col(key).isNotNull()
+    fit = vectors.filter(fits).select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(scan, kinds).withColumn("score", F.round("score", 6))
+    return top(fit.unionByName(rest(vectors.filter(~fits))), key, k)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, added up in the order of the components."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
     """The k best of each query with their rank from 1; ties to the smaller key (SRT-03, WIN-01)."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

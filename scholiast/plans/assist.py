@@ -42,7 +42,7 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF-07 (extension): recall at ten and reciprocal rank, a label's vectors being relevant to each other"""
     e = table(spark, sf_dir, "embeddings")
     asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    best = R.top(R.knn(e.select("vec_id", "embedding"), "vec_id", "embedding", asked).filter("vec_id <> query_id"), "vec_id", 10)
+    best = R.nearest(e.select("vec_id", "embedding"), "vec_id", "embedding", asked, 10)
     labels = e.select("vec_id", "label")
     ranked = best.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").select("query_id", "rank", (F.col("label") == F.col("own")).alias("relevant"))
     others = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("total")).filter("total > 0")
